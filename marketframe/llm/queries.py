@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm import bpe, sharding, tokenfile
+from marketframe.llm import bpe, decontamination, language, licenses, sharding, tokenfile, toxicity
 from marketframe.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": lambda spark, d: decontamination.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op2_bpe": lambda spark, d: bpe.digest(table(spark, d, "documents")),
         "op6_token_files": lambda spark, d: tokenfile.digest(table(spark, d, "documents")),
         "op7_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
+        "op8_language": lambda spark, d: language.digest(table(spark, d, "documents")),
+        "op9_licenses": lambda spark, d: licenses.digest(table(spark, d, "documents")),
+        "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": decontamination.ORACLE,
+    }
