@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm import bpe, decontamination, language, licenses, sharding, tokenfile, toxicity
+from marketframe.llm import bpe, decontamination, language, licenses, pii, setjoin, sharding, tokenfile, toxicity
 from marketframe.llm.common import table
 
 
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda spark, d: decontamination.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op2_bpe": lambda spark, d: bpe.digest(table(spark, d, "documents")),
+        "op3_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
+        "op5_jaccard_join": lambda spark, d: setjoin.digest(table(spark, d, "documents")),
         "op6_token_files": lambda spark, d: tokenfile.digest(table(spark, d, "documents")),
         "op7_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
         "op8_language": lambda spark, d: language.digest(table(spark, d, "documents")),
@@ -25,4 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.ORACLE,
+        "op5_jaccard_join": setjoin.ORACLE,
     }
