@@ -91,37 +91,37 @@ def _of(order: int):
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """All columns of `docs`, __text (never null) and __base: (start, ord, end, value) of the base
+    """All columns of `docs`, __pii_text (never null) and __pii_base: (start, ord, end, value) of the base
     spans by start, then kind."""
-    out = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    signs = {"email": F.contains("__text", F.lit("@")), "phone": F.contains("__text", F.lit("+"))}
+    out = docs.withColumn("__pii_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    signs = {"email": F.contains("__pii_text", F.lit("@")), "phone": F.contains("__pii_text", F.lit("+"))}
     patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE)))
     none = F.array().cast("array<string>")
     for kind, pattern in patterns.items():
-        hits = F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))
-        out = out.withColumn(f"__{kind}", F.when(signs[kind], hits).otherwise(none) if kind in signs else hits)
+        hits = F.regexp_extract_all("__pii_text", F.lit(pattern), F.lit(0))
+        out = out.withColumn(f"__pii_{kind}", F.when(signs[kind], hits).otherwise(none) if kind in signs else hits)
     for kind, pattern in patterns.items():
-        out = out.withColumn(f"__g{kind}", F.when(F.size(f"__{kind}") > 0, F.split("__text", pattern, -1)).otherwise(none))
+        out = out.withColumn(f"__pii_g{kind}", F.when(F.size(f"__pii_{kind}") > 0, F.split("__pii_text", pattern, -1)).otherwise(none))
     spans = []
     for order, kind in enumerate(patterns):
-        found = places(F.col("__text"), F.col(f"__{kind}"), F.col(f"__g{kind}"), order)
+        found = places(F.col("__pii_text"), F.col(f"__pii_{kind}"), F.col(f"__pii_g{kind}"), order)
         spans.append(F.filter(found, _valid(kind)))
-    out = out.withColumn("__base", F.array_sort(F.concat(*spans)))
-    return out.drop(*(f"__{kind}" for kind in patterns), *(f"__g{kind}" for kind in patterns))
+    out = out.withColumn("__pii_base", F.array_sort(F.concat(*spans)))
+    return out.drop(*(f"__pii_{kind}" for kind in patterns), *(f"__pii_g{kind}" for kind in patterns))
 
 
 def disclosive(docs: DataFrame, found: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, context: int = CONTEXT) -> DataFrame:
     """entity and term of every pair whose disclosure reaches the threshold."""
     value = F.concat_ws(":", F.col("s.ord").cast("string"), F.lower("s.value"))
-    spans = found.select("__row", "__x", "__text", F.explode("__base").alias("s"))
+    spans = found.select("__pii_row", "__pii_x", "__pii_text", F.explode("__pii_base").alias("s"))
     first = F.greatest(F.col("s.start") - context, F.lit(0))
-    before = F.substring("__text", first + 1, F.col("s.start") - first)
-    around = F.concat(before, F.lit("\n"), F.substring("__text", F.col("s.end") + 1, F.lit(context)))
-    near = spans.select("__row", "__x", value.alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(WORD), F.lit(0)))).alias("term")).distinct()
+    before = F.substring("__pii_text", first + 1, F.col("s.start") - first)
+    around = F.concat(before, F.lit("\n"), F.substring("__pii_text", F.col("s.end") + 1, F.lit(context)))
+    near = spans.select("__pii_row", "__pii_x", value.alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(WORD), F.lit(0)))).alias("term")).distinct()
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))  # a row of `near` for each document
-    texts = near.select("entity", "term", "__x").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
+    texts = near.select("entity", "term", "__pii_x").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
     pairs = settle(pairs.join(texts, ["entity", "term"]), "term-pairs")
-    entities = spans.select("__row", value.alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    entities = spans.select("__pii_row", value.alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
@@ -136,26 +136,26 @@ def disclosive(docs: DataFrame, found: DataFrame, support: int = SUPPORT, thresh
 
 
 def with_spans(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of `docs`, __text, __base and __spans: base and term spans as (start, ord, end)."""
+    """All columns of `docs`, __pii_text, __pii_base and __pii_spans: base and term spans as (start, ord, end)."""
     marked = with_base(docs)
-    found = marked.filter("size(__base) > 0").withColumn("__x", F.xxhash64("__text")).withColumn("__row", F.monotonically_increasing_id())
+    found = marked.filter("size(__pii_base) > 0").withColumn("__pii_x", F.xxhash64("__pii_text")).withColumn("__pii_row", F.monotonically_increasing_id())
     found = settle(found, "personal")
     pairs = disclosive(docs, found, support, threshold)
     value = F.concat_ws(":", F.col("s.ord").cast("string"), F.lower("s.value"))
-    own = found.select("__row", F.explode("__base").alias("s")).select("__row", value.alias("entity")).distinct()
-    terms = own.join(pairs, "entity").groupBy("__row").agg(F.array_sort(F.collect_set("term")).alias("__terms"))
-    rows = found.join(terms, "__row", "left")
+    own = found.select("__pii_row", F.explode("__pii_base").alias("s")).select("__pii_row", value.alias("entity")).distinct()
+    terms = own.join(pairs, "entity").groupBy("__pii_row").agg(F.array_sort(F.collect_set("term")).alias("__pii_terms"))
+    rows = found.join(terms, "__pii_row", "left")
     # the terms are letters only, so they stand for themselves in a pattern
-    rows = rows.withColumn("__p", F.when(F.size("__terms") > 0, F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__terms", "|"), F.lit(r")(?!\p{L})"))))
+    rows = rows.withColumn("__pii_p", F.when(F.size("__pii_terms") > 0, F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__pii_terms", "|"), F.lit(r")(?!\p{L})"))))
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("__h", F.when(F.col("__p").isNotNull(), F.regexp_extract_all("__text", F.col("__p"), F.lit(0))).otherwise(none))
-    rows = rows.withColumn("__g", F.when(F.size("__h") > 0, F.split("__text", F.col("__p"), -1)).otherwise(none))
-    rows = rows.withColumn("__t", places(F.col("__text"), F.col("__h"), F.col("__g"), 4))
-    rows = rows.withColumn("__t", F.filter("__t", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    rows = rows.withColumn("__pii_h", F.when(F.col("__pii_p").isNotNull(), F.regexp_extract_all("__pii_text", F.col("__pii_p"), F.lit(0))).otherwise(none))
+    rows = rows.withColumn("__pii_g", F.when(F.size("__pii_h") > 0, F.split("__pii_text", F.col("__pii_p"), -1)).otherwise(none))
+    rows = rows.withColumn("__pii_t", places(F.col("__pii_text"), F.col("__pii_h"), F.col("__pii_g"), 4))
+    rows = rows.withColumn("__pii_t", F.filter("__pii_t", lambda t: ~F.exists("__pii_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
-    columns = [*docs.columns, "__text", "__base"]
-    rows = rows.select(*columns, F.array_sort(F.concat(bare("__base"), bare("__t"))).alias("__spans"))
-    return marked.filter("size(__base) = 0").select(*columns, F.array().cast(SPAN).alias("__spans")).unionByName(rows)
+    columns = [*docs.columns, "__pii_text", "__pii_base"]
+    rows = rows.select(*columns, F.array_sort(F.concat(bare("__pii_base"), bare("__pii_t"))).alias("__pii_spans"))
+    return marked.filter("size(__pii_base) = 0").select(*columns, F.array().cast(SPAN).alias("__pii_spans")).unionByName(rows)
 
 
 def joined(spans: Column | str) -> Column:
@@ -166,8 +166,8 @@ def joined(spans: Column | str) -> Column:
 
 def digest(docs: DataFrame) -> DataFrame:
     rows = with_spans(docs.select("doc_id", "text"))
-    counts = [F.size(F.filter("__base", _of(o))).cast("bigint").alias(f"n_{k}") for o, k in enumerate(KINDS[:4])]
-    return rows.select("doc_id", *counts, F.sha2(joined("__base"), 256).alias("base_sha256"), joined("__spans").alias("spans"))
+    counts = [F.size(F.filter("__pii_base", _of(o))).cast("bigint").alias(f"n_{k}") for o, k in enumerate(KINDS[:4])]
+    return rows.select("doc_id", *counts, F.sha2(joined("__pii_base"), 256).alias("base_sha256"), joined("__pii_spans").alias("spans"))
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
@@ -179,13 +179,13 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHO
 
     def add(acc, s):
         fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(marks, s["ord"] + 1))
+        piece = F.concat(F.substring(F.col("__pii_text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(marks, s["ord"] + 1))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("__spans", zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))))
-    text = F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))
-    out = rows.withColumn("__new", text)
-    changed = {"text": F.col("__new").cast(docs.schema["text"].dataType)}
+    done = F.aggregate("__pii_spans", zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__pii_text"), acc["at"] + 1, F.length("__pii_text"))))
+    text = F.when(F.size("__pii_spans") > 0, done).otherwise(F.col("text"))
+    out = rows.withColumn("__pii_new", text)
+    changed = {"text": F.col("__pii_new").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.size("__spans") > 0, F.length("__new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.size("__pii_spans") > 0, F.length("__pii_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm import bpe, decontamination, language, licenses, pii, setjoin, sharding, tokenfile, toxicity
+import corpus_pipeline
+from marketframe.llm import bpe, decontamination, language, licenses, neighbours, pii, setjoin, sharding, tokenfile, toxicity
 from marketframe.llm.common import table
 
 
@@ -15,12 +16,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": lambda spark, d: decontamination.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op2_bpe": lambda spark, d: bpe.digest(table(spark, d, "documents")),
         "op3_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
+        "op4_neighbours": lambda spark, d: neighbours.digest(table(spark, d, "embeddings")),
         "op5_jaccard_join": lambda spark, d: setjoin.digest(table(spark, d, "documents")),
         "op6_token_files": lambda spark, d: tokenfile.digest(table(spark, d, "documents")),
         "op7_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
         "op8_language": lambda spark, d: language.digest(table(spark, d, "documents")),
         "op9_licenses": lambda spark, d: licenses.digest(table(spark, d, "documents")),
         "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -219,24 +219,30 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
     return Classifier(weights, float(fitted.intercept))
 
 
-def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep` and `score` double; only the text is read. A kept column named
-    `score` gives way."""
+def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc_id",), out_col: str = "score") -> DataFrame:
+    """The columns of `keep` and `out_col` double; only the text is read. A kept column of that
+    name gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)  # at most FEATURES weights
-    kept = [c for c in keep if c != "score"]
+    kept = [c for c in keep if c != out_col]
     source = docs.select(*kept, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{out_col}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for batch in batches:
             for b in slices(batch):
                 scores = [c.score(t) for t in b.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(scores, pa.float64())], names=[*kept, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(scores, pa.float64())], names=[*kept, out_col])
 
     return source.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score below `limit`, with all their columns."""
+    scored = score(docs, train(docs, labels), keep=tuple(docs.columns), out_col="__toxicity")
+    return scored.filter(F.col("__toxicity") < limit).select(*docs.columns)
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
     return score(docs, train(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
