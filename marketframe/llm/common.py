@@ -50,3 +50,20 @@ def alnum_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of whole texts that go to a Python worker at a time; documents may have megabytes.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """From now on the session sends at most BATCH_ROWS rows to Python at a time."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow in bounded batches, so that memory is that of few texts."""
+    bounded_batches(df)
+    return df.mapInArrow(run, schema)

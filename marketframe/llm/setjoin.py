@@ -11,9 +11,11 @@ Two sets of similarity t share at least c of the first |x| - ceil(t |x|) + c shi
 The boundary between small and large is the largest size whose subsets cost no more rows than
 its list entries and the partners that those lists hold on average.
 
-Lists are not expanded into all pairs. Each list first pairs its members with its smallest
-one; what verifies is linked, linked documents are contracted, and only lists that still hold
-different components pair the members of different components. Every candidate is verified on
+Lists are not expanded into all pairs. In each of PIVOT_ROUNDS rounds a list that holds different
+components pairs its members with its most central one that wasn't tried before; what verifies is
+linked, and linked documents are contracted. Then only lists that still hold different components
+pair the members of different components. A pair is a candidate only where what both sets hold
+behind the common key suffices (the first common key of similar sets always passes). Every candidate is verified on
 the whole sets, so links and components are exact.
 
 A row without words or text has an empty set and links with nothing. Rows without doc_id take no
@@ -35,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.bpe import slices
-from marketframe.llm.common import settle
+from marketframe.llm.common import map_arrow, settle
 from marketframe.llm.components import components
 
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 128
+PIVOT_ROUNDS = 2
 LEAST_HASHES = 4096  # shingles whose counts are kept exactly, for the mean list length
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -94,21 +97,23 @@ def boundary(sim: Similarity, partners: float) -> int:
     return n
 
 
-def keys(h: np.ndarray, rarity: np.ndarray, sim: Similarity, limit: int) -> np.ndarray:
-    """The subset and list keys that a set emits."""
+def keys(h: np.ndarray, rarity: np.ndarray, sim: Similarity, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The subset and list keys that a set emits, and their places: of a list key its place in the
+    order of rarity, of a subset the place of its later shingle less 1. Behind a common key at
+    place p, and before it if it is the first common one, a set of n can share n - p shingles."""
     n = len(h)
     if n < sim.least_size():
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
     p = sim.prefix(n)
     first = h[np.lexsort((h, rarity))[: p + 1]]
-    out = []
+    out, at = [], []
     if n <= limit:
         i, j = np.triu_indices(len(first), 1)
         a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
-        out.append(mixed(mixed(a) + b))
+        out.append(mixed(mixed(a) + b)), at.append(j - 1)
     if n > limit or sim.den * n >= sim.num * (limit + 1):  # large, or within reach of a large one
-        out.append(first[:p])
-    return np.concatenate(out).view(np.int64)
+        out.append(first[:p]), at.append(np.arange(p))
+    return np.concatenate(out).view(np.int64), np.concatenate(at).astype(np.int32)
 
 
 def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
@@ -118,14 +123,26 @@ def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, least, some = np.zeros(size, dtype=np.uint32), (np.empty(0, np.uint64), np.empty(0, np.uint64)), False
-        for batch in batches:
-            for b in slices(batch, 2000):
-                h = np.concatenate([shingles(t, k) for t in b.column(0).to_pylist()])
-                if not len(h):
-                    continue
+        held: list[np.ndarray] = []
+
+        def flush() -> None:
+            nonlocal counts, least, some
+            h = np.concatenate(held) if held else np.empty(0, np.uint64)
+            held.clear()
+            if len(h):
                 some = True
                 counts += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
                 least = _least(np.concatenate((least[0], h)), np.concatenate((least[1], np.ones(len(h), np.uint64))))
+
+        waiting = 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(shingles(text.as_py(), k))
+                waiting += len(held[-1])
+                if waiting > 2_000_000:
+                    flush()
+                    waiting = 0
+        flush()
         if some:
             pack = zstandard.ZstdCompressor(level=1).compress
             rows = [(i, pack(counts[i * width : (i + 1) * width].tobytes())) for i in range(SKETCH_BLOCKS)] + [(-1, np.stack(least).tobytes())]
@@ -142,7 +159,7 @@ def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
                 total = new.copy() if total is None else total + new
         return pd.DataFrame({"block": [block], "part": [total.tobytes()]})
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
+    parts = map_arrow(docs.select(F.col("text").cast("string")), run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
     counts, partners = np.zeros(size, dtype=np.uint32), 0.0
     for block, part in parts.collect():  # 4 * 2^SKETCH_BITS bytes in all
         if block >= 0:
@@ -183,11 +200,12 @@ def sets(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
                     d = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64)
                     n.append(len(h)), s1.append(int(d[0])), s2.append(int(d[1]))
                     out.append(keys(h, rarity[(h & mask).astype(np.int64)], sim, limit))
-                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
+                ends = np.cumsum([0, *(len(x) for x, _ in out)]).astype(np.int32)
+                values = pa.StructArray.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([x for _, x in out]))], names=["key", "pos"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), values)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["doc_id", "n", "s1", "s2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<struct<key:bigint,pos:int>>")
 
 
 def id_filter(ids: DataFrame) -> tuple[int, np.ndarray]:
@@ -218,7 +236,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, sim: Similarity) -> Data
 
     bit = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << bits))
     some = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), bit)
-    rows = some.mapInArrow(read, "id bigint, set binary")
+    rows = map_arrow(some, read, "id bigint, set binary")
     both = pairs.join(rows.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(rows.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +249,25 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, sim: Similarity) -> Data
                 good.append(len(p) > 0 and len(q) > 0 and sim.holds(int(np.count_nonzero(q[at] == p)), len(p), len(q)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return map_arrow(both.select("a", "b", "sa", "sb"), compare, "a bigint, b bigint").distinct()
+
+
+def near(x: str, y: str, sim: Similarity):
+    """Whether two sizes allow similar sets."""
+    return F.least(x, y) * sim.den >= F.greatest(x, y) * sim.num
+
+
+def _ceil(a, b: int):
+    return F.floor((a + (b - 1)) / b)
+
+
+def _reaches(pos: str, n: str, other, sim: Similarity):
+    """Whether what is left of a set at a common key suffices for a similar set of size `other`."""
+    return F.col(pos) <= F.col(n) - _ceil((F.col(n) + other) * sim.num, sim.num + sim.den)
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return settle(rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -246,28 +282,34 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
 
     reps = full.join(classes.filter(F.col("n") >= sim.least_size()).withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2", "n"], "left_semi")
     reps = settle(reps.select("doc_id", "n", "keys"), "representatives")
-    entries = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
-    lists = entries.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    shared = settle(entries.join(lists.drop("last"), "key"), "lists")
-
-    def near(x: str, y: str):
-        small, large = F.least(x, y), F.greatest(x, y)
-        return small * den >= large * num
-
-    sizes = reps.select(F.col("doc_id").alias("first"), F.col("n").alias("m")).distinct()
-    pairs = shared.filter("doc_id > first").select("first", "doc_id", "n").distinct().join(sizes, "first").filter(near("n", "m"))
-    pairs = settle(pairs.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = settle(verified(pairs, docs, k, sim), "verified")
-    roots = components(links, "a", "b")
-
-    placed = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    placed = settle(placed.select("key", "doc_id", "n", "first", "root"), "placed")
+    entries = reps.select("doc_id", "n", F.inline("keys"))
+    lists = entries.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.min("n").alias("low")).filter("a < z").select("key", "low")
+    placed = entries.join(lists, "key").filter(_reaches("pos", "n", F.greatest("low", _ceil(F.col("n") * num, den)), sim))
+    placed = settle(placed.select("key", "pos", "doc_id", "n", F.col("doc_id").alias("root"), F.lit(False).alias("used")), "lists")
+    links = tested = None
+    for _ in range(PIVOT_ROUNDS):
+        # the unused member for which the key is the rarest is the least edited one: it hardly has
+        # shingles of its own, so the others are likeliest to be similar to it
+        free = F.when(~F.col("used"), F.struct("pos", "doc_id", "n", "root"))
+        pivots = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.min(free).alias("p")).filter("r < z AND p IS NOT NULL").select("key", "p")
+        x = placed.join(pivots, "key", "left")
+        x = settle(x.withColumn("used", F.col("used") | F.coalesce(F.col("p.doc_id") == F.col("doc_id"), F.lit(False))), "pivots")
+        fit = _reaches("pos", "n", F.col("p.n"), sim) & _reaches("p.pos", "p.n", F.col("n"), sim)
+        pairs = x.filter("p IS NOT NULL AND root <> p.root").filter(near("n", "p.n", sim) & fit)
+        pairs = pairs.select(F.least("p.doc_id", "doc_id").alias("a"), F.greatest("p.doc_id", "doc_id").alias("b")).distinct()
+        pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = settle(verified(pairs, docs, k, sim), "verified")
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        placed = _rooted(x.drop("p", "root"), components(links, "a", "b"))
+
     open_ = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z")).filter("r < z").select("key")
-    rest = placed.join(open_, "key")
-    x, y = rest.alias("x"), rest.filter("doc_id > first").alias("y")
-    # members against members of other components; pairs with the first are verified already
-    more = x.join(y, F.expr("x.key = y.key AND x.doc_id < y.doc_id AND x.root <> y.root AND x.doc_id > x.first")).filter(near("x.n", "y.n"))
-    more = settle(more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = placed.join(open_, "key").filter("NOT used")
+    # members against members of other components; pairs with a pivot are verified already
+    fit = _reaches("x.pos", "x.n", F.col("y.n"), sim) & _reaches("y.pos", "y.n", F.col("x.n"), sim)
+    other = F.expr("x.key = y.key AND x.doc_id < y.doc_id AND x.root <> y.root")
+    more = rest.alias("x").join(rest.alias("y"), other & near("x.n", "y.n", sim) & fit)
+    more = settle(more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     roots = components(links.unionByName(verified(more, docs, k, sim)).unionByName(own), "a", "b")
 
     found = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
