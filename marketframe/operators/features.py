@@ -1,7 +1,7 @@
 """Feature columns over bars (symbol, ts, open, high, low, close, volume), as window expressions.
 
-Parameters that the reference fixes keep their values. `compat` restores its known faults: products
-of features that it leaves at zero, and longer-timeframe values keyed by the left edge of their own
+Periods and factors are fixed values. `compat` restores the known faults of older matrices: products
+of features left at zero, and longer-timeframe values keyed by the left edge of their own
 unfinished bucket; by default a bar sees the last finished bucket only.
 """
 
