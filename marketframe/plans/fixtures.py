@@ -26,7 +26,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
     """Orders as a ledger of results: F wins, O loses, P is a draw."""
     o = table(spark, d, "orders")
     outcome = F.when(F.col("o_orderstatus") == "F", "win").when(F.col("o_orderstatus") == "O", "loss").otherwise("draw")
-    amount = F.round(F.col("o_totalprice") / 1000, 2)
+    amount = F.col("o_totalprice") / 1000
     return o.select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"), outcome.alias("outcome"), amount.alias("payout"), amount.alias("stake"), F.col("o_totalprice").alias("open_price"), (F.col("o_totalprice") * F.when(F.col("o_orderkey") % 10 == 0, 0).otherwise(1)).alias("close_price"))
 
 
@@ -58,7 +58,7 @@ def bars_sql(name: str = "b", seconds: int = 3600, source: str = "t") -> str:
     return f"{name} AS (SELECT symbol, {at} AS ts, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, count(*) AS ticks, CAST(count(*) AS DOUBLE) AS volume FROM {source} GROUP BY symbol, {at})"
 
 
-R = "r AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'win' WHEN 'O' THEN 'loss' ELSE 'draw' END AS outcome, round(o_totalprice / 1000, 2) AS payout, round(o_totalprice / 1000, 2) AS stake, o_totalprice AS open_price, o_totalprice * CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 1 END AS close_price FROM orders)"
+R = "r AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'win' WHEN 'O' THEN 'loss' ELSE 'draw' END AS outcome, o_totalprice / 1000 AS payout, o_totalprice / 1000 AS stake, o_totalprice AS open_price, o_totalprice * CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 1 END AS close_price FROM orders)"
 
 SHOW_TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 W = "(PARTITION BY symbol ORDER BY ts)"

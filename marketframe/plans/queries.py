@@ -396,7 +396,7 @@ def label_metadata(spark, d):
     return labels.metadata(labels.direction(hourly(spark, d), "5_MIN", min_move_atr=0.5))
 
 
-@query(f"WITH {T}, {B}, {LABEL}, g AS (SELECT *, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM lb WHERE label >= 0), k AS (SELECT *, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM g WHERE n >= 100) SELECT symbol, split, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts FROM k GROUP BY ALL")
+@query(f"WITH {T}, {B}, {LABEL}, g AS (SELECT *, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM lb WHERE label >= 0), k AS (SELECT *, CASE WHEN i < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN i < floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM g WHERE n >= 100) SELECT symbol, split, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts FROM k GROUP BY ALL")
 def label_split(spark, d):
     rows = hourly(spark, d)
     joined = labels.labelled(rows, labels.direction(rows, "5_MIN"))
