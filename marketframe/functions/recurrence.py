@@ -1,9 +1,10 @@
 """First-order recurrences as a blocked affine scan.
 
-An exponential mean is y_i = A_i y_(i-1) + B_i. Rows of a symbol fall into blocks of `block` rows;
-inside a block the maps compose by two running sums, one row per block carries (P, local), the
-carries are folded over the blocks of a symbol, and y = P carry + local. All columns of one call
-share the same passes. Semantics are those of an unadjusted exponential mean that weighs by absolute
+An exponential mean is y_i = A_i y_(i-1) + B_i. Rows of a symbol fall into blocks in each of which
+the past loses a factor of about exp(-`decay`). Inside a block the maps compose by two running sums
+to y = P carry + local; the carry is what the last rows of the two blocks before say, as older ones
+weigh less than exp(-2 `decay`). Everything is windows within a symbol: one shuffle, no join, and
+all columns of one call share the windows over the whole symbol. Semantics are those of an unadjusted exponential mean that weighs by absolute
 position: at a value after m nulls the old mean has weight (1 - alpha)^(m + 1), and a null repeats
 the mean; the first value seeds it; results are null until `min_periods` values were seen.
 """
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 64
+DECAY = 20.0
 
 
 @dataclass(frozen=True)
@@ -33,49 +34,39 @@ def span(n: int) -> float:
     return 2.0 / (n + 1)
 
 
-def ewm(df: DataFrame, outs: dict[str, Ewm], block: int = BLOCK, order: str = "ts") -> DataFrame:
+def ewm(df: DataFrame, outs: dict[str, Ewm], decay: float = DECAY, order: str = "ts") -> DataFrame:
     """`df` with the columns of `outs`. A seeded column expects values without holes after the first."""
     w = Window.partitionBy("symbol").orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("__i", F.row_number().over(w)).withColumn("__b", F.floor((F.col("__i") - 1) / block))
-    local = Window.partitionBy("symbol", "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    maps, scans, carries = {}, {}, []
-    for k, (name, e) in enumerate(outs.items()):
-        x, here = F.col(e.x), F.col(e.x).isNotNull()
-        seen = F.count(x).over(upto)
+    ks = range(len(outs))
+    seen, maps = {"__i": F.row_number().over(w)}, {}
+    for k, e in enumerate(outs.values()):
+        x = F.col(e.x)
+        seen |= {f"__n{k}": F.count(x).over(upto), f"__m{k}": F.avg(x).over(upto)}
+    out = df.withColumns(seen)
+    out = out.withColumns({f"__l{k}": F.max(F.when(F.col(e.x).isNotNull(), F.col("__i"))).over(before) for k, e in enumerate(outs.values())})
+    for k, e in enumerate(outs.values()):
+        x, here, n, last = F.col(e.x), F.col(e.x).isNotNull(), F.col(f"__n{k}"), F.col(f"__l{k}")
         keep = F.log(F.lit(1 - e.alpha))
-        last = F.max(F.when(here, F.col("__i"))).over(before)
-        g = F.exp(keep * (F.col("__i") - last))
         if e.seed:
-            mean = F.avg(x).over(upto)
-            ln_a = F.when(here & (seen > e.seed), keep).otherwise(0.0)
-            b = F.when(here & (seen == e.seed), mean).when(here & (seen > e.seed), e.alpha * x).otherwise(0.0)
+            ln_a = F.when(here & (n > e.seed), keep).otherwise(0.0)
+            b = F.when(here & (n == e.seed), F.col(f"__m{k}")).when(here & (n > e.seed), e.alpha * x).otherwise(0.0)
         else:
+            g = F.exp(keep * (F.col("__i") - last))
             ln_a = F.when(here & last.isNotNull(), F.log(g / (g + e.alpha))).otherwise(0.0)
             b = F.when(here, F.when(last.isNull(), x).otherwise(e.alpha * x / (g + e.alpha))).otherwise(0.0)
-        maps |= {f"__a{k}": ln_a, f"__c{k}": b, f"__n{k}": seen}
-        scans |= {f"__p{k}": F.exp(F.sum(f"__a{k}").over(local))}
-    out = out.withColumns(maps).withColumns(scans)
-    out = out.withColumns({f"__s{k}": F.col(f"__p{k}") * F.sum(F.col(f"__c{k}") / F.col(f"__p{k}")).over(local) for k in range(len(outs))})
-    tails = out.filter((F.col("__i") % block == 0)).select("symbol", "__b", *(f"__{t}{k}" for k in range(len(outs)) for t in "ps"))
-    for k in range(len(outs)):
-        carries.append(F.struct(F.col(f"__p{k}").alias("p"), F.col(f"__s{k}").alias("s")).alias(f"t{k}"))
-    listed = tails.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("__b", *carries))).alias("ts"))
-    # one array of (block, carries) per symbol: rows / block entries
-    empty = "array<struct<b:bigint," + ",".join(f"y{k}:double" for k in range(len(outs))) + ">>"
-    zero = F.array().cast(empty)
-
-    def step(acc, t):
-        prev = F.element_at(acc, -1)
-        first = F.size(acc) == 0
-        ys = [(F.when(first, F.lit(0.0)).otherwise(prev[f"y{k}"]) * t[f"t{k}"]["p"] + t[f"t{k}"]["s"]).alias(f"y{k}") for k in range(len(outs))]
-        return F.concat(acc, F.array(F.struct((t["__b"] + 1).alias("b"), *ys)))
-
-    folded = listed.select("symbol", F.inline(F.aggregate("ts", zero, step))).withColumnRenamed("b", "__b")
-    out = out.join(folded, ["symbol", "__b"], "left")
-    result = {}
-    for k, (name, e) in enumerate(outs.items()):
-        y = F.coalesce(F.col(f"y{k}"), F.lit(0.0)) * F.col(f"__p{k}") + F.col(f"__s{k}")
-        result[name] = F.when(F.col(f"__n{k}") >= max(e.min_periods, e.seed, 1), y)
+        maps |= {f"__a{k}": F.greatest(F.coalesce(ln_a, F.lit(-2 * decay)), F.lit(-2 * decay)), f"__c{k}": b}
+    out = out.withColumns(maps)
+    out = out.withColumns({f"__d{k}": F.floor(-F.sum(f"__a{k}").over(upto) / decay) for k in ks})
+    out = out.withColumns({f"__t{k}": F.lead(f"__d{k}").over(w) > F.col(f"__d{k}") for k in ks})
+    for k in ks:
+        local = Window.partitionBy("symbol", f"__d{k}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn(f"__p{k}", F.exp(F.sum(f"__a{k}").over(local)))
+        out = out.withColumn(f"__s{k}", F.col(f"__p{k}") * F.sum(F.col(f"__c{k}") / F.col(f"__p{k}")).over(local))
+    tail = lambda k, y: F.last(F.when(F.col(f"__t{k}"), y), True).over(before)
+    whole = lambda k, c: F.col(f"__s{k}") + F.col(f"__p{k}") * F.coalesce(F.col(c), F.lit(0.0))
+    out = out.withColumns({f"__u{k}": tail(k, F.col(f"__s{k}")) for k in ks})
+    out = out.withColumns({f"__v{k}": tail(k, whole(k, f"__u{k}")) for k in ks})
+    result = {name: F.when(F.col(f"__n{k}") >= max(e.min_periods, e.seed, 1), whole(k, f"__v{k}")) for k, (name, e) in enumerate(outs.items())}
     return out.withColumns(result).select(*[c for c in df.columns if c not in result], *result)
