@@ -120,16 +120,21 @@ def disclosive(docs: DataFrame, found: DataFrame, support: int = SUPPORT, thresh
     near = spans.select("__pii_row", "__pii_x", value.alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(WORD), F.lit(0)))).alias("term")).distinct()
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))  # a row of `near` for each document
     texts = near.select("entity", "term", "__pii_x").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    pairs = settle(pairs.join(texts, ["entity", "term"]), "term-pairs")
     entities = spans.select("__pii_row", value.alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # a term stands in as many documents at least as it stands near base spans in: words that are
+    # too frequent there can't reach the threshold, and needn't be counted over the corpus
+    seen = near.select("__pii_row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    n = F.lit(float(docs.count()))
+    most = F.col("n_te") * F.pow(n / F.col("n_e"), F.lit(1 - threshold)) * (1 + 1e-9)
+    pairs = pairs.join(texts, ["entity", "term"]).join(entities, "entity").join(seen, "term").filter((F.col("n_e") < n) & (F.col("n_near") <= most))
+    pairs = settle(pairs.select("entity", "term", "n_te", "n_e"), "term-pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
         return pairs.select("entity", "term")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
     counts = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = F.lit(float(docs.count()))
-    both = pairs.join(entities, "entity").join(counts, "term")
+    both = pairs.join(counts, "term")
     information = F.log2(n / F.col("n_e"))
     share = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / information
     return both.filter((information > 0) & (share >= threshold)).select("entity", "term")
