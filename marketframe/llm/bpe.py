@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketframe.llm.common import map_arrow, worker_cache
+
 #: Bytes of fragments and ids a worker remembers before it starts anew.
 MEMO_BYTES = 48_000_000
 
-_CODERS: dict[str, "FragmentCoder"] = {}
+_CODERS: dict[str, "FragmentCoder"] = worker_cache()
 
 
 def default_tokenizer() -> str:
@@ -188,7 +190,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
                 columns = [*part.columns[: len(kept)], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_tokens", "ids"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", tokenizer: str | None = None) -> DataFrame:
@@ -206,7 +208,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", t
                 texts = [c.decode(x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,24 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow in bounded batches, so that memory is that of few texts."""
     bounded_batches(df)
     return df.mapInArrow(run, schema)
+
+
+_CACHES: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as its Python worker, or until another operator needs the room."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def free_worker() -> None:
+    """Drops what earlier operators left in this Python worker and returns free memory to the system:
+    workers are reused, and those of one executor share its memory with the JVM."""
+    for cache in _CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

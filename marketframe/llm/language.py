@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.bpe import slices
+from marketframe.llm.common import map_arrow
 
 #: Bound of labelled rows that the model is fitted on, of its words, of its n-grams' length.
 SAMPLE_ROWS = 20_000
@@ -137,7 +138,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs, scores = zip(*map(scorer.text, b.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_arrow(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marketframe.llm.bpe import slices
-from marketframe.llm.common import settle
+from marketframe.llm.common import map_arrow, settle
 
 K = 4
 GAP = 3
@@ -113,7 +113,7 @@ def read_words(docs: DataFrame, code: dict[bytes, int], hashes: list[int], k: in
                 columns = [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n, n_base, first, last)), pa.array(labels, pa.list_(pa.string())), pa.array(grams, grams_type)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "__h", "n_words", "n_base", "first_word", "last_word", "base_labels", "grams"])
 
-    return source.mapInArrow(run, FOUND)
+    return map_arrow(source, run, FOUND)
 
 
 def spans(found: DataFrame, places: DataFrame, k: int = K, gap: int = GAP, cover: float = COVER) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.bpe import slices
-from marketframe.llm.common import map_arrow, settle
+from marketframe.llm.common import free_worker, map_arrow, settle
 from marketframe.llm.components import components
 
 SKETCH_BITS = 22
@@ -122,16 +122,17 @@ def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
     size, width = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         counts, least, some = np.zeros(size, dtype=np.uint32), (np.empty(0, np.uint64), np.empty(0, np.uint64)), False
         held: list[np.ndarray] = []
 
         def flush() -> None:
-            nonlocal counts, least, some
+            nonlocal least, some
             h = np.concatenate(held) if held else np.empty(0, np.uint64)
             held.clear()
             if len(h):
                 some = True
-                counts += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
+                np.add.at(counts, (h & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
                 least = _least(np.concatenate((least[0], h)), np.concatenate((least[1], np.ones(len(h), np.uint64))))
 
         waiting = 0
@@ -139,7 +140,7 @@ def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
             for text in batch.column(0):
                 held.append(shingles(text.as_py(), k))
                 waiting += len(held[-1])
-                if waiting > 2_000_000:
+                if waiting > 500_000:
                     flush()
                     waiting = 0
         flush()
@@ -191,6 +192,7 @@ def sets(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
     mask = np.uint64((1 << SKETCH_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         rarity = shared.value
         for batch in batches:
             for b in slices(batch):
@@ -226,6 +228,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, sim: Similarity) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         unset = shared.value
         for batch in batches:
             x = batch.column(2).to_numpy()
@@ -240,6 +243,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, sim: Similarity) -> Data
     both = pairs.join(rows.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(rows.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):

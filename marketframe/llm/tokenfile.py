@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.bpe import coder, default_tokenizer, slices
-from marketframe.llm.common import shared_dir
+from marketframe.llm.common import map_arrow, shared_dir
 
 MAGIC = b"WVMX0001"
 BLOCK = 512  # bits between entries of the rank directory
@@ -215,7 +215,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = SHARD
         if doc_ids:
             yield shard()
 
-    rows.mapInArrow(run, SHARDS).write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
+    map_arrow(rows, run, SHARDS).write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
 
 
 ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])

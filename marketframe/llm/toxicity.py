@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.bpe import slices
+from marketframe.llm.common import bounded_batches, free_worker, map_arrow
 
 SAMPLE_ROWS = 20_000
 VOTERS = 300
@@ -41,7 +43,7 @@ SHARED = (2, 3)
 MIN_TOXIC, MIN_LEAN = 4, 5.0  # rows with the toxic mark, and standard errors, that make a voter
 LABEL_NOISE = 0.0005
 REGULAR = 1e-4  # of the linear model
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -90,7 +92,7 @@ def count_features(sample: DataFrame) -> DataFrame:
                 names = list(counts[0] | counts[1])
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[y][f] for f in names], pa.int64()) for y in (1, 0))], names=["feature", "n1", "n0"])
 
-    return sample.mapInArrow(run, "feature string, n1 bigint, n0 bigint").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return map_arrow(sample, run, "feature string, n1 bigint, n0 bigint").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def lean(n1: int, n0: int, all1: int, all0: int) -> float:
@@ -183,7 +185,7 @@ def present(sample: DataFrame, chosen: list[str]) -> DataFrame:
             found = [sorted(text_features(t) & chosen_set) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["y", "found"])
 
-    return sample.mapInArrow(run, "y int, found array<string>")
+    return map_arrow(sample, run, "y int, found array<string>")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier:
@@ -214,7 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
     rows_ = [(r["found"], float(y), float(p)) for r, p1 in zip(held, q) for y, p in ((1, p1), (0, 1 - p1)) if p > 1e-6]
     vectors = CountVectorizerModel.from_vocabulary(chosen, inputCol="found", outputCol="features", minTF=1.0)
     vectors = vectors.setBinary(True)
-    fitted = LogisticRegression(weightCol="p", labelCol="y", regParam=REGULAR, maxIter=100, standardization=False).fit(vectors.transform(spark.createDataFrame(rows_, "found array<string>, y double, p double").repartition(6)).cache())
+    examples = vectors.transform(spark.createDataFrame(rows_, "found array<string>, y double, p double").repartition(6)).cache()
+    fitted = LogisticRegression(weightCol="p", labelCol="y", regParam=REGULAR, maxIter=100, standardization=False).fit(examples)
+    examples.unpersist()
     weights = {f: float(w) for f, w in zip(chosen, fitted.coefficients.toArray()) if w}
     return Classifier(weights, float(fitted.intercept))
 
@@ -228,19 +232,28 @@ def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{out_col}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         c = shared.value
         for batch in batches:
             for b in slices(batch):
                 scores = [c.score(t) for t in b.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(scores, pa.float64())], names=[*kept, out_col])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """The rows of `docs` that score below `limit`, with all their columns."""
-    scored = score(docs, train(docs, labels), keep=tuple(docs.columns), out_col="__toxicity")
-    return scored.filter(F.col("__toxicity") < limit).select(*docs.columns)
+    """The rows of `docs` that score below `limit`, with all their columns; only texts go to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    @F.pandas_udf("double")
+    def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        free_worker()
+        for part in texts:
+            yield pd.Series([shared.value.score(t) for t in part], dtype="float64")
+
+    bounded_batches(docs)
+    return docs.filter(toxicity(F.col("text").cast("string")) < limit)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
