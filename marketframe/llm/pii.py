@@ -1,18 +1,20 @@
 """Personal data: base patterns and information-theoretic sanitisation.
 
 Base: e-mail addresses, IP addresses, card and phone numbers by pattern and check, as places in the
-text. Method: every base value is a protected entity. Words near its places are its terms; over the
-whole corpus the share of an entity's information that a term gives away is
+text. Method: every base value is a protected entity. The whole words, of `letters` letters at least,
+of every document that holds it are its terms; over the whole corpus the share of an entity's
+information that a term gives away is
 
     disclosure(term, entity) = log2(N n(t,e) / (n(t) n(e))) / log2(N / n(e))
 
-with n the numbers of documents. A term whose disclosure reaches `threshold`, seen near the entity
-in at least `support` different texts, is a span of kind `term` wherever it stands in a document of
-that entity, unless a base span covers part of it. sanitise() removes base values and generalises
-terms to a mark of their kind.
+with n the numbers of documents. A term whose disclosure reaches `threshold`, beside the entity in
+at least `support` different texts, is a span of kind `term` wherever it stands in any document,
+unless a base span covers part of it. sanitise() removes base values and generalises terms to a mark
+of their kind.
 
-All of it is DataFrame functions. The corpus is read for term counts only where candidate terms
-exist; they are broadcast within BROADCAST_TERMS and joined by shuffle beyond.
+All of it is DataFrame functions. Pairs are left out before they are counted only where bounds of
+their counts rule the threshold or `support` out. What is joined is broadcast within BROADCAST_TERMS
+rows and joined by shuffle beyond.
 
 A null text counts as the empty text in scan() and stays null in sanitise(). Repeated rows give
 repeated results, and count apart in n (not in `support`). An empty table gives an empty result.
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from marketframe.llm.common import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 40  # characters on either side of a base span in which terms are looked for
 SUPPORT = 3
 THRESHOLD = 0.9
+LETTERS = 4  # of the shortest word that can be a term
 BROADCAST_TERMS = 200_000
+SALTS = 16
 
 # The patterns, written so that no start inside a run is tried again and no repetition backtracks:
 # the same matches in time proportional to the text.
@@ -37,7 +40,6 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD = r"\p{L}{4,}"
 
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
@@ -110,46 +112,57 @@ def with_base(docs: DataFrame) -> DataFrame:
     return out.drop(*(f"__pii_{kind}" for kind in patterns), *(f"__pii_g{kind}" for kind in patterns))
 
 
-def disclosive(docs: DataFrame, found: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, context: int = CONTEXT) -> DataFrame:
-    """entity and term of every pair whose disclosure reaches the threshold."""
+def words(text: str, letters: int) -> Column:
+    """The different words of a text, lower-cased."""
+    pattern = rf"\p{{L}}{{{letters},}}"
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0)))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """`df`, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def disclosive(marked: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, letters: int = LETTERS) -> DataFrame:
+    """entity and term of every pair whose disclosure reaches the threshold. `marked` has one row for
+    each document: __pii_row, __pii_text and __pii_base."""
     value = F.concat_ws(":", F.col("s.ord").cast("string"), F.lower("s.value"))
-    spans = found.select("__pii_row", "__pii_x", "__pii_text", F.explode("__pii_base").alias("s"))
-    first = F.greatest(F.col("s.start") - context, F.lit(0))
-    before = F.substring("__pii_text", first + 1, F.col("s.start") - first)
-    around = F.concat(before, F.lit("\n"), F.substring("__pii_text", F.col("s.end") + 1, F.lit(context)))
-    near = spans.select("__pii_row", "__pii_x", value.alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(WORD), F.lit(0)))).alias("term")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))  # a row of `near` for each document
-    texts = near.select("entity", "term", "__pii_x").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    entities = spans.select("__pii_row", value.alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    # a term stands in as many documents at least as it stands near base spans in: words that are
-    # too frequent there can't reach the threshold, and needn't be counted over the corpus
-    seen = near.select("__pii_row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    n = F.lit(float(docs.count()))
-    most = F.col("n_te") * F.pow(n / F.col("n_e"), F.lit(1 - threshold)) * (1 + 1e-9)
-    pairs = pairs.join(texts, ["entity", "term"]).join(entities, "entity").join(seen, "term").filter((F.col("n_e") < n) & (F.col("n_near") <= most))
-    pairs = settle(pairs.select("entity", "term", "n_te", "n_e"), "term-pairs")
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        return pairs.select("entity", "term")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
-    counts = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    both = pairs.join(counts, "term")
-    information = F.log2(n / F.col("n_e"))
-    share = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / information
-    return both.filter((information > 0) & (share >= threshold)).select("entity", "term")
-
-
-def with_spans(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    found = marked.filter("size(__pii_base) > 0").withColumn("__pii_x", F.xxhash64("__pii_text"))
+    own = settle(found.select("__pii_row", "__pii_x", F.explode("__pii_base").alias("s")).select("__pii_row", "__pii_x", value.alias("entity")).distinct(), "owners")
+    n = float(marked.count())
+    # n(t,e) is at most n(e), and what `support` texts tell stands in as many documents: all else
+    # can't reach the threshold, whatever its counts
+    entities = own.groupBy("entity", "__pii_x").agg(F.count(F.lit(1)).alias("k")).groupBy("entity").agg(F.sum("k").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    slack = F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - threshold)) * (1 + 1e-9)
+    entities = settle(entities.filter((F.col("texts") >= support) & (F.col("n_e") < n)).select("entity", "n_e", slack.alias("slack")), "entities")
+    most = entities.agg(F.max(F.col("n_e") * F.col("slack"))).first()[0]
+    if most is None:
+        return entities.select("entity", F.lit("").alias("term"))
+    # an entity of many documents is dealt over SALTS keys where entities are not broadcast
+    salted = entities.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    own = own.withColumn("salt", F.pmod("__pii_row", F.lit(SALTS)).cast("int")).join(few(salted), ["entity", "salt"])
+    own = settle(own.select("__pii_row", "__pii_x", "entity", "n_e", "slack"), "live-owners")
+    live = found.join(few(own.select("__pii_row").distinct()), "__pii_row", "left_semi").select("__pii_row", F.explode(words("__pii_text", letters)).alias("term"))
+    live = settle(live, "live-words")
+    # a word stands in as many documents at least as it stands in beside entities
+    seen = live.groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).filter(F.col("n_near").between(support, most)).select("term")
+    seen = settle(seen, "terms")
+    counts = marked.select(F.explode(words("__pii_text", letters)).alias("term")).join(few(seen), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = settle(counts.filter(F.col("n_t") <= most), "term-counts")
+    pairs = live.join(few(counts), "term").join(own, "__pii_row").filter(F.col("n_t") <= F.col("n_e") * F.col("slack"))
+    pairs = pairs.groupBy("entity", "term", "n_e", "n_t", "__pii_x").agg(F.count(F.lit(1)).alias("k"))
+    pairs = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("k").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+    share = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    return pairs.filter((F.col("texts") >= support) & (share >= threshold)).select("entity", "term")
+
+
+def with_spans(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, letters: int = LETTERS) -> DataFrame:
     """All columns of `docs`, __pii_text, __pii_base and __pii_spans: base and term spans as (start, ord, end)."""
-    marked = with_base(docs)
-    found = marked.filter("size(__pii_base) > 0").withColumn("__pii_x", F.xxhash64("__pii_text")).withColumn("__pii_row", F.monotonically_increasing_id())
-    found = settle(found, "personal")
-    pairs = disclosive(docs, found, support, threshold)
-    value = F.concat_ws(":", F.col("s.ord").cast("string"), F.lower("s.value"))
-    own = found.select("__pii_row", F.explode("__pii_base").alias("s")).select("__pii_row", value.alias("entity")).distinct()
-    terms = own.join(pairs, "entity").groupBy("__pii_row").agg(F.array_sort(F.collect_set("term")).alias("__pii_terms"))
-    rows = found.join(terms, "__pii_row", "left")
+    marked = settle(with_base(docs).withColumn("__pii_row", F.monotonically_increasing_id()), "marked")
+    told = settle(disclosive(marked, support, threshold, letters).select("term").distinct(), "told")
+    terms = marked.select("__pii_row", F.explode(words("__pii_text", letters)).alias("term")).join(few(told), "term")
+    terms = settle(terms.groupBy("__pii_row").agg(F.array_sort(F.collect_set("term")).alias("__pii_terms")), "row-terms")
+    rows = marked.join(few(terms), "__pii_row", "left")
     # the terms are letters only, so they stand for themselves in a pattern
     rows = rows.withColumn("__pii_p", F.when(F.size("__pii_terms") > 0, F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__pii_terms", "|"), F.lit(r")(?!\p{L})"))))
     none = F.array().cast("array<string>")
@@ -158,9 +171,7 @@ def with_spans(docs: DataFrame, support: int = SUPPORT, threshold: float = THRES
     rows = rows.withColumn("__pii_t", places(F.col("__pii_text"), F.col("__pii_h"), F.col("__pii_g"), 4))
     rows = rows.withColumn("__pii_t", F.filter("__pii_t", lambda t: ~F.exists("__pii_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
-    columns = [*docs.columns, "__pii_text", "__pii_base"]
-    rows = rows.select(*columns, F.array_sort(F.concat(bare("__pii_base"), bare("__pii_t"))).alias("__pii_spans"))
-    return marked.filter("size(__pii_base) = 0").select(*columns, F.array().cast(SPAN).alias("__pii_spans")).unionByName(rows)
+    return rows.select(*docs.columns, "__pii_text", "__pii_base", F.array_sort(F.concat(bare("__pii_base"), bare("__pii_t"))).cast(SPAN).alias("__pii_spans"))
 
 
 def joined(spans: Column | str) -> Column:
@@ -175,10 +186,10 @@ def digest(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(joined("__pii_base"), 256).alias("base_sha256"), joined("__pii_spans").alias("spans"))
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, letters: int = LETTERS) -> DataFrame:
     """`docs` with the text's spans replaced by [EMAIL], [IP], [CARD], [PHONE] and [TERM]; spans that
     overlap become one, marked as the first. All columns stay as they are, but n_chars follows."""
-    rows = with_spans(docs, support, threshold)
+    rows = with_spans(docs, support, threshold, letters)
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

@@ -99,3 +99,18 @@ def test_sanitise(spark):
         want = out + x[at:] if spans else x
         assert got[i].text == want and got[i].n_chars == len(want or "")
     assert pii.digest(df.limit(0)).count() == 0
+
+
+def test_terms_of_whole_documents(spark):
+    """A term far from the value is found, whole, and generalised in documents without the value too."""
+    far = " plain words between" * 5
+    rows = [f"Quillbrane {i}{far} ask zed@example.org" for i in range(6)]
+    rows += ["quillbrane alone", "Quillbraner, quillbran"] + ["plain words between, nothing else"] * 300
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(df).collect()}
+    assert all(got[i].split(",")[0] == "term:0:10" for i in range(7))
+    assert got[7] == got[8] == ""
+    told = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert told[6] == "[TERM] alone" and told[0] == f"[TERM] 0{far} ask [EMAIL]"
+    short = {r.doc_id: r.text for r in pii.sanitise(df, letters=1).collect()}
+    assert short[0] == f"[TERM] 0{far} [TERM] [EMAIL]"
