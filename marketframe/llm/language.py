@@ -5,8 +5,9 @@ characters: at every place the longest known n-gram (`MAX_GRAM` down to one char
 log frequencies. A text's languages are compared by the sum over its words.
 
 Training counts words per language on at most `SAMPLE_ROWS` labelled rows (a stated bound, drawn
-by a hash of doc_id) and keeps the `MODEL_WORDS` most frequent (word, language) pairs; n-grams are
-counted over those words. Only text and lang of the training rows are learnt from.
+by a hash of doc_id) and keeps `MODEL_WORDS` (word, language) pairs, the most frequent of each
+language. Both bounds are shared out evenly by language: what a small language leaves over goes to
+the larger ones, so none is crowded out. n-grams are counted over those words. Only text and lang of the training rows are learnt from.
 
 A null text, a text without a letter and any text where nothing could be learnt get `und` and
 score 0. Ties go to the language that sorts first. Repeated rows give repeated results.
@@ -22,11 +23,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.llm.bpe import slices
-from marketframe.llm.common import map_arrow
+from marketframe.llm.common import map_arrow, settle
 
 #: Bound of labelled rows that the model is fitted on, of its words, of its n-grams' length.
 SAMPLE_ROWS = 20_000
@@ -38,12 +39,24 @@ MEMO_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def level(sizes: list[int], total: int) -> int:
+    """The most that each of `sizes` may keep, so that together they keep at most `total`; 1 at least."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        if n > left // (len(sizes) - i):
+            return max(1, left // (len(sizes) - i))
+        left -= n
+    return max(1, *sizes, 1)
+
+
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and lang of at most about `rows` rows that may be learnt from."""
+    """text and lang of at most about `rows` rows that may be learnt from, shared out by language."""
     may = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 != 1)
-    n = may.count()
-    share = min(1.0, rows / max(n, 1))
-    return may.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text", "lang")
+    sizes = may.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    most = level([r.n for r in sizes.collect()], rows)
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n"))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.ceil(share * 1_000_000)
+    return may.select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang").filter(drawn).select("text", "lang")
 
 
 class Model:
@@ -121,9 +134,15 @@ class Scorer:
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, model_words: int = MODEL_WORDS) -> Model:
     """Counts words on the training rows in Spark; at most `model_words` pairs reach the driver."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    counts = training_rows(docs, rows).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").count()
-    top = counts.orderBy(F.desc("count"), "lang", "word").limit(model_words)
-    return Model([tuple(r) for r in top.collect()])
+    counts = settle(training_rows(docs, rows).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").count(), "word-counts")
+    most = level([r.n for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()], model_words)
+    # only counts that can be among a language's `most` first are ranked word by word
+    tally = counts.groupBy("lang", "count").agg(F.count(F.lit(1)).alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tally = tally.withColumn("above", above).filter(F.col("above") < most).select("lang", "count")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    top = counts.join(F.broadcast(tally), ["lang", "count"]).withColumn("rank", rank).filter(F.col("rank") <= most)
+    return Model(sorted(tuple(r) for r in top.select("lang", "word", "count").collect()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
