@@ -15,17 +15,21 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for `name` under spark.checkpoint.dir, which all executors share.
 
-    Where that setting is missing (tests, one machine) a temporary folder takes its place.
+    Where that setting is missing, a temporary folder takes its place in local mode, which has one
+    machine; on a cluster it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and context.master.startswith("local[") or context.master == "local":
+        root = root or _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="marketframe-"))
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="marketframe-")
-        spark.sparkContext.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -54,15 +58,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of whole texts that go to a Python worker at a time; documents may have megabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes of whole texts that go to a Python worker at a time; documents may have megabytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> None:
-    """From now on the session sends at most BATCH_ROWS rows to Python at a time."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Bounds the Arrow batches of this session where it leaves Spark's defaults (10,000 rows, 64 MB).
+
+    Spark reads these settings when a plan is run, so they can't be tied to one DataFrame; a session
+    that sets its own bounds keeps them."""
+    conf = df.sparkSession.conf
+    for key, default, bound in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        if conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            conf.set(f"spark.sql.execution.arrow.{key}", bound)
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
@@ -80,11 +88,12 @@ def worker_cache() -> dict:
     return _CACHES[-1]
 
 
-def free_worker() -> None:
-    """Drops what earlier operators left in this Python worker and returns free memory to the system:
-    workers are reused, and those of one executor share its memory with the JVM."""
+def free_worker(keep: dict | None = None) -> None:
+    """Drops what earlier operators left in this Python worker, but for `keep`, and returns free memory
+    to the system: workers are reused, and those of one executor share its memory with the JVM."""
     for cache in _CACHES:
-        cache.clear()
+        if cache is not keep:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

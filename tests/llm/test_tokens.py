@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from marketframe.llm import bpe, sharding, tokenfile
@@ -33,7 +34,9 @@ def test_bpe_equals_library(spark):
     rng = random.Random(5)
     signs = "aé ß'\n\t×.,1sß  TA 日"
     every += ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    once = {r.doc_id: r for r in bpe.encode(docs(spark, every), decoded_col="decoded").collect()}
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs(spark, every))).collect()}
+    assert once == got
     for i, x in enumerate(every):
         want = t.encode(x or "", add_special_tokens=False).ids
         assert np.frombuffer(bytes(got[i].ids), "<u4").tolist() == want, repr(x)
@@ -44,8 +47,19 @@ def test_bpe_equals_library(spark):
 def test_memo_bound_changes_nothing(monkeypatch, spark):
     monkeypatch.setattr(bpe, "MEMO_BYTES", 500)
     c, t = bpe.FragmentCoder(bpe.default_tokenizer()), library()
-    for x in texts(spark)[:60]:
-        assert np.frombuffer(c.encode(x), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+    every = texts(spark)[:60]
+    for i in range(0, 60, 7):
+        for x, ids in zip(every[i : i + 7], c.encode_column(pa.array(every[i : i + 7])).to_pylist()):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+
+
+def test_odd_ids_decode_as_in_the_library():
+    c, t = bpe.FragmentCoder(bpe.default_tokenizer()), library()
+    rng = random.Random(3)
+    rows = [[rng.randrange(51000) for _ in range(rng.randrange(30))] for _ in range(300)] + [[], [50999], [0]]
+    got = c.decode_column(pa.array([np.asarray(r, "<u4").tobytes() for r in rows] + [None], pa.binary())).to_pylist()
+    size = t.get_vocab_size()
+    assert got == [t.decode([i for i in r if i < size], skip_special_tokens=False) for r in rows] + [""]
 
 
 def test_token_files(spark, tmp_path):
@@ -66,18 +80,35 @@ def test_token_files(spark, tmp_path):
     assert tokenfile.digest(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_lookups_in_token_files(spark, tmp_path):
+    every = [x for x in texts(spark)] + ["word " * 20_000]
+    path = str(tmp_path / "x")
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id bigint, text string").selectExpr("*", "1 as part", "2 as seq", "3 as n_tokens")
+    tokenfile.write(df.repartition(3), path, shard_tokens=5000)
+    rows = tokenfile.read(spark, path).orderBy("start").collect()
+    ids = np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in rows])
+    owner = np.repeat([r.doc_id for r in rows], [r.n_tokens for r in rows])
+    asked = [2, 13, int(ids[0]), int(ids[-2]), 49_999]
+    assert {r.token: r.n for r in tokenfile.count(spark, path, asked).collect()} == {t: int((ids == t).sum()) for t in asked}
+    found = sorted(map(tuple, tokenfile.occurrences(spark, path, asked).collect()))
+    assert found == sorted((t, int(i), int(owner[i])) for t in set(asked) for i in np.flatnonzero(ids == t))
+    places = [(i,) for i in range(0, len(ids), 37)] + [(0,), (len(ids) - 1,), (len(ids),), (-1,), (None,)]
+    got = {r.pos: r.token for r in tokenfile.access(spark, path, spark.createDataFrame(places, "pos bigint")).collect()}
+    assert got == {i: int(ids[i]) for (i,) in places if i is not None and 0 <= i < len(ids)}
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
-    for ids in (rng.integers(0, 50257, 3000), rng.integers(0, 3, 2000), np.full(700, 9), np.asarray([5]), np.asarray([], dtype=int)):
+    for ids in (rng.integers(0, 50257, 3000), rng.integers(0, 3, 2048), np.full(700, 9), np.asarray([5]), np.asarray([], dtype=int)):
         ids = ids.astype("<u4")
-        wm, _, _ = tokenfile.unpack(tokenfile.pack(tokenfile.WaveletMatrix.build(ids), [None, 4], np.asarray([0, len(ids)])))
-        assert (wm.sequence() == ids).all()
+        wm = tokenfile.WaveletMatrix.build(ids)
+        assert (wm.sequence() == ids).all() and (wm.access(np.arange(len(ids))) == ids).all()
         for i in range(0, len(ids), 97):
-            assert wm.access(i) == ids[i]
             assert wm.rank(int(ids[i]), i) == (ids[:i] == ids[i]).sum()
             at = np.flatnonzero(ids == ids[i])
-            assert wm.count(int(ids[i])) == len(at) and wm.select(int(ids[i]), len(at) // 2) == at[len(at) // 2]
-        assert wm.count(60000) == 0
+            assert wm.count(int(ids[i])) == len(at) and (wm.select(int(ids[i])) == at).all()
+            assert wm.select(int(ids[i]), np.asarray([len(at) // 2])) == at[len(at) // 2]
+        assert wm.count(60000) == 0 and not len(wm.select(60000))
 
 
 def test_sharding(spark):
