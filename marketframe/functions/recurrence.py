@@ -1,28 +1,32 @@
-"""First-order recurrences as a blocked affine scan.
-
-An exponential mean is y_i = A_i y_(i-1) + B_i. Rows of a symbol fall into blocks in each of which
-the past loses a factor of about exp(-`decay`). Inside a block the maps compose by two running sums
-to y = P carry + local; the carry is what the last rows of the two blocks before say, as older ones
-weigh less than exp(-2 `decay`). Everything is windows within a symbol: one shuffle, no join, and
-all columns of one call share the windows over the whole symbol. Semantics are those of an unadjusted exponential mean that weighs by absolute
-position: at a value after m nulls the old mean has weight (1 - alpha)^(m + 1), and a null repeats
-the mean; the first value seeds it; results are null until `min_periods` values were seen.
+"""First-order recurrences in one ordered pass.
+
+An exponential mean is y_i = a_i y_(i-1) + b_i. No window function expresses it, so the rows of a
+symbol go in time order through one Arrow pass that computes all means of a call at once: one shuffle
+and one sort for any number of columns. The pass holds one batch of rows and, per column, four
+numbers of the symbol it is in, so its memory doesn't grow with a symbol; inside a batch the maps are
+composed by blocks in numpy.
+
+Semantics are those of an unadjusted exponential mean that weighs by absolute position: at a value
+after m nulls the old mean has weight (1 - alpha)^(m + 1), and a null repeats the mean; the first
+value seeds it; results are null until `min_periods` values were seen. NaN counts as null. An empty
+table gives an empty result; rows of equal symbol and time are taken in no stated order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-DECAY = 20.0
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
 class Ewm:
     """One output column: mean of `x` with factor alpha; `seed` > 0 starts from the mean of the
-    first `seed` values instead of from the first one."""
+    first `seed` values, which expects values without holes after the first."""
 
     x: str
     alpha: float
@@ -34,39 +38,89 @@ def span(n: int) -> float:
     return 2.0 / (n + 1)
 
 
-def ewm(df: DataFrame, outs: dict[str, Ewm], decay: float = DECAY, order: str = "ts") -> DataFrame:
-    """`df` with the columns of `outs`. A seeded column expects values without holes after the first."""
-    w = Window.partitionBy("symbol").orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    ks = range(len(outs))
-    seen, maps = {"__i": F.row_number().over(w)}, {}
-    for k, e in enumerate(outs.values()):
-        x = F.col(e.x)
-        seen |= {f"__n{k}": F.count(x).over(upto), f"__m{k}": F.avg(x).over(upto)}
-    out = df.withColumns(seen)
-    out = out.withColumns({f"__l{k}": F.max(F.when(F.col(e.x).isNotNull(), F.col("__i"))).over(before) for k, e in enumerate(outs.values())})
-    for k, e in enumerate(outs.values()):
-        x, here, n, last = F.col(e.x), F.col(e.x).isNotNull(), F.col(f"__n{k}"), F.col(f"__l{k}")
-        keep = F.log(F.lit(1 - e.alpha))
-        if e.seed:
-            ln_a = F.when(here & (n > e.seed), keep).otherwise(0.0)
-            b = F.when(here & (n == e.seed), F.col(f"__m{k}")).when(here & (n > e.seed), e.alpha * x).otherwise(0.0)
-        else:
-            g = F.exp(keep * (F.col("__i") - last))
-            ln_a = F.when(here & last.isNotNull(), F.log(g / (g + e.alpha))).otherwise(0.0)
-            b = F.when(here, F.when(last.isNull(), x).otherwise(e.alpha * x / (g + e.alpha))).otherwise(0.0)
-        maps |= {f"__a{k}": F.greatest(F.coalesce(ln_a, F.lit(-2 * decay)), F.lit(-2 * decay)), f"__c{k}": b}
-    out = out.withColumns(maps)
-    out = out.withColumns({f"__d{k}": F.floor(-F.sum(f"__a{k}").over(upto) / decay) for k in ks})
-    out = out.withColumns({f"__t{k}": F.lead(f"__d{k}").over(w) > F.col(f"__d{k}") for k in ks})
-    for k in ks:
-        local = Window.partitionBy("symbol", f"__d{k}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"__p{k}", F.exp(F.sum(f"__a{k}").over(local)))
-        out = out.withColumn(f"__s{k}", F.col(f"__p{k}") * F.sum(F.col(f"__c{k}") / F.col(f"__p{k}")).over(local))
-    tail = lambda k, y: F.last(F.when(F.col(f"__t{k}"), y), True).over(before)
-    whole = lambda k, c: F.col(f"__s{k}") + F.col(f"__p{k}") * F.coalesce(F.col(c), F.lit(0.0))
-    out = out.withColumns({f"__u{k}": tail(k, F.col(f"__s{k}")) for k in ks})
-    out = out.withColumns({f"__v{k}": tail(k, whole(k, f"__u{k}")) for k in ks})
-    result = {name: F.when(F.col(f"__n{k}") >= max(e.min_periods, e.seed, 1), whole(k, f"__v{k}")) for k, (name, e) in enumerate(outs.items())}
-    return out.withColumns(result).select(*[c for c in df.columns if c not in result], *result)
+def scan(a: np.ndarray, b: np.ndarray, y: float) -> np.ndarray:
+    """All y_i = a_i y_(i-1) + b_i from the value before them: blocks side by side, then their carries."""
+    n = len(a)
+    width = max(1, int(n**0.5))
+    count = -(-n // width)
+    maps = np.ones((count * width,)), np.zeros((count * width,))
+    maps[0][:n], maps[1][:n] = a, b
+    factor, local = (np.ascontiguousarray(m.reshape(count, width).T) for m in maps)
+    for j in range(1, width):
+        local[j] += factor[j] * local[j - 1]
+        factor[j] *= factor[j - 1]
+    carry = np.empty(count)
+    for k in range(count):
+        carry[k] = y
+        y = factor[-1, k] * y + local[-1, k]
+    return (local + factor * carry).T.reshape(-1)[:n]
+
+
+class Mean:
+    """The mean of one column as its rows come by in pieces."""
+
+    def __init__(self, e: Ewm):
+        self.e = e
+        self.seen, self.total, self.y, self.last = 0, 0.0, 0.0, -1
+
+    def feed(self, x: np.ndarray, first: int) -> np.ndarray:
+        """The means at rows first, first + 1, ... of the symbol; NaN where there is none yet."""
+        e, known = self.e, ~np.isnan(x)
+        before, y0 = self.seen, self.y
+        at = np.flatnonzero(known)
+        v = x[at]
+        means = np.full(len(v), np.nan)
+        skip = min(len(v), max(0, (e.seed or 1) - self.seen))  # values that only seed
+        self.total += float(v[:skip].sum())
+        self.seen += skip
+        if skip and self.seen == (e.seed or 1):
+            self.y = means[skip - 1] = self.total / self.seen
+        if len(v) > skip:
+            if e.seed:
+                a, b = np.full(len(v) - skip, 1 - e.alpha), e.alpha * v[skip:]
+            else:
+                places = at[skip:] + first
+                prior = np.concatenate(([at[skip - 1] + first if skip else self.last], places[:-1]))
+                old = (1 - e.alpha) ** (places - prior)
+                a, b = old / (old + e.alpha), e.alpha * v[skip:] / (old + e.alpha)
+            means[skip:] = scan(a, b, self.y)
+            self.y, self.seen = float(means[-1]), self.seen + len(v) - skip
+        if len(v):
+            self.last = int(at[-1]) + first
+        so_far = np.cumsum(known)
+        out = np.concatenate(([y0], means))[so_far]
+        out[before + so_far < max(e.min_periods, e.seed, 1)] = np.nan
+        return out
+
+
+def ewm(df: DataFrame, outs: dict[str, Ewm], order: str = "ts", in_order: bool = False) -> DataFrame:
+    """`df` with the columns of `outs`; columns of those names give way to them.
+
+    `in_order` says that `df` comes straight from another call on the same symbols and order, with
+    nothing but row-wise columns between them: it isn't shuffled and sorted again."""
+    source = df if in_order else df.repartition("symbol").sortWithinPartitions("symbol", order)
+    kept = [c for c in df.columns if c not in outs]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in outs)])
+    inputs = sorted({e.x for e in outs.values()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, means, row, started = None, {}, 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            symbols = batch.column("symbol")
+            codes = symbols.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+            columns = {x: batch.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False) for x in inputs}
+            parts: dict[str, list[np.ndarray]] = {name: [] for name in outs}
+            for i, j in zip(starts, starts[1:]):
+                own = symbols[i].as_py()
+                if not started or own != symbol:
+                    symbol, means, row, started = own, {name: Mean(e) for name, e in outs.items()}, 0, True
+                for name, e in outs.items():
+                    parts[name].append(means[name].feed(columns[e.x][i:j], row))
+                row += j - i
+            found = [pa.array(np.concatenate(parts[name]), pa.float64(), from_pandas=True) for name in outs]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], names=[*kept, *outs])
+
+    return source.mapInArrow(run, schema)

@@ -37,3 +37,10 @@ def nonzero(x: Column) -> Column:
 def flag(condition: Column) -> Column:
     """1 where the condition holds, else 0 (also where it is unknown)."""
     return F.coalesce(condition, F.lit(False)).cast("int")
+
+
+def run_length(condition: Column, w: WindowSpec | None = None) -> Column:
+    """How many rows up to this one hold the condition without a break; 0 where it doesn't hold."""
+    row = F.row_number().over(w or by_symbol())
+    broken = F.last(F.when(~F.coalesce(condition, F.lit(False)), row), True).over(running(w))
+    return (row - F.coalesce(broken, F.lit(0))).cast("bigint")

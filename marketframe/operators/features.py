@@ -7,11 +7,11 @@ unfinished bucket; by default a bar sees the last finished bucket only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.functions.recurrence import Ewm, ewm, span
-from marketframe.functions.windows import by_symbol, flag, nonzero, running, strict
+from marketframe.functions.windows import by_symbol, flag, nonzero, run_length, running, strict
 from marketframe.operators.bars import bucket, resample
 from marketframe.operators.quality import zero_filled
 
@@ -26,7 +26,11 @@ GROUPS = {
     "MULTI_TIMEFRAME": ["RSI_5T", "TREND_5T", "CLOSE_POS_5T", "RSI_15T", "TREND_15T", "CLOSE_POS_15T"],
     "REGIME": ["VOLATILITY_REGIME", "ADX", "DIST_SMA20", "DIST_SMA50", "DIST_SMA200", "BB_KC_SQUEEZE"],
     "INTERACTION": ["RSI_TREND_5T", "CLOSEPOS_VOLREGIME", "BB_MOMENTUM", "STREAK_TREND", "ADX_RETURN"],
-    "LAGGED": [f"{c}_LAG{n}" for c in ("CLOSE_POSITION_IN_CANDLE", "RETURN_1", "RSI") for n in (1, 2, 3, 5)] + ["RETURN_1_MEAN_5", "RETURN_1_STD_5", "RSI_MEAN_10", "CLOSE_POS_MEAN_5"],
+    "LAGGED": [
+        "CLOSE_POSITION_IN_CANDLE_LAG1", "CLOSE_POSITION_IN_CANDLE_LAG2", "CLOSE_POSITION_IN_CANDLE_LAG3", "CLOSE_POSITION_IN_CANDLE_LAG5",
+        "RETURN_1_LAG1", "RETURN_1_LAG2", "RETURN_1_LAG3", "RETURN_1_LAG5", "RSI_LAG1", "RSI_LAG2", "RSI_LAG3", "RSI_LAG5",
+        "RETURN_1_MEAN_5", "RETURN_1_STD_5", "RSI_MEAN_10", "CLOSE_POS_MEAN_5",
+    ],
     "SESSION_INTENSITY": ["RVOL_LONDON", "RVOL_NEWYORK", "RVOL_TOKYO"],
 }
 COLUMNS = [c for group in GROUPS.values() for c in group]
@@ -48,16 +52,10 @@ def price_action(df: DataFrame) -> DataFrame:
         "LOWER_WICK_TO_BODY_RATIO": (F.least("open", "close") - c("low")) / nonzero(size),
         "TWO_BAR_REVERSAL": flag(((prev < 0) & (body > 0) & (c("close") > prev_open)) | ((prev > 0) & (body < 0) & (c("close") < prev_open))),
         "CLOSE_POSITION_IN_CANDLE": (c("close") - c("low")) / rng,
-        "__bull": flag(body > 0),
-        "__bear": flag(body < 0),
+        "CONSECUTIVE_BULL_BARS": run_length(body > 0),
+        "CONSECUTIVE_BEAR_BARS": run_length(body < 0),
     })
-    # a run ends where its flag is 0: the number of such rows so far names the run
-    for side in ("bull", "bear"):
-        run = F.sum(1 - c(f"__{side}")).over(running())
-        out = out.withColumn(f"__run_{side}", run)
-        inside = Window.partitionBy("symbol", f"__run_{side}").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"CONSECUTIVE_{side.upper()}_BARS", F.sum(f"__{side}").over(inside))
-    return out.drop("__bull", "__bear", "__run_bull", "__run_bear")
+    return out
 
 
 def _with_deltas(df: DataFrame) -> DataFrame:
@@ -78,7 +76,7 @@ def rsi_of(gain: str, loss: str):
 
 
 def recurrent(df: DataFrame) -> DataFrame:
-    """RSI, MACD, ATR, KC and ADX: two passes of the scan, the second for means of means."""
+    """RSI, MACD, ATR, KC and ADX: two passes of the scan in one order, the second for means of means."""
     wilder, adx = 1 / 5, 1 / 14
     out = ewm(_with_deltas(df), {
         "__ag": Ewm("__gain", wilder, 5), "__al": Ewm("__loss", wilder, 5), "__fast": Ewm("close", span(6)), "__slow": Ewm("close", span(18)),
@@ -86,7 +84,7 @@ def recurrent(df: DataFrame) -> DataFrame:
     })
     plus, minus = 100 * c("__pdm") / nonzero(c("__atr14")), 100 * c("__mdm") / nonzero(c("__atr14"))
     out = out.withColumns({"RSI": rsi_of("__ag", "__al"), "MACD_VALUE": c("__fast") - c("__slow"), "__dx": 100 * F.abs(plus - minus) / nonzero(plus + minus)})
-    out = ewm(out, {"MACD_SIGNAL": Ewm("MACD_VALUE", span(5)), "ADX": Ewm("__dx", adx, 14)})
+    out = ewm(out, {"MACD_SIGNAL": Ewm("MACD_VALUE", span(5)), "ADX": Ewm("__dx", adx, 14)}, in_order=True)
     out = out.withColumns({
         "MACD_HIST": c("MACD_VALUE") - c("MACD_SIGNAL"),
         "NATR": c("ATR") / nonzero(c("close")) * 100,
@@ -133,16 +131,16 @@ def timeframe(bars: DataFrame, seconds: int, name: str) -> DataFrame:
 
 def multi_timeframe(df: DataFrame, bars: DataFrame, step: int, compat: bool = False) -> DataFrame:
     """As-of join of 5 and 15 step features: an equi join on the bucket, then the last value seen."""
-    out = df
+    out, every = df, []
     for k in (5, 15):
         long = timeframe(bars, k * step, f"{k}T")
         shift = F.expr(f"interval {0 if compat else k * step} seconds")
         keyed = long.withColumn("__bucket", c("__bucket") + shift)
         names = [f"{x}_{k}T" for x in ("RSI", "TREND", "CLOSE_POS")]
         out = out.withColumn("__bucket", bucket(c("ts"), k * step)).join(keyed, ["symbol", "__bucket"], "left").drop("__bucket")
-        # a bucket whose predecessor had no bars takes the last one that had
-        out = out.withColumns({n: F.last(n, True).over(running()) for n in names})
-    return out
+        every += names
+    # a bucket whose predecessor had no bars takes the last one that had
+    return out.withColumns({n: F.last(n, True).over(running()) for n in every})
 
 
 def derived(df: DataFrame, compat: bool = False) -> DataFrame:
@@ -170,10 +168,12 @@ def derived(df: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def transform(bars: DataFrame, step: int = 60, compat: bool = False) -> DataFrame:
-    """All feature columns of bars whose step is `step` seconds; incomplete rows keep their nulls."""
+    """All feature columns of bars whose step is `step` seconds; incomplete rows keep their nulls.
+
+    Joins and recurrences see narrow rows; all windows then share one shuffle and sort by symbol."""
     base = bars.select("symbol", "ts", *(c(x).cast("double").alias(x) for x in ("open", "high", "low", "close", "volume")))
-    out = recurrent(plain_windows(price_action(base)))
-    return derived(multi_timeframe(out, base, step, compat), compat)
+    out = plain_windows(price_action(multi_timeframe(recurrent(base), base, step, compat)))
+    return derived(out, compat)
 
 
 def matrix(bars: DataFrame, step: int = 60, compat: bool = False) -> DataFrame:

@@ -18,11 +18,6 @@ def sma(df: DataFrame, period: int = 14, x: str = "close") -> DataFrame:
     return df.withColumn("SMA", strict(F.avg, c(x), period))
 
 
-def ema(df: DataFrame, period: int = 14, x: str = "close", out: str = "EMA") -> DataFrame:
-    """Seeded with the mean of the first `period` values."""
-    return ewm(df, {out: Ewm(x, span(period), seed=period)})
-
-
 def _moves(df: DataFrame) -> DataFrame:
     w = by_symbol()
     prev = F.lag("close").over(w)
@@ -40,16 +35,55 @@ def _bare(df: DataFrame) -> DataFrame:
     return df.drop(*[x for x in df.columns if x.startswith("__")])
 
 
+def recurrent(df: DataFrame, names: list[str], period: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """Any of EMA, RSI, MACD, ATR and ADX with all their means in one ordered pass; ADX and MACD take
+    a second pass over the same order for their means of means.
+
+    EMA is seeded with the mean of the first `period` values; RSI, ATR and ADX are Wilder's, seeded
+    alike, a zero loss counts as 1e-5; true ranges start at the second bar; of two opposite moves the
+    larger counts, as means of moves over means of ranges."""
+    mean = lambda x: Ewm(x, 1 / period, seed=period)
+    first = {
+        "EMA": {"EMA": Ewm("close", span(period), seed=period)},
+        "RSI": {"__ag": mean("__gain"), "__al": mean("__loss")},
+        "ATR": {"ATR": mean("__tr")},
+        "ADX": {"__p": mean("__pdm"), "__m": mean("__mdm"), "__t": mean("__tr")},
+        "MACD": {"__f": Ewm("close", span(fast), seed=fast), "__s": Ewm("close", span(slow), seed=slow)},
+    }
+    rows = _moves(df) if {"RSI", "ATR", "ADX"} & set(names) else df
+    out, second = ewm(rows, {k: e for n in names for k, e in first[n].items()}), {}
+    if "RSI" in names:
+        out = out.withColumn("RSI", 100 - 100 / (1 + c("__ag") / F.when(c("__al") == 0, 1e-5).otherwise(c("__al"))))
+    if "ADX" in names:
+        out = out.withColumns({"PLUS_DI": 100 * c("__p") / nonzero(c("__t")), "MINUS_DI": 100 * c("__m") / nonzero(c("__t"))})
+        out = out.withColumn("__dx", 100 * F.abs(c("PLUS_DI") - c("MINUS_DI")) / nonzero(c("PLUS_DI") + c("MINUS_DI")))
+        second["ADX"] = mean("__dx")
+    if "MACD" in names:
+        out = out.withColumn("MACD", c("__f") - c("__s"))
+        second["SIGNAL"] = Ewm("MACD", span(signal), seed=signal)
+    out = ewm(out, second, in_order=True) if second else out
+    return _bare(out.withColumn("HISTOGRAM", c("MACD") - c("SIGNAL")) if "MACD" in names else out)
+
+
+def ema(df: DataFrame, period: int = 14, x: str = "close", out: str = "EMA") -> DataFrame:
+    """Seeded with the mean of the first `period` values."""
+    return ewm(df, {out: Ewm(x, span(period), seed=period)})
+
+
 def rsi(df: DataFrame, period: int = 14) -> DataFrame:
-    """Wilder, seeded with the mean of the first deltas; a zero loss counts as 1e-5."""
-    out = ewm(_moves(df), {"__ag": Ewm("__gain", 1 / period, seed=period), "__al": Ewm("__loss", 1 / period, seed=period)})
-    return _bare(out.withColumn("RSI", 100 - 100 / (1 + c("__ag") / F.when(c("__al") == 0, 1e-5).otherwise(c("__al")))))
+    return recurrent(df, ["RSI"], period)
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    out = ewm(df, {"__f": Ewm("close", span(fast), seed=fast), "__s": Ewm("close", span(slow), seed=slow)})
-    out = ewm(out.withColumn("MACD", c("__f") - c("__s")), {"SIGNAL": Ewm("MACD", span(signal), seed=signal)})
-    return _bare(out.withColumn("HISTOGRAM", c("MACD") - c("SIGNAL")))
+    return recurrent(df, ["MACD"], fast=fast, slow=slow, signal=signal)
+
+
+def atr(df: DataFrame, period: int = 14) -> DataFrame:
+    return recurrent(df, ["ATR"], period)
+
+
+def adx(df: DataFrame, period: int = 14) -> DataFrame:
+    return recurrent(df, ["ADX"], period)
 
 
 def bollinger(df: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
@@ -64,19 +98,6 @@ def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
     return out.withColumn("D", strict(F.avg, c("K"), d))
 
 
-def atr(df: DataFrame, period: int = 14) -> DataFrame:
-    """Seeded with the mean of the first true ranges, which start at the second bar."""
-    return _bare(ewm(_moves(df), {"ATR": Ewm("__tr", 1 / period, seed=period)}))
-
-
-def adx(df: DataFrame, period: int = 14) -> DataFrame:
-    """Textbook Wilder: the larger move counts, means of moves over means of ranges."""
-    out = ewm(_moves(df), {"__p": Ewm("__pdm", 1 / period, seed=period), "__m": Ewm("__mdm", 1 / period, seed=period), "__t": Ewm("__tr", 1 / period, seed=period)})
-    out = out.withColumns({"PLUS_DI": 100 * c("__p") / nonzero(c("__t")), "MINUS_DI": 100 * c("__m") / nonzero(c("__t"))})
-    out = out.withColumn("__dx", 100 * F.abs(c("PLUS_DI") - c("MINUS_DI")) / nonzero(c("PLUS_DI") + c("MINUS_DI")))
-    return _bare(ewm(out, {"ADX": Ewm("__dx", 1 / period, seed=period)}))
-
-
 def ichimoku(df: DataFrame, tenkan: int = 9, kijun: int = 26, senkou: int = 52) -> DataFrame:
     """Midpoints of ranges, aligned in time: spans as computed at the row `kijun` before, and the
     close `kijun` rows ahead as the lagging span."""

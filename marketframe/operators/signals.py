@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.functions.windows import by_symbol, flag, running
+from marketframe.functions.windows import by_symbol, flag, run_length, running
 
 c = F.col
 
@@ -48,11 +48,10 @@ def cooldown(signals: DataFrame, seconds: int = 80) -> DataFrame:
 def streaks(results: DataFrame, base: float = 0.6, step: float = 0.05, most: int = 5) -> DataFrame:
     """After each result: losses since the last win, the raised threshold (0.999 at most) and
     whether the streak halts trading."""
-    w = running(by_symbol("ts", "seq"))
-    wins = F.sum(flag(c("outcome") == "win")).over(w)
-    out = results.withColumn("__w", wins)
-    inside = Window.partitionBy("symbol", "__w").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("streak", F.sum(flag(c("outcome") == "loss")).over(inside)).drop("__w")
+    losses = F.sum(flag(c("outcome") == "loss")).over(running(by_symbol("ts", "seq")))
+    out = results.withColumn("__l", losses)
+    at_win = F.last(F.when(c("outcome") == "win", c("__l")), True).over(running(by_symbol("ts", "seq")))
+    out = out.withColumn("streak", c("__l") - F.coalesce(at_win, F.lit(0))).drop("__l")
     return out.withColumns({"threshold": F.least(base + c("streak") * step, F.lit(0.999)), "halted": c("streak") >= most})
 
 
@@ -100,11 +99,8 @@ def stake_ladder(results: DataFrame, stake: float, steps: int) -> DataFrame:
     """Stake of each trade: doubled after every loss, up to `steps` times, then from the start; a win
     or draw ends the ladder."""
     w = by_symbol("ts", "seq")
-    ends = F.sum(flag(c("outcome") != "loss")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = results.withColumn("__e", F.coalesce(ends, F.lit(0)))
-    inside = Window.partitionBy("symbol", "__e").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    losses = F.coalesce(F.sum(flag(c("outcome") == "loss")).over(inside), F.lit(0))
-    return out.withColumn("next_stake", stake * F.pow(F.lit(2.0), F.pmod(losses, F.lit(steps)))).drop("__e")
+    losses = F.coalesce(F.lag(run_length(c("outcome") == "loss", w)).over(w), F.lit(0))
+    return results.withColumn("next_stake", stake * F.pow(F.lit(2.0), F.pmod(losses, F.lit(steps))))
 
 
 def activity(event: Column) -> Column:

@@ -359,9 +359,7 @@ PD2, MD2 = f"(100 * p / {safe('t14')})", f"(100 * m / {safe('t14')})"
 
 @query(f"WITH {T}, {B}, {WILDER}, {seeded_sql({'ag': ('gain', A14, 14), 'al': ('loss', A14, 14), 't14': ('tr', A14, 14), 'p': ('pd', A14, 14), 'm': ('md', A14, 14), 'ema': ('close', 2 / 15, 14)}, 'mv', 'e')}, l1 AS (SELECT *, 100 * abs({PD2} - {MD2}) / {safe(f'{PD2} + {MD2}')} AS dx FROM e), {seeded_sql({'adx': ('dx', A14, 14)}, 'l1', 'f')} " + select({"EMA": "ema", "RSI": "100 - 100 / (1 + ag / CASE WHEN al = 0 THEN 1e-5 ELSE al END)", "ATR": "t14", "PLUS_DI": PD2, "MINUS_DI": MD2, "ADX": "adx"}, "f"))
 def indicator_wilder(spark, d):
-    out = hourly(spark, d)
-    for name in ("ema", "rsi", "atr", "adx"):
-        out = indicators.indicator(out, name)
+    out = indicators.recurrent(hourly(spark, d), ["EMA", "RSI", "ATR", "ADX"])
     return out.select("symbol", "ts", "EMA", "RSI", "ATR", "PLUS_DI", "MINUS_DI", "ADX")
 
 

@@ -53,8 +53,9 @@ def test_ewm_equals_pandas(spark, alpha, least):
             rows.append((s, at(60 * i), None if i < 3 or 200 <= i < 399 or rng.random() < 0.15 else rng.uniform(1, 2)))
     df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double")
     results = []
-    for decay in (20.0, 45.0):
-        got = ewm(df, {"y": Ewm("x", alpha, least)}, decay=decay).toPandas().sort_values(["symbol", "ts"])
+    for batch in ("7", "10000"):  # state goes on from batch to batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = ewm(df, {"y": Ewm("x", alpha, least)}).toPandas().sort_values(["symbol", "ts"])
         for s, g in got.groupby("symbol"):
             x = pd.Series([r[2] for r in rows if r[0] == s], dtype=float)
             want = x.ewm(alpha=alpha, adjust=False, min_periods=least).mean()
