@@ -4,37 +4,38 @@ A known word is scored by its log frequency in each language. An unseen word is
 characters: at every place the longest known n-gram (`MAX_GRAM` down to one character) gives the
 log frequencies. A text's languages are compared by the sum over its words.
 
-Training counts words per language on at most `SAMPLE_ROWS` labelled rows (a stated bound, drawn
-by a hash of doc_id) and keeps `MODEL_WORDS` (word, language) pairs, the most frequent of each
-language. Both bounds are shared out evenly by language: what a small language leaves over goes to
-the larger ones, so none is crowded out. n-grams are counted over those words. Only text and lang of the training rows are learnt from.
+Training counts all words, and all n-grams of the distinct words, of a sample of the labelled rows in
+Spark. The sample holds at most about SAMPLE_ROWS rows and SAMPLE_BYTES of text (stated bounds, drawn
+by a hash of doc_id and shared out evenly by language: what a small language leaves over goes to the
+larger ones, so none is crowded out); nothing that it holds is left out of the model. Words are kept
+by 64-bit hash. Only text and lang of the training rows are learnt from.
 
 A null text, a text without a letter and any text where nothing could be learnt get `und` and
-score 0. Ties go to the language that sorts first. Repeated rows give repeated results.
+score 0. Ties go to the language that sorts first. Repeated rows give repeated results, an empty table
+none; a very long text is scored whole. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.bpe import slices
-from marketframe.llm.common import map_arrow, settle
+from marketframe.llm.common import free_worker, map_arrow, settle
 
-#: Bound of labelled rows that the model is fitted on, of its words, of its n-grams' length.
-SAMPLE_ROWS = 20_000
-MODEL_WORDS = 60_000
+#: Bounds of the labelled rows that the model is fitted on, and of its n-grams' length.
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20
 MAX_GRAM = 4
 #: Words a worker remembers the scores of before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -49,112 +50,131 @@ def level(sizes: list[int], total: int) -> int:
     return max(1, *sizes, 1)
 
 
-def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and lang of at most about `rows` rows that may be learnt from, shared out by language."""
+def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
+    """text and lang of at most about `rows` rows and `size` bytes that may be learnt from, shared out
+    by language."""
     may = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 != 1)
-    sizes = may.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    most = level([r.n for r in sizes.collect()], rows)
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n"))
+    sizes = may.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text") + 1).alias("bytes"))
+    found = sizes.collect()  # a row for each language
+    most, much = level([r["n"] for r in found], rows), level([r["bytes"] for r in found], size)
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n"), F.lit(float(much)) / F.col("bytes"))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.ceil(share * 1_000_000)
     return may.select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang").filter(drawn).select("text", "lang")
 
 
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log share of each language's total, less the mean over languages; counts: (keys, languages)."""
+    logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
+    return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+
+
 class Model:
-    """Log frequencies by language of words and n-grams."""
-
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        """counts: (language, word, occurrences)."""
-        self.langs = sorted({lang for lang, _, _ in counts})
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
-        for lang, word, n in counts:
-            words[word][place[lang]] += n
-            for gram, m in Counter(chain.from_iterable(self.grams_at(f" {word} ", i) for i in range(len(word) + 2))).items():
-                grams[gram][place[lang]] += m * math.log2(1 + n)
-        self.words = self._logs(words)
-        self.grams = self._logs(grams)
-
-    @staticmethod
-    def grams_at(padded: str, i: int) -> list[str]:
-        return [padded[i : i + n] for n in range(1, MAX_GRAM + 1) if i + n <= len(padded)]
-
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Smoothed log share of each language's total, less the mean over languages."""
-        if not table:
-            return {}
-        m = np.stack(list(table.values()))
-        logs = np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * len(m)))
-        return dict(zip(table, logs - logs.mean(axis=1, keepdims=True)))
-
-    def score_word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        padded, total, i = f" {word} ", np.zeros(len(self.langs)), 0
-        while i < len(padded) - 1:
-            for n in range(min(MAX_GRAM, len(padded) - i), 0, -1):
-                g = self.grams.get(padded[i : i + n])
-                if g is not None:
-                    total = total + g
-                    break
-            i += max(1, n - 1)  # neighbouring grams share a character
-        return np.clip(total, -6.0, 6.0)
+    """Log frequencies by language of words, by their hash, and of n-grams."""
+
+    def __init__(self, langs: list[str], words: pa.Table, grams: pa.Table):
+        """words: h, lang (a number), n; grams: gram, lang, n."""
+        self.langs = langs
+
+        def table(keys: np.ndarray, n_keys: int, found: pa.Table) -> np.ndarray:
+            counts = np.zeros((n_keys, len(langs)))
+            np.add.at(counts, (keys, found.column("lang").to_numpy()), found.column("n").to_numpy())
+            return log_shares(counts) if n_keys else counts.astype(np.float32)
+
+        self.hashes, at = np.unique(words.column("h").to_numpy().view(np.uint64), return_inverse=True)
+        self.word_logs = table(at, len(self.hashes), words)
+        coded = grams.column("gram").combine_chunks().dictionary_encode()
+        self.grams = {g: i for i, g in enumerate(coded.dictionary.to_pylist())}
+        self.gram_logs = table(coded.indices.to_numpy(), len(self.grams), grams)
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """(words, languages): of known words their logs, of others what their n-grams say."""
+        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))  # as Spark's xxhash64
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        out[known] = self.word_logs[at[known]]
+        grams, logs = self.grams, self.gram_logs
+        for k in np.flatnonzero(~known).tolist():
+            padded, i, held = f" {words[k]} ", 0, []
+            while i < len(padded) - 1:
+                for n in range(min(MAX_GRAM, len(padded) - i), 0, -1):
+                    g = grams.get(padded[i : i + n])
+                    if g is not None:
+                        held.append(g)
+                        break
+                i += max(1, n - 1)  # neighbouring grams share a character
+            if held:
+                out[k] = np.clip(logs[held].sum(axis=0), -6.0, 6.0)
+        return out
 
 
 class Scorer:
     """Scores texts with a model; remembers words."""
 
     def __init__(self, model: Model):
-        self.model, self.memo = model, {}
-        self.rows: list[np.ndarray] = []
-
-    def _row(self, word: str) -> int:
-        self.rows.append(self.model.score_word(word))
-        self.memo[word] = len(self.rows) - 1
-        return len(self.rows) - 1
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall((text or "").lower())
-        if not self.model.langs or not any(c.isalpha() for c in chain.from_iterable(words)):
-            return "und", 0.0
+        self.model = model
+        self.memo: dict[str, int] = {}
+        self.logs = np.empty((0, len(model.langs)), dtype=np.float32)
+        self.used = 0
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the scores of words that are new."""
+        need = self.used + len(words)
+        if need > len(self.logs):
+            grown = np.empty((max(need, 2 * len(self.logs), 1024), self.logs.shape[1]), dtype=np.float32)
+            grown[: self.used] = self.logs[: self.used]
+            self.logs = grown
+        self.logs[self.used : need] = self.model.score_words(words)
+        self.memo.update(zip(words, range(self.used, need)))
+        self.used = need
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.memo) > MEMO_WORDS:
-            self.memo, self.rows = {}, []
-        counts = Counter(words)
-        total = np.zeros(len(self.model.langs))
-        at = [self.memo.get(w) for w in counts]
-        at = [self._row(w) if k is None else k for w, k in zip(counts, at)]
-        total = np.asarray(list(counts.values()), dtype=float) @ np.stack([self.rows[k] for k in at])
-        best = int(np.argmax(total))
-        p = np.exp((total - total[best]) / math.sqrt(len(words)))
-        return self.model.langs[best], float(1.0 / p.sum())
-
-
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, model_words: int = MODEL_WORDS) -> Model:
-    """Counts words on the training rows in Spark; at most `model_words` pairs reach the driver."""
+            self.memo.clear()
+            self.used = 0
+        counts = [Counter(_WORD.findall(t.lower())) if t else {} for t in texts]
+        if self.model.langs:
+            self._learn([w for w in dict.fromkeys(w for c in counts for w in c) if w not in self.memo])
+        langs, scores = [], []
+        for c in counts:
+            if not self.model.langs or not any(map(str.isalpha, c)):
+                langs.append("und"), scores.append(0.0)
+                continue
+            total = np.fromiter(c.values(), dtype=np.float64, count=len(c)) @ self.logs[[self.memo[w] for w in c]]
+            best = int(np.argmax(total))
+            p = np.exp((total - total[best]) / math.sqrt(c.total()))
+            langs.append(self.model.langs[best]), scores.append(float(1.0 / p.sum()))
+        return langs, scores
+
+
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
+    """Counts words and n-grams of the training rows in Spark; the tables that reach the driver are
+    those of a bounded sample."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    counts = settle(training_rows(docs, rows).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").count(), "word-counts")
-    most = level([r.n for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()], model_words)
-    # only counts that can be among a language's `most` first are ranked word by word
-    tally = counts.groupBy("lang", "count").agg(F.count(F.lit(1)).alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tally = tally.withColumn("above", above).filter(F.col("above") < most).select("lang", "count")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-    top = counts.join(F.broadcast(tally), ["lang", "count"]).withColumn("rank", rank).filter(F.col("rank") <= most)
-    return Model(sorted(tuple(r) for r in top.select("lang", "word", "count").collect()))
+    counts = settle(training_rows(docs, rows, size).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    number = F.coalesce(*(F.when(F.col("lang") == name, i) for i, name in enumerate(langs)), F.lit(0)).cast("int").alias("lang")
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    starts = lambda n: F.sequence(F.lit(1), F.length(padded) - (n - 1))
+    cut = lambda n: lambda i: F.substring(padded, i, F.lit(n))
+    none = F.array().cast("array<string>")
+    grams = F.concat(*(F.when(F.length(padded) >= n, F.transform(starts(n), cut(n))).otherwise(none) for n in range(1, MAX_GRAM + 1)))
+    weight = F.log2(F.col("n") + 1.0)
+    found = counts.select("lang", weight.alias("n"), F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return Model(langs, counts.select(F.xxhash64("word").alias("h"), number, F.col("n").cast("double")).toArrow(), found.select("gram", number, "n").toArrow())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score; only the text is read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_WORDS words and their n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words and n-grams of a bounded sample
     source = docs.select("doc_id", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         scorer = Scorer(shared.value)
         for batch in batches:
             for b in slices(batch):
-                langs, scores = zip(*map(scorer.text, b.column(1).to_pylist()))
+                langs, scores = scorer.texts(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return map_arrow(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

@@ -1,20 +1,27 @@
 """Toxicity by weak supervision.
 
 1. Voters. On labelled training rows every word, every word start of 3 to 6 letters and every start
-   that two or three different words of the text share is counted by mark; those that lean clearly
-   to the toxic mark become voters: words are lexicon voters, the others pattern voters. The mark itself is one more, noisy, voter where it is known.
-2. Label model. A generative model with one latent class holds, per voter, how often it votes in
-   toxic and in clean texts; expectation maximisation estimates both. Correlations of voters given
-   the class are estimated from the same posteriors, and a voter's evidence is divided by the
-   number of votes that its correlated voters repeat.
-3. Classifier. A linear (logistic) model on word and word-start features is fitted to the posterior
-   labels, and scores every whole text.
-
-The fit uses at most SAMPLE_ROWS labelled rows (a stated bound, drawn by a hash of doc_id), at most
-VOTERS voters and FEATURES features. Labels, lang, source and doc_id are no inputs of a score.
+   that two or three different words of the text share is counted by mark. Those that lean clearly to
+   the toxic mark, and stand in at least as many toxic rows as others, become voters: words are
+   lexicon voters, the others pattern voters.
+2. Label model. It sees the votes, never the marks. Correlated voters form families; a family votes
+   with one of LEVELS + 1 levels, the number of its voters that fire (none included, so silence speaks
+   for clean). The generative model has a clean class and one toxic class per family, as families
+   (the lexicons of different languages, say) exclude each other; expectation maximisation estimates
+   how often each class shows each level. Marks choose the voters and start the first round, no more.
+   `rates` has each voter's estimated share of votes in toxic and in clean texts.
+3. Classifier. A linear (logistic) model on all leaning features is fitted to the posterior labels,
+   and scores every whole text.
+
+The fit uses at most about SAMPLE_ROWS labelled rows (a stated bound, drawn by a hash of doc_id); all
+features that these rows hold are counted and all that lean are used. Labels, lang, source and doc_id
+are no inputs of a score. Where no feature reaches MIN_LEAN standard errors, as with few labels, the
+bound is FEW_LEAN instead.
 
 A null or empty text gets the score of a text without any feature. Several labels of one doc_id
-count as their largest. Without usable labels every score is 0. Repeated rows give repeated results.
+count as their largest. Without usable toxic marks every score is 0, without clean ones 1, and without
+leaning features it is the share of toxic marks. Repeated rows give repeated results, an empty table
+none; a very long text is scored whole. A kept column named like the score gives way to it.
 """
 
 from __future__ import annotations
@@ -33,15 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.bpe import slices
-from marketframe.llm.common import bounded_batches, free_worker, map_arrow
+from marketframe.llm.common import bounded_batches, free_worker, map_arrow, settle
 
 SAMPLE_ROWS = 20_000
-VOTERS = 300
-FEATURES = 2_000
 STARTS = (3, 4, 5, 6)
 SHARED = (2, 3)
-MIN_TOXIC, MIN_LEAN = 4, 5.0  # rows with the toxic mark, and standard errors, that make a voter
-LABEL_NOISE = 0.0005
+MIN_LEAN, FEW_LEAN = 5.0, 1.5  # standard errors by which a feature leans to the toxic mark
+CORRELATED = 0.25  # voters of a family
+LEVELS = 6
+ROUNDS = 5
 REGULAR = 1e-4  # of the linear model
 MEMO_WORDS = 200_000
 
@@ -95,57 +102,51 @@ def count_features(sample: DataFrame) -> DataFrame:
     return map_arrow(sample, run, "feature string, n1 bigint, n0 bigint").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def lean(n1: int, n0: int, all1: int, all0: int) -> float:
-    """Standard errors by which a feature's log odds lean to the toxic mark."""
-    a, b = n1 + 0.5, n0 + 0.5
-    odds = math.log(a / (all1 - n1 + 0.5)) - math.log(b / (all0 - n0 + 0.5))
-    return odds / math.sqrt(1 / a + 1 / b)
-
-
 class LabelModel:
-    """One latent class; per voter the rates of a vote in either class; correlation discounts."""
-
-    def __init__(self, prior: float, rate1: np.ndarray, rate0: np.ndarray):
-        self.prior, self.rate1, self.rate0 = prior, rate1, rate0
-        self.discount = np.ones(len(rate1))
-
-    def log_odds(self, votes: np.ndarray) -> np.ndarray:
-        """Prior and the discounted evidence of the votes; a voter that abstains says nothing. The
-        last column, the mark, votes 1 or 0, or abstains with nan."""
-        yes = np.log(self.rate1) - np.log(self.rate0)
-        no = np.log1p(-self.rate1[-1]) - np.log1p(-self.rate0[-1])
-        mark = votes[:, -1]
-        out = math.log(self.prior / (1 - self.prior)) + votes[:, :-1] @ (yes * self.discount)[:-1]
-        return out + np.where(np.isnan(mark), 0, np.where(mark == 1, yes[-1], no))
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -30, 30)))
-
-    def fit(self, votes: np.ndarray, rounds: int = 10) -> np.ndarray:
-        """Expectation maximisation over the voters; returns the posteriors. The mark's rates are given."""
-        own = votes[:, :-1]
+    """Latent classes of texts by the votes of families of correlated voters."""
+
+    def __init__(self, votes: np.ndarray):
+        """votes: (texts, voters) of 0 and 1."""
+        self.votes = votes.astype(np.float32)
+        self.family = self._families()
+        self.sums = np.stack([self.votes[:, self.family == f].sum(axis=1) for f in range(self.family.max() + 1)], axis=1).astype(int)
+        self.levels = np.minimum(self.sums, LEVELS)
+        self.rates: np.ndarray | None = None
+
+    def _families(self) -> np.ndarray:
+        """A number per voter: connected components of voters whose votes correlate over all texts."""
+        v = self.votes
+        mean = v.mean(axis=0, dtype=np.float64)
+        cov = (v.T @ v) / len(v) - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        near = cov / np.outer(sd, sd) > CORRELATED
+        np.fill_diagonal(near, True)
+        label = np.arange(len(mean))
+        while True:
+            new = np.where(near, label, len(label)).min(axis=1)
+            if (new == label).all():
+                return np.unique(label, return_inverse=True)[1]
+            label = new
+
+    def fit(self, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+        """The posteriors of the toxic classes together; `start` are the first ones."""
+        n, families = self.sums.shape
+        strongest, silent = self.sums.argmax(axis=1), self.sums.max(axis=1) == 0
+        share = np.bincount(strongest[~silent], start[~silent], families) + 1.0
+        q = np.zeros((n, families + 1))
+        q[:, 0] = 1 - start
+        q[~silent, 1 + strongest[~silent]] = start[~silent]
+        q[silent, 1:] = np.outer(start[silent], share / share.sum())
         for _ in range(rounds):
-            q = self.posterior(votes)
-            self.prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
-            for name, weight in (("rate1", q), ("rate0", 1 - q)):
-                rates = np.clip((weight @ own + 0.1) / (weight.sum() + 1), 1e-5, 1 - 1e-5)
-                setattr(self, name, np.append(rates, getattr(self, name)[-1]))
-            self.discount = np.append(self._discounts(own, q), 1.0)
-        return self.posterior(votes)
-
-    @staticmethod
-    def _discounts(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """1 over the number of votes that a voter and its correlates amount to, within the classes."""
-        total = np.zeros((votes.shape[1], votes.shape[1]))
-        for weight in (q, 1 - q):
-            n = max(float(weight.sum()), 1e-9)
-            mean = weight @ votes / n
-            cov = (votes * weight[:, None]).T @ votes / n - np.outer(mean, mean)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            total += n * np.clip(cov / np.outer(sd, sd), 0, 1)
-        corr = total / len(votes)
-        np.fill_diagonal(corr, 1.0)
-        return 1 / np.where(corr > 0.3, corr, 0).sum(axis=1)
+            odds = np.tile(np.log((q.sum(axis=0) + 1) / (n + families + 1)), (n, 1))
+            for f in range(families):
+                held = np.stack([np.bincount(self.levels[:, f], q[:, k], LEVELS + 1) + 0.1 for k in range(families + 1)])
+                odds += np.log(held / held.sum(axis=1, keepdims=True))[:, self.levels[:, f]].T
+            q = np.exp(odds - odds.max(axis=1, keepdims=True))
+            q /= q.sum(axis=1, keepdims=True)
+        toxic = 1 - q[:, 0]
+        self.rates = np.stack([(w @ self.votes + 0.5) / (w.sum() + 1) for w in (toxic, 1 - toxic)])
+        return toxic
 
 
 class Classifier:
@@ -177,15 +178,37 @@ class Classifier:
 
 
 def present(sample: DataFrame, chosen: list[str]) -> DataFrame:
-    """y and the chosen features of each row."""
-    chosen_set = frozenset(chosen)
+    """y and, as numbers, the chosen features of each row."""
+    number = {f: i for i, f in enumerate(chosen)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
-            found = [sorted(text_features(t) & chosen_set) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["y", "found"])
+            found = [sorted(number[f] for f in text_features(t) if f in number) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
 
-    return map_arrow(sample, run, "y int, found array<string>")
+    return map_arrow(sample, run, "y int, found array<int>")
+
+
+def leaning(sample: DataFrame, all1: int, all0: int) -> list:
+    """feature, n1, n0 of the features that lean to the toxic mark, by name."""
+    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
+    odds = F.log(a / (F.lit(all1) - F.col("n1") + 0.5)) - F.log(b / (F.lit(all0) - F.col("n0") + 0.5))
+    ranked = settle(count_features(sample).withColumn("z", odds / F.sqrt(1 / a + 1 / b)).filter(F.col("z") >= FEW_LEAN), "features")
+    for least in (MIN_LEAN, FEW_LEAN):
+        found = ranked.filter(F.col("z") >= least).orderBy("feature").collect()  # of the words of a bounded sample
+        if found:
+            break
+    return found
+
+
+def posteriors(held: pa.Table, voters: np.ndarray, n_features: int) -> np.ndarray:
+    """The label model's posteriors of the rows of present(); `voters` are the numbers of features that vote."""
+    y, found = held.column("y").to_numpy(), held.column("found").combine_chunks()
+    of = np.repeat(np.arange(len(y)), np.asarray(found.value_lengths()))
+    votes = np.zeros((len(y), n_features), dtype=np.uint8)
+    votes[of, found.flatten().to_numpy()] = 1
+    return LabelModel(votes[:, voters]).fit(np.where(y == 1, 0.95, 0.05))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier:
@@ -195,38 +218,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
     all1, all0 = marks.get(1, 0), marks.get(0, 0)
     if not all1 or not all0:
         return Classifier({}, -500.0 if not all1 else 500.0)
-    # at most FEATURES counts reach the driver, those that lean most by the same measure as lean()
-    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
-    odds = F.log(a / (F.lit(all1) - F.col("n1") + 0.5)) - F.log(b / (F.lit(all0) - F.col("n0") + 0.5))
-    ranked = count_features(sample).filter(F.col("n1") >= MIN_TOXIC).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    top = ranked.filter(F.col("z") >= MIN_LEAN).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
-    chosen = [r["feature"] for r in top]
-    if not chosen:
+    found = leaning(sample, all1, all0)
+    voters = np.flatnonzero([r["n1"] >= r["n0"] for r in found])
+    if not len(voters):
         return Classifier({}, math.log(all1 / all0))
-    voters = {f: i for i, f in enumerate(chosen[:VOTERS])}
-    held = present(sample, chosen).collect()  # at most about SAMPLE_ROWS short rows
-    votes = np.zeros((len(held), len(voters) + 1))
-    for i, r in enumerate(held):
-        votes[i, [voters[f] for f in r["found"] if f in voters]] = 1
-        votes[i, -1] = r["y"]
-    counts = {r["feature"]: r for r in top}
-    rate = lambda n, k: np.asarray([(counts[f][k] + 0.1) / (n + 1) for f in voters])
-    model = LabelModel(all1 / (all1 + all0), np.append(rate(all1, "n1"), 1 - LABEL_NOISE), np.append(rate(all0, "n0"), LABEL_NOISE))
-    q = model.fit(votes)
-    rows_ = [(r["found"], float(y), float(p)) for r, p1 in zip(held, q) for y, p in ((1, p1), (0, 1 - p1)) if p > 1e-6]
-    vectors = CountVectorizerModel.from_vocabulary(chosen, inputCol="found", outputCol="features", minTF=1.0)
-    vectors = vectors.setBinary(True)
-    examples = vectors.transform(spark.createDataFrame(rows_, "found array<string>, y double, p double").repartition(6)).cache()
+    names = [r["feature"] for r in found]
+    held = present(sample, names).toArrow()  # about SAMPLE_ROWS short rows
+    q = posteriors(held, voters, len(names))
+    features = pa.chunked_array([held.column("found").combine_chunks().cast(pa.list_(pa.string()))])
+    sides = [pa.table({"found": features, "y": pa.array(np.full(len(q), y)), "p": pa.array(p)}) for y, p in ((1.0, q), (0.0, 1 - q))]
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(names))], inputCol="found", outputCol="features", minTF=1.0)
+    examples = vectors.transform(spark.createDataFrame(pa.concat_tables(sides)).filter("p > 1e-6").repartition(6)).cache()
     fitted = LogisticRegression(weightCol="p", labelCol="y", regParam=REGULAR, maxIter=100, standardization=False).fit(examples)
     examples.unpersist()
-    weights = {f: float(w) for f, w in zip(chosen, fitted.coefficients.toArray()) if w}
+    weights = {f: float(w) for f, w in zip(names, fitted.coefficients.toArray()) if w}
     return Classifier(weights, float(fitted.intercept))
 
 
 def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc_id",), out_col: str = "score") -> DataFrame:
     """The columns of `keep` and `out_col` double; only the text is read. A kept column of that
     name gives way."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)  # at most FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)  # weights of the features of a bounded sample
     kept = [c for c in keep if c != out_col]
     source = docs.select(*kept, F.col("text").cast("string").alias("__text"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{out_col}` double"])

@@ -1,17 +1,57 @@
-"""A language of few rows beside one that holds most of the training text."""
+"""The language model: bounded samples, no cut vocabulary, and a language of few rows beside a large one."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import xxhash
 
 from marketframe.llm import language
 
 
+def known(model, word):
+    return xxhash.xxh64_intdigest(word, 42) in set(model.hashes.tolist())
+
+
 def test_small_language_keeps_a_vocabulary(spark):
     hot = [(i, " ".join(f"{a}{b}" for a in "abcdefgh" for b in "mnopqrst"), "aa") for i in range(300)]
     rows = hot + [(1000 + i, "xuxu zyzy", "zz") for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    for bounds in ({"model_words": 10}, {"rows": 12}):
+    for bounds in ({"size": 2000}, {"rows": 12}, {}):
         model = language.train(df, **bounds)
         assert model.langs == ["aa", "zz"]
-        assert {"xuxu", "zyzy"} <= set(model.words)
-    assert len(language.train(df, model_words=10).words) == 10
+        assert known(model, "xuxu") and known(model, "zyzy")
+    assert len(model.hashes) == 66  # every word of the sample
+
+
+def test_model_equals_plain_counts(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("Ab ab äb c", "x"), ("ab d 1a", "y"), ("ß日本 d", "y"), ("zz", "x")] * 9)]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    may = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    words = Counter((lang, w) for t, lang in may for w in re.findall(r"[^\W\d_]+", t.lower()))
+    grams = Counter()
+    for (lang, w), n in words.items():
+        p = f" {w} "
+        for i in range(len(p)):
+            for k in range(1, language.MAX_GRAM + 1):
+                if i + k <= len(p):
+                    grams[lang, p[i : i + k]] += math.log2(1 + n)
+
+    def logs(counts):
+        keys = sorted({k for _, k in counts})
+        m = np.asarray([[counts[lang, k] for lang in model.langs] for k in keys], dtype=float)
+        x = np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * len(m)))
+        return dict(zip(keys, x - x.mean(axis=1, keepdims=True)))
+
+    want, want_grams = logs(words), logs(grams)
+    assert len(model.hashes) == len(want) and set(model.grams) == set(want_grams)
+    for w, x in want.items():
+        assert np.allclose(model.score_words([w])[0], x, atol=1e-5)
+    for g, i in model.grams.items():
+        assert np.allclose(model.gram_logs[i], want_grams[g], atol=1e-5)
+    assert np.allclose(model.score_words(["qä"])[0], want_grams[" "] + want_grams["ä"], atol=1e-5)  # the n-grams that are known
 
 
 def test_level():
