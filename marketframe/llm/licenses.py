@@ -1,145 +1,122 @@
 """License scans by diagonal voting.
 
-Every rolling k-gram of document words is joined, by hash and by its words, to the places it has
-in the license templates. A hit votes for the diagonal document place minus template place;
-votes are counted by (document, template, diagonal), diagonals that lie within `gap` of each other
-are merged (an inserted or missing word shifts the diagonal by one), and a merged span is verified:
-the template words under its exactly equal k-grams must make up `cover` of the template.
-
-Words that no template holds can't be part of a hit, so the tasks emit only k-grams of template
-words; what is shuffled grows with the license text found, not with the corpus.
-
-Null and empty texts have no words, no places, no labels and score 0. Repeated rows give repeated
-results; rows that share doc_id but not the text count apart. Other columns are ignored.
+All rolling word k-grams of the documents are joined in Spark, by hash and by their words, to the
+places that they have in license templates (a small table, broadcast within BROADCAST_PLACES rows and
+joined by shuffle beyond). A hit votes for the diagonal document place minus template place; votes are
+counted by (document, template, diagonal), neighbouring diagonals are merged (an inserted or missing
+passage shifts the diagonal by its length: up to `gap` words, or a quarter of a long template), and a
+merged span is verified: the template words under its equal k-grams must make up a share of the
+template, `cover` for templates of LONG words or more and `short_cover` for shorter ones, of which
+one is easily another with a word changed.
+
+Templates are a table (label, text), by default the wording in license_texts. Headers of related
+licenses hold most of each other's words, so a document of one may get the labels of both.
+
+The score is the largest share of a template found, 0.5 at least where a base phrase stands. Null and
+empty texts have no words, no places, no labels and score 0. Repeated rows give repeated results; rows
+that share doc_id but not the text count apart. A very long text is scanned whole, and a passage that
+stands in it many times counts once for each place. Other columns are ignored, an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marketframe.llm.bpe import slices
-from marketframe.llm.common import map_arrow, settle
+from marketframe.llm.common import alnum_words, free_worker, map_arrow, settle
+from marketframe.llm.license_texts import TEXTS
 
 K = 4
 GAP = 3
-COVER = 0.6
+COVER, SHORT_COVER, LONG = 0.6, 0.85, 20
+BROADCAST_PLACES = 100_000
 
-# Phrases that name a license, and wording that licenses ask to be repeated.
+# Phrases that name a license.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "released under the MIT License"),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache", "licensed under the Apache License version 2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("gpl", "licensed under the GNU General Public License, version 3"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-]
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words of letters and digits, in UTF-8."""
-    return (text or "").encode().translate(_LOWER).split()
-
-
-def positions(spark: SparkSession, templates=None, k: int = K) -> tuple[DataFrame, dict[bytes, int]]:
-    """(template, label, n words, tpos, gram, hash) of all k-grams of the templates, and word codes."""
-    templates = TEMPLATES if templates is None else templates
-    code: dict[bytes, int] = {}
-    rows = []
-    for t, (label, text) in enumerate(templates):
-        ws = words_of(text)
-        numbers = np.asarray([code.setdefault(w, len(code) + 1) for w in ws], dtype=np.uint64)
-        for p, h in enumerate(gram_hashes(numbers, k).tolist()):
-            rows.append((t, label, len(ws), p, b" ".join(ws[p : p + k]).decode(), h))
-    return spark.createDataFrame(rows, "template int, label string, length int, tpos int, gram string, hash bigint"), code
+def default_templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TEXTS, "label string, text string")
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """Rolling hashes of k consecutive codes, as signed 64-bit integers."""
-    n = len(codes) - k + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.int64)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        h = h * np.uint64(1_000_003) + codes[j : j + n]
-    return h.view(np.int64)
+def with_grams(rows: DataFrame, k: int) -> DataFrame:
+    """`rows` with `ws`, a row for each k-gram of it: pos (from 0), gram (its words) and hash; `ws` is dropped."""
+    starts = F.sequence(F.lit(0), F.size("ws") - k)
+    each = rows.filter(F.size("ws") >= k).withColumn("pos", F.explode(starts))
+    each = each.withColumn("gram", F.array_join(F.slice("ws", F.col("pos") + 1, F.lit(k)), " "))
+    return each.withColumn("hash", F.xxhash64("gram")).drop("ws")
 
 
-FOUND = "doc_id bigint, __h bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, grams array<struct<pos: int, hash: bigint, gram: string>>"
+def positions(templates: DataFrame, k: int = K) -> DataFrame:
+    """template, label, length, tpos, gram and hash of all k-grams of the templates."""
+    rows = templates.select("label", alnum_words(F.col("text")).alias("ws")).distinct()
+    rows = rows.withColumns({"template": F.xxhash64("label", "ws"), "length": F.size("ws")})
+    return with_grams(rows, k).withColumnRenamed("pos", "tpos")
 
 
-def read_words(docs: DataFrame, code: dict[bytes, int], hashes: list[int], k: int = K) -> DataFrame:
-    """For every row its number of words, the places of the phrases and the k-grams of template words."""
-    source = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("__h"), F.col("text").cast("string").alias("text"))
+def base_places(docs: DataFrame) -> DataFrame:
+    """For every row its number of words and the places of the phrases."""
+    source = docs.select("doc_id", F.xxhash64("text").alias("__h"), F.col("text").cast("string").alias("text"))
     phrases = [(b" " + p.encode() + b" ", label) for p, label in PHRASES.items()]
-    known = np.asarray(sorted(set(hashes)), dtype=np.int64)
-    grams_type = pa.list_(pa.struct([("pos", pa.int32()), ("hash", pa.int64()), ("gram", pa.string())]))
 
     def one(text: str | None):
-        ws = words_of(text)
+        ws = (text or "").encode().translate(_LOWER).split()
         joined = b" " + b" ".join(ws) + b" "
         places, labels = [], set()
         for p, label in phrases:
             at = joined.find(p)
             while at >= 0:
-                places.append(joined.count(b" ", 0, at))
+                places.append(at)
                 labels.add(label)
                 at = joined.find(p, at + 1)
-        grams = []
-        codes = np.asarray(list(map(code.get, ws, [0] * len(ws))), dtype=np.uint64)
-        if len(codes) >= k and np.count_nonzero(codes) >= k:
-            full = np.convolve(codes > 0, np.ones(k, dtype=np.int64), "valid") == k
-            h = gram_hashes(codes, k)
-            at = np.flatnonzero(full)
-            at = at[np.isin(h[at], known)]
-            grams = [{"pos": p, "hash": int(h[p]), "gram": b" ".join(ws[p : p + k]).decode()} for p in at.tolist()]
-        return len(ws), len(places), min(places, default=None), max(places, default=None), sorted(labels), grams
+        word = lambda at: None if at is None else joined.count(b" ", 0, at)
+        return len(ws), len(places), word(min(places, default=None)), word(max(places, default=None)), sorted(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             for b in slices(batch):
-                n, n_base, first, last, labels, grams = zip(*map(one, b.column(2).to_pylist()))
-                columns = [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n, n_base, first, last)), pa.array(labels, pa.list_(pa.string())), pa.array(grams, grams_type)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "__h", "n_words", "n_base", "first_word", "last_word", "base_labels", "grams"])
+                *numbers, labels = zip(*map(one, b.column(2).to_pylist()))
+                columns = [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in numbers), pa.array(labels, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "__h", "n_words", "n_base", "first_word", "last_word", "base_labels"])
 
-    return map_arrow(source, run, FOUND)
+    return map_arrow(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __h bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>")
 
 
-def spans(found: DataFrame, places: DataFrame, k: int = K, gap: int = GAP, cover: float = COVER) -> DataFrame:
+def spans(docs: DataFrame, places: DataFrame, k: int = K, gap: int = GAP, cover: float = COVER, short_cover: float = SHORT_COVER) -> DataFrame:
     """doc_id, __h, label, first word, end word and coverage of every verified span."""
-    hits = found.filter("size(grams) > 0").select("doc_id", "__h", F.explode("grams").alias("g")).select("doc_id", "__h", "g.*").distinct()
-    votes = hits.join(F.broadcast(places), ["hash", "gram"])  # as many rows as the templates have words
+    grams = with_grams(docs.select("doc_id", F.xxhash64("text").alias("__h"), alnum_words(F.col("text").cast("string")).alias("ws")), k)
+    small = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places
+    votes = grams.join(small, ["hash", "gram"])
     key = ["doc_id", "__h", "template", "label", "length"]
     lines = votes.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("tposs"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     w = Window.partitionBy("doc_id", "__h", "template").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > gap, F.lit(True)).cast("int")
+    reach = F.greatest(F.lit(gap), F.floor(F.col("length") / 4))
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > reach, F.lit(True)).cast("int")
     merged = lines.withColumn("__far", far).withColumn("__run", F.sum("__far").over(w))
     merged = merged.groupBy(*key, "__run").agg(F.flatten(F.collect_list("tposs")).alias("tposs"), F.min("first").alias("first"), (F.max("last") + k).alias("end"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("tposs", lambda p: F.sequence(p, p + k - 1)))))
-    return merged.withColumn("coverage", covered / F.col("length")).filter(F.col("coverage") >= cover).select("doc_id", "__h", "label", "first", "end", "coverage")
+    least = F.when(F.col("length") >= LONG, cover).otherwise(short_cover)
+    return merged.withColumn("coverage", covered / F.col("length")).filter(F.col("coverage") >= least).select("doc_id", "__h", "label", "first", "end", "coverage")
 
 
-def scan(docs: DataFrame, templates=None, k: int = K, gap: int = GAP, cover: float = COVER) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame | None = None, k: int = K, gap: int = GAP, cover: float = COVER, short_cover: float = SHORT_COVER) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (sorted arrays), score."""
-    places, code = positions(docs.sparkSession, templates, k)
-    found = settle(read_words(docs, code, [r[0] for r in places.select("hash").collect()], k), "license-words")
-    best = spans(found, places, k, gap, cover).groupBy("doc_id", "__h").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best")).alias("s")
-    f = found.drop("grams").alias("f")
+    places = positions(default_templates(docs.sparkSession) if templates is None else templates, k)
+    best = settle(spans(docs, places, k, gap, cover, short_cover).groupBy("doc_id", "__h").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best")), "license-spans").alias("s")
+    f = base_places(docs).alias("f")
     same = F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("f.__h") == F.col("s.__h"))
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union("f.base_labels", F.coalesce("s.more", none)))
-    score = F.when(F.col("f.n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("s.best", F.lit(0.0)))
+    score = F.greatest(F.when(F.col("f.n_base") > 0, 0.5).otherwise(0.0), F.coalesce("s.best", F.lit(0.0)))
     return f.join(best, same, "left").select("f.doc_id", "f.n_words", "f.n_base", "f.first_word", "f.last_word", "f.base_labels", labels.alias("labels"), score.alias("score"))
 
 

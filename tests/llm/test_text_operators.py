@@ -73,11 +73,41 @@ def test_decontamination_empty(spark):
 
 # ---- licenses ---------------------------------------------------------------------------------
 
-def test_licenses(spark):
+def brute_labels(text, templates, k=4):
+    """Labels and largest coverage by comparing all places with all places."""
+    w, out, best = alnum(text), set(), 0.0
+    for label, wording in templates:
+        t = alnum(wording)
+        lines = {}
+        for i in range(len(w) - k + 1):
+            for j in range(len(t) - k + 1):
+                if w[i : i + k] == t[j : j + k]:
+                    lines.setdefault(i - j, set()).add(j)
+        runs, last = [], None
+        for d in sorted(lines):
+            if last is None or d - last > max(licenses.GAP, len(t) // 4):
+                runs.append(set())
+            runs[-1] |= {j + n for j in lines[d] for n in range(k)}
+            last = d
+        for r in runs:
+            share = len(r) / len(t)
+            if share >= (licenses.COVER if len(t) >= licenses.LONG else licenses.SHORT_COVER):
+                out.add(label)
+                best = max(best, share)
+    return out, best
+
+
+@pytest.mark.parametrize("broadcast", [licenses.BROADCAST_PLACES, 0])
+def test_licenses(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(licenses, "BROADCAST_PLACES", broadcast)
     rows = list(enumerate(odd_texts()))
-    long = licenses.TEMPLATES[0][1]
-    cut = " ".join(w for i, w in enumerate(long.split()) if i not in (9, 30))  # two words missing
-    more = ["The MIT License, mit license", "apache-license gnu General Public LICENSE mit  license", "x " * 50 + cut + " y", " ".join(long.split()[:10]), "permission is hereby granted", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http"]
+    templates = licenses.TEXTS
+    assert len({label for label, _ in templates}) >= 10
+    long = templates[0][1].split()
+    cut = " ".join(w for i, w in enumerate(long) if i not in (9, 30))  # two words missing
+    named = " ".join([*long[:40], "a company of eight words that stands here", *long[40:]])
+    more = ["The MIT License, mit license", "apache-license gnu General Public LICENSE mit  license", "x " * 50 + cut + " y", " ".join(long[:10]), "permission is hereby granted", named, (cut + " z ") * 3]
+    more += [f"a b c {t} d" for _, t in templates]
     rows += list(enumerate(more, 1000)) + [(1000, more[0]), (1002, more[2]), (None, more[0])]
     got = licenses.digest(frame(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -87,13 +117,22 @@ def test_licenses(spark):
     for d, x in rows:
         w = alnum(x)
         at = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
-        base = ",".join(sorted({label for _, label in at}))
-        assert any(t[:5] == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, base) for t in by[d]), x
+        base = {label for _, label in at}
+        labels, best = brute_labels(x, templates)
+        want = (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted(base)), ",".join(sorted(base | labels)), round(max(best, 0.5 if at else 0), 6))
+        assert want in by[d], (x, by[d])
     labels = {d: {t[5] for t in v} for d, v in by.items()}
-    assert labels[1000] == {"mit"} and labels[1001] == {"apache,gpl,mit"} and labels[1002] == {"mit"} and labels[1003] == {""} and labels[1004] == {""} and labels[1005] == {"mpl"}
+    assert labels[1000] == {"mit"} and labels[1001] == {"apache,gpl,mit"} and labels[1002] == {"mit"} and labels[1003] == {""} and labels[1004] == {""} and labels[1005] == {"mit"}
+    assert all(label in labels[1007 + i].pop().split(",") for i, (label, _) in enumerate(templates))
     assert licenses.digest(frame(spark, [])).count() == 0
 
 
+def test_licenses_by_own_templates(spark):
+    df = spark.createDataFrame([("a", "one two three four five six"), (None, "one two three")], "doc_id string, text string")
+    own = spark.createDataFrame([("own", "two three four five"), ("short", "one two"), ("none", None)], "label string, text string")
+    assert sorted((r.doc_id or "", list(r.labels), r.score) for r in licenses.scan(df, own).collect()) == [("", [], 0.0), ("a", ["own"], 1.0)]
+
+
 # ---- language ---------------------------------------------------------------------------------
 
 def test_language(spark):
