@@ -34,7 +34,7 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the text decoded from them."""
-    return bpe.decode(bpe.encode(docs), out_col="text")
+    return bpe.encode(docs, decoded_col="text")
 
 
 STAGES = [
