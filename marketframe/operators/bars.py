@@ -51,15 +51,18 @@ def current(bars: DataFrame, seconds: int, now: Column) -> DataFrame:
     return newest.withColumns({"opening": opening, "closing": opening + seconds, "remaining": opening + seconds - now})
 
 
-def keep_by_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in `order`."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("__k", rank).filter("__k = 1").drop("__k")
+def keep_by_key(df: DataFrame, key: list[str], by: list[str], last: bool = True) -> DataFrame:
+    """One row for each key: the one with the largest `by`, or the smallest unless `last`; ties go by the
+    other columns. Rows of one key are reduced before they are shuffled."""
+    rest = [c for c in df.columns if c not in key and c not in by]
+    row = F.struct(*by, *rest)
+    best = df.groupBy(*key).agg((F.max(row) if last else F.min(row)).alias("__row"))
+    return best.select(*(F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in df.columns))
 
 
 def merge(batches: DataFrame, seq: str = "seq") -> DataFrame:
     """One bar for each (symbol, ts): the last in."""
-    return keep_by_key(batches, ["symbol", "ts"], [F.desc(seq)])
+    return keep_by_key(batches, ["symbol", "ts"], [seq])
 
 
 def splice(history: DataFrame, live: DataFrame) -> DataFrame:

@@ -48,18 +48,30 @@ def closed_minutes(spark: SparkSession, days: DataFrame, first: str, last: str)
     return table.select(F.col("ts").alias("hour"), *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in ("open_minutes", "weekday_minutes")), "open_minutes", "weekday_minutes")
 
 
+def calendar_of(rows: DataFrame, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(holidays, closed_minutes) over the years that `rows` span."""
+    spark = rows.sparkSession
+    a, z = rows.agg(F.min(ts), F.max(ts)).first()
+    years = (a.year, z.year) if a is not None else (1970, 1970)
+    days = holidays(spark, years[0] - 1, years[1] + 1)
+    return days, closed_minutes(spark, days, f"{years[0]}-01-01", f"{years[1] + 1}-01-02")
+
+
 def trading_minutes(spans: DataFrame, table: DataFrame, start: str, end: str, out: str = "minutes", of: str = "open_minutes") -> DataFrame:
     """Minutes from start to end, both ends counted, in which the market trades: a difference of
-    prefix counts at the two hours (two look-ups for a span of any length)."""
+    prefix counts at the two hours (two look-ups for a span of any length). A time that the table
+    doesn't reach is an error; a null start or end gives null."""
     before, own = f"{of}_before", of
 
     def upto(df: DataFrame, ts: Column, name: str, extra: int) -> DataFrame:
         t = table.select(F.col("hour").alias("__h"), F.col(before).alias("__b"), F.col(own).alias("__o"))
         joined = df.join(F.broadcast(t), F.date_trunc("hour", ts).cast("timestamp_ntz") == F.col("__h"), "left")
-        return joined.withColumn(name, F.col("__b") + F.when(F.col("__o") > 0, F.minute(ts) + extra).otherwise(0)).drop("__h", "__b", "__o")
+        minutes = F.col("__b") + F.when(F.col("__o") > 0, F.minute(ts) + extra).otherwise(0)
+        outside = F.raise_error(F.lit("a time lies outside of the table of closed minutes")).cast("bigint")
+        return joined.withColumn(name, F.when(ts.isNull(), None).when(F.col("__b").isNull(), outside).otherwise(minutes)).drop("__h", "__b", "__o")
 
     both = upto(upto(spans, F.col(start), "__s", 0), F.col(end), "__e", 1)
-    return both.withColumn(out, F.greatest(F.col("__e") - F.col("__s"), F.lit(0))).drop("__s", "__e")
+    return both.withColumn(out, F.when(F.col("__e").isNotNull() & F.col("__s").isNotNull(), F.greatest(F.col("__e") - F.col("__s"), F.lit(0)))).drop("__s", "__e")
 
 
 def classified(gaps: DataFrame, table: DataFrame, start: str = "gap_start", end: str = "gap_end") -> DataFrame:

@@ -75,7 +75,10 @@ def policy(rows: DataFrame, payout: float = 0.85) -> DataFrame:
     return out.withColumn("ratio", F.col("mean") / F.col("std"))
 
 
-def class_weight(rows: DataFrame) -> DataFrame:
-    """`rows` with weight: negatives over positives for label 1, else 1 (one row is broadcast)."""
-    ratio = rows.agg((F.count_if(F.col("label") == 0) / F.greatest(F.count_if(F.col("label") == 1), F.lit(1))).alias("__r"))
-    return rows.join(F.broadcast(ratio)).withColumn("weight", F.when(F.col("label") == 1, F.col("__r")).otherwise(1.0)).drop("__r")
+def class_weight(rows: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """`rows` with weight: negatives over positives for label 1, else 1; within each `key` if one is
+    given. Pass the rows that are trained on only."""
+    ratio = (F.count_if(F.col("label") == 0) / F.greatest(F.count_if(F.col("label") == 1), F.lit(1))).alias("__r")
+    found = rows.groupBy(*key).agg(ratio) if key else rows.agg(ratio)
+    joined = rows.join(found, list(key)) if key else rows.join(F.broadcast(found))  # one row
+    return joined.withColumn("weight", F.when(F.col("label") == 1, F.col("__r")).otherwise(1.0)).drop("__r")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SOURCES = ("historical", "live")  # domain of a tick's source
 SIDES, DIRECTIONS = ("CALL", "PUT"), ("CALL", "PUT", "SKIP")
 
 
@@ -14,8 +13,9 @@ def violations(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
 
 
-def tick_rules() -> dict[str, Column]:
-    return {"bid": F.col("bid") > 0, "ask": F.col("ask") > 0, "spread": F.col("bid") <= F.col("ask"), "source": F.col("source").isin(*SOURCES)}
+def tick_rules(sources: tuple[str, ...]) -> dict[str, Column]:
+    """`sources` are the names that a tick's source may have."""
+    return {"bid": F.col("bid") > 0, "ask": F.col("ask") > 0, "spread": F.col("bid") <= F.col("ask"), "source": F.col("source").isin(*sources)}
 
 
 def bar_rules() -> dict[str, Column]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ c = F.col
 
 # Outcomes by side, words for sides.
 DIRECTIONS = {"UP": "call", "CALL": "call", "0": "call", "DOWN": "put", "PUT": "put", "1": "put"}
-EVENTS = ("win", "loss", "signal", "kill")
+KILLS = ("kill_switch", "fatal_error", "engine_crash", "webhook_failed", "journal_failed")
 
 
 def decide(p: Column, threshold: float | Column) -> tuple[Column, Column]:
@@ -26,23 +30,35 @@ def executable(signals: DataFrame) -> DataFrame:
 
 
 def cooldown(signals: DataFrame, seconds: int = 80) -> DataFrame:
-    """Signals at least `seconds` after the last kept one of their symbol.
-
-    A row that far behind its neighbour is kept whatever came before it, so symbols fall into
-    islands there, and only the rows inside an island are folded in order."""
+    """Signals at least `seconds` after the last kept one of their symbol; of equal times the smallest
+    seq comes first. The kept signal before each decides, so rows go in time order through one pass
+    that holds a batch and the last kept time, however dense the signals are."""
+    step = seconds * 1_000_000
     t = F.unix_micros(c("ts").cast("timestamp"))
-    gap = t - F.lag(t).over(by_symbol("ts", "seq"))
-    island = F.sum(flag(F.coalesce(gap >= seconds * 1_000_000, F.lit(True)))).over(running(by_symbol("ts", "seq")))
-    rows = signals.withColumn("__t", t).withColumn("__island", island)
-    lists = rows.groupBy("symbol", "__island").agg(F.array_sort(F.collect_list(F.struct("__t", "seq"))).alias("xs"))
-    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc, x):
-        keep = acc["last"].isNull() | (x["__t"] - acc["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(keep, x["__t"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["seq"].cast("bigint")))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = lists.select("symbol", F.explode(F.aggregate("xs", zero, step)["kept"]).alias("seq"))
-    return signals.join(kept, ["symbol", "seq"], "left_semi")
+    names = signals.columns
+    rows = signals.withColumn("__t", t).repartition("symbol").sortWithinPartitions("symbol", "__t", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, last = None, None
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            times = batch.column("__t").to_numpy(zero_copy_only=False)
+            codes = batch.column("symbol").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            ends = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(ends, ends[1:]):
+                if i == j:
+                    continue
+                own = batch.column("symbol")[i].as_py()
+                if own != symbol:
+                    symbol, last = own, None
+                while i < j:  # from one kept signal to the first that is far enough behind it
+                    at = i if last is None else i + int(np.searchsorted(times[i:j], last + step))
+                    if at < j:
+                        keep[at], last = True, times[at]
+                    i = at + 1
+            yield batch.filter(pa.array(keep)).select(names)
+
+    return rows.mapInArrow(run, signals.schema)
 
 
 def streaks(results: DataFrame, base: float = 0.6, step: float = 0.05, most: int = 5) -> DataFrame:
@@ -103,12 +119,10 @@ def stake_ladder(results: DataFrame, stake: float, steps: int) -> DataFrame:
     return results.withColumn("next_stake", stake * F.pow(F.lit(2.0), F.pmod(losses, F.lit(steps))))
 
 
-def activity(event: Column) -> Column:
-    """Class of an event: its first known word, else info."""
-    out = F.when(F.lit(False), "")
-    for word in EVENTS:
-        out = out.when(F.contains(F.lower(event), F.lit(word)), word)
-    return out.otherwise("info")
+def activity(event: Column, outcome: Column) -> Column:
+    """Class of an event: a result by its outcome, signals, failures that stop trading, else info."""
+    result = F.when(outcome.isin("win", "loss"), outcome).otherwise("info")
+    return F.when(event == "result", result).when(event == "signal", "signal").when(event.isin(*KILLS), "kill").otherwise("info")
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -126,13 +140,14 @@ def status(wins: Column, target: int, open_: Column) -> Column:
     return F.when(wins >= target, "TARGET REACHED").when(open_, "ACTIVE").otherwise("CLOSED")
 
 
-def session_report(results: DataFrame, target: int = 10, base: float = 0.6, step: float = 0.05) -> DataFrame:
-    """One row per symbol and day: summary, win rate, and the streak and threshold after its last result."""
+def session_report(results: DataFrame, target: int = 10, base: float = 0.6, step: float = 0.05, now: Column | None = None) -> DataFrame:
+    """One row per symbol and day: summary, win rate, and the streak and threshold after its last result.
+    Days before that of `now` are closed; without it every day counts as open."""
     days = summary(results).withColumn("win_rate", win_rate(c("wins"), c("losses")))
     state = streaks(results, base, step).withColumn("day", F.to_date("ts"))
     t = F.struct("ts", "seq")
     last = state.groupBy("symbol", "day").agg(F.max_by("streak", t).alias("streak"), F.max_by("threshold", t).alias("threshold"), ((F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))) / 60).alias("minutes"))
-    return days.join(last, ["symbol", "day"]).withColumn("status", status(c("wins"), target, F.lit(True)))
+    return days.join(last, ["symbol", "day"]).withColumn("status", status(c("wins"), target, F.lit(True) if now is None else c("day") >= F.to_date(now)))
 
 
 def recent(trades: DataFrame, n: int = 10) -> DataFrame:
@@ -142,7 +157,8 @@ def recent(trades: DataFrame, n: int = 10) -> DataFrame:
 
 
 def recent_events(events: DataFrame, n: int = 100) -> DataFrame:
-    return events.orderBy(F.desc("ts"), F.desc("seq")).limit(n).withColumn("class", activity(c("event")))
+    """The n newest events (ts, seq, event, outcome) with their class."""
+    return events.orderBy(F.desc("ts"), F.desc("seq")).limit(n).withColumn("class", activity(c("event"), c("outcome")))
 
 
 def asset_name(name: Column) -> Column:

@@ -113,27 +113,29 @@ def table_stats(spark, d):
 @query("SELECT symbol, timeframe, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(price, 6) AS price FROM (SELECT event_type AS symbol, 'M1' AS timeframe, date_trunc('hour', ts) AS ts, last(value ORDER BY event_id % 2, event_id) AS price FROM events GROUP BY event_type, date_trunc('hour', ts))")
 def table_upsert(spark, d):
     rows = ticks(spark, d).select("symbol", F.lit("M1").alias("timeframe"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "price", "seq")
-    old = bars.keep_by_key(rows.filter("seq % 2 = 0"), ["symbol", "ts"], [F.desc("seq")]).drop("seq")
+    old = bars.keep_by_key(rows.filter("seq % 2 = 0"), ["symbol", "ts"], ["seq"]).drop("seq")
     return tables.upserted(old, rows.filter("seq % 2 = 1"), seq="seq")
 
 
-@query("SELECT c_mktsegment AS symbol, strftime(coalesce(m + INTERVAL 1 MINUTE, TIMESTAMP '2022-01-31'), '%Y-%m-%d %H:%M:%S') AS start FROM (SELECT DISTINCT c_mktsegment FROM customer) LEFT JOIN (SELECT c_mktsegment AS s, max(o_orderdate) AS m FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment < 'H' GROUP BY 1) ON s = c_mktsegment")
+@query("SELECT c_mktsegment AS symbol, strftime(coalesce(m + INTERVAL 1 MINUTE, TIMESTAMP '2022-01-31'), '%Y-%m-%d %H:%M:%S') AS start FROM (SELECT DISTINCT c_mktsegment FROM customer UNION SELECT DISTINCT n_name FROM nation) LEFT JOIN (SELECT c_mktsegment AS s, max(o_orderdate) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) ON s = c_mktsegment")
 def load_start(spark, d):
     people = table(spark, d, "customer")
-    stored = table(spark, d, "orders").join(people.filter("c_mktsegment < 'H'"), c("o_custkey") == c("c_custkey")).select(c("c_mktsegment").alias("symbol"), c("o_orderdate").alias("ts"))
-    return tables.load_start(people.select(c("c_mktsegment").alias("symbol")).distinct(), stored, F.lit("2024-01-31 08:00:00").cast("timestamp_ntz"))
+    stored = table(spark, d, "orders").join(people, c("o_custkey") == c("c_custkey")).select(c("c_mktsegment").alias("symbol"), c("o_orderdate").alias("ts"))
+    wanted = people.select(c("c_mktsegment").alias("symbol")).unionByName(table(spark, d, "nation").select(c("n_name").alias("symbol"))).distinct()
+    return tables.load_start(wanted, stored, F.lit("2024-01-31 08:00:00").cast("timestamp_ntz"))
 
 
-@query("WITH s AS (SELECT event_type AS symbol, max(ts) + INTERVAL 1 MINUTE AS a FROM events WHERE event_id < 2000 GROUP BY event_type), w AS (SELECT symbol, unnest(generate_series(a, TIMESTAMP '2024-02-01', INTERVAL 3 DAY + INTERVAL 1 MINUTE)) AS ts FROM s) SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS start, strftime(least(ts + INTERVAL 3 DAY, TIMESTAMP '2024-02-01'), '%Y-%m-%d %H:%M:%S') AS \"end\" FROM w")
+@query("WITH s AS (SELECT event_type AS symbol, max(ts) + INTERVAL 1 MINUTE AS a FROM events GROUP BY event_type), w AS (SELECT symbol, unnest(generate_series(a, TIMESTAMP '2024-03-15', INTERVAL 3 DAY + INTERVAL 1 MINUTE)) AS ts FROM s) SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS start, strftime(least(ts + INTERVAL 3 DAY, TIMESTAMP '2024-03-15'), '%Y-%m-%d %H:%M:%S') AS \"end\" FROM w")
 def load_windows(spark, d):
-    last = ticks(spark, d).filter("seq < 2000").groupBy("symbol").agg((F.max("ts") + F.expr("interval 1 minute")).alias("start"))
-    return tables.load_windows(last, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    last = ticks(spark, d).groupBy("symbol").agg((F.max("ts") + F.expr("interval 1 minute")).alias("start"))
+    return tables.load_windows(last, F.lit("2024-03-15 00:00:00").cast("timestamp_ntz"))
 
 
-@query("SELECT event_type AS symbol, 'M1' AS timeframe, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 6) AS close, greatest(coalesce(CAST(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 - 1 END AS DOUBLE), 1.0), 1.0) AS volume, true AS is_complete FROM events")
+@query("SELECT event_type AS symbol, 'M1' AS timeframe, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 6) AS close, round(value * 0.5, 6) AS low, round(value * 2, 6) AS high, round(value + 1, 6) AS open, greatest(coalesce(CAST(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 - 1 END AS DOUBLE), 1.0), 1.0) AS volume, true AS is_complete FROM events")
 def vendor_bars(spark, d):
-    rows = ticks(spark, d).select("symbol", "ts", *(c("price").alias(x) for x in ("open", "high", "low", "close")), F.when(c("seq") % 3 != 0, c("seq") % 3 - 1).alias("volume"))
-    return tables.vendor_bars(rows).drop("open", "high", "low")
+    p = c("price")
+    rows = ticks(spark, d).select("symbol", "ts", (p + 1).alias("open"), (p * 2).alias("high"), (p * 0.5).alias("low"), p.alias("close"), F.when(c("seq") % 3 != 0, c("seq") % 3 - 1).alias("volume"))
+    return tables.vendor_bars(rows)
 
 
 @query("SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, seq FROM (SELECT event_type AS symbol, ts, event_id AS seq FROM events ORDER BY ts DESC, seq DESC LIMIT 100)")
@@ -146,7 +148,7 @@ def ledger_tail(spark, d):
 @query("SELECT array_to_string(list_filter([CASE WHEN value - 2 > 0 THEN NULL ELSE 'bid' END, CASE WHEN value + event_id % 5 - 3 > 0 THEN NULL ELSE 'ask' END, CASE WHEN value - 2 <= value + event_id % 5 - 3 THEN NULL ELSE 'spread' END, CASE WHEN event_id % 7 > 0 THEN NULL ELSE 'source' END], lambda x: x IS NOT NULL), ',') AS violations, count(*) AS n FROM events GROUP BY ALL")
 def quality_ticks(spark, d):
     rows = ticks(spark, d).select((c("price") - 2).alias("bid"), (c("price") + c("seq") % 5 - 3).alias("ask"), F.when(c("seq") % 7 > 0, "live").alias("source"))
-    return quality.checked(rows, quality.tick_rules()).groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count(F.lit(1)).alias("n"))
+    return quality.checked(rows, quality.tick_rules(("historical", "live"))).groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH x AS (SELECT l_extendedprice AS open, l_extendedprice * (1 + l_tax) AS high, l_extendedprice * (1 - l_discount / 2) AS low, l_extendedprice * (1 - l_discount + l_tax) AS close, l_quantity - 2 AS volume FROM lineitem) SELECT array_to_string(list_filter([CASE WHEN low <= high THEN NULL ELSE 'range' END, CASE WHEN open BETWEEN low AND high THEN NULL ELSE 'open' END, CASE WHEN close BETWEEN low AND high THEN NULL ELSE 'close' END, CASE WHEN volume >= 0 THEN NULL ELSE 'volume' END], lambda x: x IS NOT NULL), ',') AS violations, count(*) AS n FROM x GROUP BY ALL")
@@ -210,15 +212,15 @@ NEWYEAR = "(CAST(x AS DATE) IN (DATE '2024-01-01'))"
 
 @query(f"WITH {T}, {Q}, p AS (SELECT symbol, lag(ts) OVER {W} AS gap_start, ts AS gap_end FROM b), g AS (SELECT * FROM p WHERE gap_end - gap_start > INTERVAL 15 MINUTE), m AS (SELECT symbol, gap_start, gap_end, unnest(generate_series(gap_start, gap_end, INTERVAL 1 MINUTE)) AS x FROM g), k AS (SELECT symbol, gap_start, CASE WHEN bool_and({CLOSED}) THEN 'weekend' WHEN bool_and({CLOSED} OR {NEWYEAR}) THEN 'holiday' ELSE 'unexpected' END AS kind FROM m GROUP BY symbol, gap_start) SELECT symbol, kind, count(*) AS n FROM k GROUP BY ALL")
 def calendar_gap_kinds(spark, d):
-    days = calendar.holidays(spark, 2023, 2025)
-    table_ = calendar.closed_minutes(spark, days, "2023-12-30", "2024-03-02")
-    return calendar.classified(calendar.gaps(hourly(spark, d, 900), 900), table_).groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"))
+    rows = hourly(spark, d, 900)
+    _, table_ = calendar.calendar_of(table(spark, d, "events"))
+    return calendar.classified(calendar.gaps(rows, 900), table_).groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH u AS (SELECT user_id, date_trunc('minute', min(ts)) AS a, date_trunc('minute', max(ts)) AS z FROM events GROUP BY user_id), m AS (SELECT user_id, unnest(generate_series(a, z, INTERVAL 1 MINUTE)) AS x FROM u) SELECT user_id, count(*) FILTER (WHERE NOT {CLOSED} AND NOT {NEWYEAR}) AS minutes FROM m GROUP BY user_id")
 def calendar_minutes(spark, d):
     spans = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
-    table_ = calendar.closed_minutes(spark, calendar.holidays(spark, 2023, 2025), "2023-12-30", "2024-03-02")
+    _, table_ = calendar.calendar_of(table(spark, d, "events"))
     return calendar.trading_minutes(spans, table_, "a", "z").select("user_id", c("minutes").cast("bigint").alias("minutes"))
 
 
@@ -282,7 +284,8 @@ def ewm_sql(outs: dict[str, tuple[str, float, int]], source: str, name: str = "e
     return f"{name}x AS MATERIALIZED {rows}, {name}r AS (WITH RECURSIVE s AS (SELECT symbol, i, {first} FROM {name}x WHERE i = 1 UNION ALL SELECT s.symbol, x.i, {state} FROM s JOIN {name}x AS x ON x.symbol = s.symbol AND x.i = s.i + 1) SELECT * FROM s), {name} AS (SELECT {name}x.*, {shown_} FROM {name}x JOIN {name}r ON {name}x.symbol = {name}r.symbol AND {name}x.i = {name}r.i)"
 
 
-MOVES = f"mv0 AS (SELECT *, lag(close) OVER {W} AS pc, lag(high) OVER {W} AS ph, lag(low) OVER {W} AS pl FROM {{}}), mv AS (SELECT * EXCLUDE (pc, ph, pl), CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss, coalesce(greatest(high - low, abs(high - pc), abs(low - pc)), high - low) AS tr, CASE WHEN pc IS NOT NULL THEN greatest(high - ph, 0) END AS up, CASE WHEN pc IS NOT NULL THEN greatest(pl - low, 0) END AS down FROM mv0)"
+MOVES_OF = f"mv0{{0}} AS (SELECT *, lag(close) OVER {W} AS pc, lag(high) OVER {W} AS ph, lag(low) OVER {W} AS pl FROM {{1}}), mv{{0}} AS (SELECT * EXCLUDE (pc, ph, pl), CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss, coalesce(greatest(high - low, abs(high - pc), abs(low - pc)), high - low) AS tr, CASE WHEN pc IS NOT NULL THEN greatest(high - ph, 0) END AS up, CASE WHEN pc IS NOT NULL THEN greatest(pl - low, 0) END AS down FROM mv0{{0}})"
+MOVES = MOVES_OF.replace('{0}', '').replace('{1}', '{}')
 PDI, MDI = f"(100 * pdm / {safe('atr14')})", f"(100 * mdm / {safe('atr14')})"
 RECURRENT = f"{MOVES.format('b')}, {ewm_sql({'ag': ('gain', 0.2, 5), 'al': ('loss', 0.2, 5), 'fast': ('close', 2 / 7, 1), 'slow': ('close', 2 / 19, 1), 'atr': ('tr', 0.2, 5), 'kc': ('close', 2 / 11, 1), 'pdm': ('up', 1 / 14, 14), 'mdm': ('down', 1 / 14, 14), 'atr14': ('tr', 1 / 14, 14)}, 'mv', 'e')}, l1 AS (SELECT * EXCLUDE (i), fast - slow AS macd, 100 * abs({PDI} - {MDI}) / {safe(f'{PDI} + {MDI}')} AS dx FROM e), {ewm_sql({'sig': ('macd', 2 / 6, 1), 'adx': ('dx', 1 / 14, 14)}, 'l1', 'f')}"
 
@@ -293,21 +296,72 @@ def features_recurrent(spark, d):
     return out.select("symbol", "ts", "RSI", "MACD_VALUE", "MACD_SIGNAL", "MACD_HIST", "ATR", "NATR", "KC_WIDTH", "ADX")
 
 
-LONG = "SELECT symbol, to_timestamp(floor(epoch(ts) / 18000) * 18000) AT TIME ZONE 'UTC' AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close FROM b GROUP BY symbol, to_timestamp(floor(epoch(ts) / 18000) * 18000) AT TIME ZONE 'UTC'"
+def long_sql(k: int) -> str:
+    """Features of buckets of k hours as CTEs; k{k} has them by (symbol, ts) of the hourly bars."""
+    at = f"to_timestamp(floor(epoch(ts) / {k * 3600}) * {k * 3600}) AT TIME ZONE 'UTC'"
+    long = f"lg{k} AS (SELECT symbol, {at} AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close FROM b GROUP BY symbol, {at})"
+    means = ewm_sql({"ag": ("gain", 0.2, 5), "al": ("loss", 0.2, 5), "e5": ("close", 2 / 6, 1), "e13": ("close", 2 / 14, 1)}, f"mv{k}", f"e{k}")
+    high, low = rolled("max", "high", 10), rolled("min", "low", 10)
+    known = f"v{k} AS (SELECT symbol, ts + INTERVAL {k} HOUR AS known, 100 - 100 / (1 + ag / {safe('al')}) AS rsi, CAST(sign(e5 - e13) AS DOUBLE) AS trend, (close - {low}) / {safe(f'{high} - {low}')} AS pos FROM e{k})"
+    joined = f"j{k} AS (SELECT b.symbol, b.ts, rsi, trend, pos FROM b LEFT JOIN v{k} AS v ON v.symbol = b.symbol AND v.known = {at.replace('(ts)', '(b.ts)')})"
+    seen = ", ".join(f"last_value({x} IGNORE NULLS) OVER {W} AS {y}_{k}T" for x, y in (("rsi", "RSI"), ("trend", "TREND"), ("pos", "CLOSE_POS")))
+    return f"{long}, {MOVES_OF.format(k, f'lg{k}')}, {means}, {known}, {joined}, k{k} AS (SELECT symbol, ts, {seen} FROM j{k})"
 
 
-@query(f"WITH {T}, {B}, lg AS ({LONG}), {MOVES.format('lg')}, {ewm_sql({'ag': ('gain', 0.2, 5), 'al': ('loss', 0.2, 5), 'e5': ('close', 2 / 6, 1), 'e13': ('close', 2 / 14, 1)}, 'mv', 'e')}, v AS (SELECT symbol, ts + INTERVAL 5 HOUR AS known, 100 - 100 / (1 + ag / {safe('al')}) AS rsi, CAST(sign(e5 - e13) AS DOUBLE) AS trend, (close - {rolled('min', 'low', 10)}) / {safe(rolled('max', 'high', 10) + ' - ' + rolled('min', 'low', 10))} AS pos FROM e), j AS (SELECT b.symbol, b.ts, v.known, v.rsi, v.trend, v.pos FROM b LEFT JOIN v ON v.symbol = b.symbol AND v.known = to_timestamp(floor(epoch(b.ts) / 18000) * 18000) AT TIME ZONE 'UTC'), k AS (SELECT symbol, ts, last_value(rsi IGNORE NULLS) OVER {W} AS rsi, last_value(trend IGNORE NULLS) OVER {W} AS trend, last_value(pos IGNORE NULLS) OVER {W} AS pos FROM j) " + select({"RSI_5T": "rsi", "TREND_5T": "trend", "CLOSE_POS_5T": "pos"}, "k"))
+LONGER = [f"{x}_{k}T" for k in (5, 15) for x in ("RSI", "TREND", "CLOSE_POS")]
+
+
+@query(f"WITH {T}, {B}, {long_sql(5)}, {long_sql(15)}, k AS (SELECT * FROM k5 JOIN k15 USING (symbol, ts)) " + select({x: x for x in LONGER}, "k"))
 def features_timeframe(spark, d):
     rows = hourly(spark, d)
-    return features.multi_timeframe(rows.select("symbol", "ts"), rows, 3600).select("symbol", "ts", "RSI_5T", "TREND_5T", "CLOSE_POS_5T")
+    return features.multi_timeframe(rows.select("symbol", "ts"), rows, 3600).select("symbol", "ts", *LONGER)
+
+
+ACTION_OF = {"BODY_TO_RANGE_RATIO": f"abs(body) / {RNG}", "UPPER_WICK_TO_BODY_RATIO": f"(high - greatest(open, close)) / {safe('abs(body)')}", "LOWER_WICK_TO_BODY_RATIO": f"(least(open, close) - low) / {safe('abs(body)')}", "CLOSE_POSITION_IN_CANDLE": f"(close - low) / {RNG}"}
+RECURRENT_OF = {"RSI": f"100 - 100 / (1 + ag / {safe('al')})", "MACD_VALUE": "macd", "MACD_SIGNAL": "sig", "MACD_HIST": "macd - sig", "ATR": "atr", "NATR": f"atr / {safe('close')} * 100", "KC_WIDTH": f"3 * atr / {safe('kc')}", "ADX": "adx"}
+COUNTS_OF = {"TWO_BAR_REVERSAL": "CAST(coalesce((pb < 0 AND body > 0 AND close > po) OR (pb > 0 AND body < 0 AND close < po), false) AS BIGINT)", "CONSECUTIVE_BULL_BARS": "CAST(bull AS BIGINT)", "CONSECUTIVE_BEAR_BARS": "CAST(bear AS BIGINT)"}
+DERIVED_OF = {
+    "VOLATILITY_REGIME": f"ATR / {safe(rolled('avg', 'ATR', 100))}",
+    "BB_MOMENTUM": "BB_WIDTH * abs(MOMENTUM_OSCILLATOR)",
+    "RSI_TREND_5T": "RSI * TREND_5T",
+    "STREAK_TREND": "CONSECUTIVE_BEAR_BARS * TREND_5T",
+    "ADX_RETURN": "ADX * RETURN_1",
+    "RETURN_1_MEAN_5": rolled("avg", "RETURN_1", 5),
+    "RETURN_1_STD_5": rolled("stddev_samp", "RETURN_1", 5),
+    "RSI_MEAN_10": rolled("avg", "RSI", 10),
+    "CLOSE_POS_MEAN_5": rolled("avg", "CLOSE_POSITION_IN_CANDLE", 5),
+    "MACD_HIST_SLOPE": f"(MACD_HIST - lag(MACD_HIST, 3) OVER {W}) / 3",
+    **{f"{x}_LAG{n}": f"lag({x}, {n}) OVER {W}" for x in ("CLOSE_POSITION_IN_CANDLE", "RETURN_1", "RSI") for n in (1, 2, 3, 5)},
+}
 
 
-@query()
+def columns_sql(names: dict[str, str]) -> str:
+    return ", ".join(f"{x} AS {n}" for n, x in names.items())
+
+
+STACK = f"""{RECURRENT}, {TP.replace('SELECT *', 'SELECT * EXCLUDE (i)').replace('FROM b', 'FROM f')}, {ACTION.replace('FROM b', 'FROM p')}, {long_sql(5)}, {long_sql(15)},
+m1 AS (SELECT symbol, ts, {columns_sql(PLAIN | ACTION_OF | RECURRENT_OF | COUNTS_OF)} FROM a),
+m2 AS (SELECT * FROM m1 JOIN k5 USING (symbol, ts) JOIN k15 USING (symbol, ts)),
+m3 AS (SELECT *, CAST(CASE WHEN BB_WIDTH < KC_WIDTH THEN 1 ELSE 0 END AS BIGINT) AS BB_KC_SQUEEZE, {columns_sql(DERIVED_OF)} FROM m2),
+m AS (SELECT *, CLOSE_POSITION_IN_CANDLE * VOLATILITY_REGIME AS CLOSEPOS_VOLREGIME FROM m3)"""
+WHOLE = ("BB_KC_SQUEEZE", *COUNTS_OF)  # columns of whole numbers
+DERIVED = [*DERIVED_OF, "CLOSEPOS_VOLREGIME"]
+
+
+@query(f"WITH {T}, {B}, {STACK} " + select({x: x for x in DERIVED}, "m", f"symbol, {SHOW_TS}, BB_KC_SQUEEZE"))
+def features_derived(spark, d):
+    return features.transform(hourly(spark, d), 3600).select("symbol", "ts", "BB_KC_SQUEEZE", *DERIVED)
+
+
+FULL = " AND ".join(f"{x} IS NOT NULL AND NOT isnan({x})" for x in features.COLUMNS if x not in WHOLE)
+
+
+@query(f"WITH {T}, {B}, {STACK} " + select({x: x for x in features.COLUMNS if x not in WHOLE}, f"m WHERE {FULL}", f"symbol, {SHOW_TS}, '1' AS feature_version, {', '.join(WHOLE)}"))
 def features_matrix(spark, d):
     return features.matrix(hourly(spark, d), 3600)
 
 
-@query()
+@query(f"WITH {T}, {B}, {STACK} " + select({x: f"CASE WHEN isfinite(CAST({x} AS DOUBLE)) THEN CAST({x} AS DOUBLE) ELSE 0 END" for x in features.COLUMNS}, "m QUALIFY ts = max(ts) OVER (PARTITION BY symbol)"))
 def features_latest(spark, d):
     return features.latest(features.transform(hourly(spark, d), 3600).select("symbol", "ts", *features.COLUMNS))
 
@@ -464,8 +518,10 @@ def model_scores(spark, d):
     x = ["RSI", "CCI", "RETURN_1", "BB_PERCENT_B"]
     bars_ = hourly(spark, d)
     rows = labels.labelled(features.matrix(bars_, 3600).select("symbol", "ts", *x), labels.direction(bars_))
-    rows = labels.time_split(rows).cache()  # the fit reads it again and again
-    return models.probability(models.forest(rows, x, trees=10), rows.filter("split = 'test'")).select("symbol", "ts", "label", "p")
+    path = tables.scratch(spark, "splits")
+    labels.time_split(rows).write.parquet(path)  # the fit reads it again and again
+    rows = spark.read.parquet(path)
+    return models.probability(models.forest(rows, x), rows.filter("split = 'test'")).select("symbol", "ts", "label", "p")
 
 
 # ---- signals and ledger -----------------------------------------------------------------------
@@ -510,9 +566,9 @@ def signal_stake_ladder(spark, d):
 SUMMARY = "su AS (SELECT symbol, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE outcome = 'win') AS wins, count(*) FILTER (WHERE outcome = 'loss') AS losses, count(*) FILTER (WHERE outcome = 'draw') AS draws, sum(CASE outcome WHEN 'win' THEN payout WHEN 'loss' THEN -stake ELSE 0 END) AS net FROM r GROUP BY symbol, CAST(ts AS DATE))"
 
 
-@query(f"WITH {R}, {SUMMARY}, {STREAK}, z AS (SELECT symbol, CAST(ts AS DATE) AS day, last(streak ORDER BY ts, seq) AS streak FROM s1 GROUP BY symbol, CAST(ts AS DATE)) SELECT su.symbol, strftime(su.day, '%Y-%m-%d') AS day, wins, losses, draws, round(net, 6) AS net, round(wins / greatest(wins + losses, 1) * 100, 1) AS win_rate, CAST(streak AS BIGINT) AS streak, round(least(CAST(0.6 AS DOUBLE) + streak * CAST(0.05 AS DOUBLE), CAST(0.999 AS DOUBLE)), 6) AS threshold, CAST(0 AS DOUBLE) AS minutes, CASE WHEN wins >= 2 THEN 'TARGET REACHED' ELSE 'ACTIVE' END AS status FROM su JOIN z ON su.symbol = z.symbol AND su.day = z.day")
+@query(f"WITH {R}, {SUMMARY}, {STREAK}, z AS (SELECT symbol, CAST(ts AS DATE) AS day, last(streak ORDER BY ts, seq) AS streak FROM s1 GROUP BY symbol, CAST(ts AS DATE)) SELECT su.symbol, strftime(su.day, '%Y-%m-%d') AS day, wins, losses, draws, round(net, 6) AS net, round(wins / greatest(wins + losses, 1) * 100, 1) AS win_rate, CAST(streak AS BIGINT) AS streak, round(least(CAST(0.6 AS DOUBLE) + streak * CAST(0.05 AS DOUBLE), CAST(0.999 AS DOUBLE)), 6) AS threshold, CAST(0 AS DOUBLE) AS minutes, CASE WHEN wins >= 2 THEN 'TARGET REACHED' WHEN su.day >= DATE '1998-01-01' THEN 'ACTIVE' ELSE 'CLOSED' END AS status FROM su JOIN z ON su.symbol = z.symbol AND su.day = z.day")
 def ledger_session_report(spark, d):
-    return signals.session_report(results(spark, d), target=2)
+    return signals.session_report(results(spark, d), target=2, now=F.lit("1998-01-01"))
 
 
 @query(f"WITH {R} SELECT symbol, seq, round(CASE outcome WHEN 'win' THEN payout WHEN 'loss' THEN -stake ELSE 0 END, 6) AS result FROM r WHERE open_price <> 0 AND close_price <> 0")
@@ -525,10 +581,26 @@ def ledger_recent_trades(spark, d):
     return signals.recent(signals.trade_entries(results(spark, d)).drop("outcome")).select("seq", "symbol", "outcome")
 
 
-@query("SELECT event_id AS seq, event_type AS event, CASE WHEN event_type LIKE '%win%' THEN 'win' WHEN event_type LIKE '%loss%' THEN 'loss' WHEN event_type LIKE '%signal%' THEN 'signal' WHEN event_type LIKE '%kill%' THEN 'kill' ELSE 'info' END AS class FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+EVENT = "CASE o_orderpriority WHEN '1-URGENT' THEN 'result' WHEN '2-HIGH' THEN 'signal' WHEN '3-MEDIUM' THEN 'skip' WHEN '5-LOW' THEN 'kill_switch' ELSE event_type || '_signal' END"
+
+
+@query(f"WITH k AS (SELECT o_orderkey AS seq, o_orderdate AS ts, {EVENT} AS event, CASE o_orderstatus WHEN 'F' THEN 'win' WHEN 'O' THEN 'loss' ELSE 'draw' END AS outcome FROM (SELECT orders.*, 'window' AS event_type FROM orders)) SELECT seq, event, CASE WHEN event = 'result' THEN CASE WHEN outcome IN ('win', 'loss') THEN outcome ELSE 'info' END WHEN event = 'signal' THEN 'signal' WHEN event = 'kill_switch' THEN 'kill' ELSE 'info' END AS class FROM k ORDER BY ts DESC, seq DESC LIMIT 100")
 def ledger_recent_events(spark, d):
-    rows = table(spark, d, "events").select("ts", c("event_id").alias("seq"), c("event_type").alias("event"))
-    return signals.recent_events(rows).select("seq", "event", "class")
+    return signals.recent_events(order_events(spark, d)).select("seq", "event", "class")
+
+
+def order_events(spark, d):
+    """Orders as a log of events; every class occurs."""
+    names = {"1-URGENT": "result", "2-HIGH": "signal", "3-MEDIUM": "skip", "5-LOW": "kill_switch"}
+    event = F.coalesce(*(F.when(c("o_orderpriority") == k, v) for k, v in names.items()), F.lit("window_signal"))
+    outcome = F.when(c("o_orderstatus") == "F", "win").when(c("o_orderstatus") == "O", "loss").otherwise("draw")
+    return table(spark, d, "orders").select(c("o_orderdate").alias("ts"), c("o_orderkey").alias("seq"), event.alias("event"), outcome.alias("outcome"))
+
+
+@query(f"WITH k AS (SELECT {EVENT} AS event, CASE o_orderstatus WHEN 'F' THEN 'win' WHEN 'O' THEN 'loss' ELSE 'draw' END AS outcome FROM (SELECT orders.*, 'window' AS event_type FROM orders)) SELECT event, outcome, CASE WHEN event = 'result' THEN CASE WHEN outcome IN ('win', 'loss') THEN outcome ELSE 'info' END WHEN event = 'signal' THEN 'signal' WHEN event = 'kill_switch' THEN 'kill' ELSE 'info' END AS class, count(*) AS n FROM k GROUP BY ALL")
+def ledger_event_classes(spark, d):
+    rows = order_events(spark, d).withColumn("class", signals.activity(c("event"), c("outcome")))
+    return rows.groupBy("event", "outcome", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH k AS (SELECT c_mktsegment AS symbol, c_custkey, c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS delta FROM customer) SELECT symbol, c_custkey AS ts, round(delta, 6) AS delta, CASE WHEN delta > 0 THEN 'win' ELSE 'loss' END AS guess FROM k WHERE abs(delta) > 0.001")
@@ -548,18 +620,18 @@ def match_nearest(spark, d):
     return out.select("signal_id", "trade_id", F.round("delta", 3).alias("delta"))
 
 
-@query("SELECT event_id AS signal_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0)")
+@query("SELECT event_id AS signal_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def match_unresolved(spark, d):
     e = table(spark, d, "events")
     mine = e.filter("event_type = 'click'").select(c("user_id").alias("signal_id"), "event_id")
-    done = e.filter("event_type = 'purchase' AND event_id % 5 = 0").select(c("user_id").alias("signal_id"))
+    done = e.filter("event_type = 'purchase'").select(c("user_id").alias("signal_id"))
     return signals.unresolved(mine, done).select(c("event_id").alias("signal_id"))
 
 
-@query("SELECT l_orderkey AS ticket, l_linenumber AS line, CASE WHEN o_orderkey IS NULL THEN 'OperationID Not Found.' WHEN o_totalprice - 200000 > 0 THEN 'win' ELSE 'loss' END AS status, count(*) AS n FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem) LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 0) ON l_orderkey = o_orderkey GROUP BY ALL")
+@query("SELECT l_orderkey AS ticket, l_linenumber AS line, CASE WHEN o_orderkey IS NULL THEN 'OperationID Not Found.' WHEN o_totalprice - 200000 > 0 THEN 'win' ELSE 'loss' END AS status, count(*) AS n FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem) LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey GROUP BY ALL")
 def match_tickets(spark, d):
     lines = table(spark, d, "lineitem").select(c("l_orderkey").alias("ticket"), c("l_linenumber").alias("line"))
-    ops = table(spark, d, "orders").filter("o_orderkey % 4 <> 0").select(c("o_orderkey").alias("ticket"), (c("o_totalprice") - 200000).alias("profit"))
+    ops = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(c("o_orderkey").alias("ticket"), (c("o_totalprice") - 200000).alias("profit"))
     return signals.lookup(lines, ops).groupBy("ticket", "line", "status").agg(F.count(F.lit(1)).alias("n"))
 
 

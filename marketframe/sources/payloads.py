@@ -11,24 +11,34 @@ from marketframe.operators.signals import toggled
 NESTED = "array<array<string>>"
 
 
-def kind(raw: Column) -> Column:
-    """What a message is, by its shape: rows of four are ticks, of two sentiment; objects by their keys."""
-    rows = F.from_json(raw, NESTED)
+def _kind(raw: Column, rows: Column) -> Column:
     has = lambda key: F.get_json_object(raw, f"$.{key}").isNotNull()
     is_list = F.startswith(F.ltrim(raw), F.lit("["))
+    width = F.size(F.element_at(rows, 1))
     return (
-        F.when(is_list & (F.size(F.element_at(rows, 1)) == 4), "tick").when(is_list & (F.size(F.element_at(rows, 1)) == 2), "sentiment").when(is_list, "other")
+        F.when(is_list & (width == 4), "tick").when(is_list & (width == 2), "sentiment").when(is_list, "other")
         .when(has("signals"), "signals").when(has("liveBalance") | has("demoBalance"), "balance").when(has("deals"), "deals").when(has("history") | has("candles"), "history").otherwise("other")
     )
 
 
+def kind(raw: Column) -> Column:
+    """What a message is, by its shape: rows of four are ticks, of two sentiment; objects by their keys."""
+    return _kind(raw, F.from_json(raw, NESTED))
+
+
+def parsed(messages: DataFrame) -> DataFrame:
+    """raw, rows (a message that is a list, parsed once) and kind."""
+    rows = messages.select("raw", F.when(F.startswith(F.ltrim("raw"), F.lit("[")), F.from_json("raw", NESTED)).alias("rows"))
+    return rows.select("raw", "rows", _kind(F.col("raw"), F.col("rows")).alias("kind"))
+
+
 def ticks(messages: DataFrame) -> DataFrame:
-    r = F.element_at(F.from_json("raw", NESTED), 1)
-    return messages.filter(kind(F.col("raw")) == "tick").select(r[0].alias("symbol"), r[1].cast("double").alias("time"), r[2].cast("double").alias("price"), r[3].cast("int").alias("direction"))
+    r = F.element_at("rows", 1)
+    return parsed(messages).filter("kind = 'tick'").select(r[0].alias("symbol"), r[1].cast("double").alias("time"), r[2].cast("double").alias("price"), r[3].cast("int").alias("direction"))
 
 
 def sentiments(messages: DataFrame) -> DataFrame:
-    rows = messages.filter(kind(F.col("raw")) == "sentiment").select(F.explode(F.from_json("raw", NESTED)).alias("r"))
+    rows = parsed(messages).filter("kind = 'sentiment'").select(F.explode("rows").alias("r"))
     return rows.select(F.col("r")[0].alias("asset"), F.col("r")[1].cast("int").alias("buy"), (100 - F.col("r")[1].cast("int")).alias("sell"))
 
 
@@ -82,4 +92,4 @@ def available(wanted: DataFrame, table: DataFrame) -> DataFrame:
 
 def merge_pages(pages: DataFrame, order: str = "page_seq") -> DataFrame:
     """Candles of overlapping pages, the first seen of each time."""
-    return keep_by_key(pages, ["symbol", "time"], [F.asc(order)]).drop(order)
+    return keep_by_key(pages, ["symbol", "time"], [order], last=False).drop(order)

@@ -1,16 +1,23 @@
 """Stored tables: scans, upserts, ledgers, statistics and load plans.
 
-Bars are stored as Parquet by symbol and timeframe, ledgers as append-only Parquet; the schema
-version stands in each column's metadata and is checked on every read.
+Bars are stored as Parquet by symbol, timeframe and month, features by symbol and expiry, ledgers and
+the registry as append-only Parquet. The schema version stands in each column's metadata; every read
+and every write to an existing table checks it.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VERSION = "1"
+#: Partitions of a batch that are listed in a filter; a batch that touches more reads the whole table.
+MOST_PARTITIONS = 10_000
+PARTITIONS = ("symbol", "timeframe", "month", "expiry_key")
 BARS = "symbol string, timeframe string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 
 
@@ -24,28 +31,72 @@ def stamped(df: DataFrame, version: str = VERSION) -> DataFrame:
 
 
 def check_version(df: DataFrame, version: str = VERSION) -> DataFrame:
-    found = {f.metadata.get("schema_version") for f in df.schema if f.name not in ("symbol", "timeframe")}
+    found = {f.metadata.get("schema_version") for f in df.schema if f.name not in PARTITIONS}
     if found != {version}:
         raise SchemaMismatch(f"stored version {sorted(map(str, found))}, expected {version}")
     return df
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+_LOCAL: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; in local mode, where that is unset, a temporary one."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and (context.master == "local" or context.master.startswith("local[")):
+        root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="marketframe-"))
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _file_system(spark, path)
+    return fs.exists(jpath)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, jpath = _file_system(spark, path)
+    fs.delete(jpath, True)
+
+
+def stored(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """A stored table whose version is the one this code writes; another version is an error."""
+    return check_version(spark.read.parquet(path), version)
+
+
+def month(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM")
+
+
+def tail_month(rows: DataFrame, max_rows: int) -> str | None:
+    """The earliest month that the newest `max_rows` rows of any symbol reach into, from row counts by
+    partition, which read no column of the files."""
+    held = rows.groupBy("symbol", "month").count()
+    newer = F.coalesce(F.sum("count").over(Window.partitionBy("symbol").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("newer", newer).filter(F.col("newer") < max_rows).agg(F.min("month")).first()[0]
 
 
 def scan_bars(spark: SparkSession, path: str, symbols: list[str] | None = None, timeframe: str = "M1", max_rows: int | None = None) -> DataFrame:
-    """Bars of a timeframe, newest `max_rows` of each symbol; symbol and timeframe prune partitions.
-    A missing table is empty."""
+    """Bars of a timeframe, newest `max_rows` of each symbol; symbol, timeframe and, with `max_rows`,
+    months prune partitions. A missing table is empty."""
+    columns = T.StructType.fromDDL(BARS).names
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType.fromDDL(BARS))
-    rows = check_version(spark.read.parquet(path)).filter(F.col("timeframe") == timeframe)
+    rows = stored(spark, path).withColumn("month", F.col("month").cast("string")).filter(F.col("timeframe") == timeframe)
     rows = rows if symbols is None else rows.filter(F.col("symbol").isin(symbols))
     if max_rows is None:
-        return rows
+        return rows.select(*columns)
+    first = tail_month(rows, max_rows)
+    rows = rows if first is None else rows.filter(F.col("month") >= first)
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
-    return rows.withColumn("__k", rank).filter(F.col("__k") <= max_rows).drop("__k")
+    return rows.withColumn("__k", rank).filter(F.col("__k") <= max_rows).select(*columns)
 
 
 def scan_ticks(spark: SparkSession, path: str, symbol: str) -> DataFrame:
@@ -53,30 +104,48 @@ def scan_ticks(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: tuple[str, ...] = ("symbol", "timeframe", "ts"), seq: str | None = None) -> DataFrame:
-    """Stored rows with new ones in their place; of new rows with one key the last in (by `seq`)."""
-    both = stored.withColumns({"__in": F.lit(0), "__seq": F.lit(0).cast("bigint")}).unionByName(new.withColumns({"__in": F.lit(1), "__seq": (F.col(seq) if seq else F.lit(0)).cast("bigint")}).select(*stored.columns, "__in", "__seq"))
-    order = [F.desc("__in"), F.desc("__seq"), *(F.desc(c) for c in stored.columns if c not in key)]
-    return both.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__k = 1").drop("__k", "__in", "__seq")
+    """Stored rows with new ones in their place; of new rows with one key the last in (by `seq`, then by
+    value). Rows of one key are reduced before they are shuffled."""
+    values = [c for c in stored.columns if c not in key]
+    order = lambda place, number: F.struct(F.lit(place).alias("in"), number.cast("bigint").alias("seq"), *values).alias("__row")
+    both = stored.select(*key, order(0, F.lit(0))).unionByName(new.select(*key, order(1, F.col(seq) if seq else F.lit(0))))
+    best = both.groupBy(*key).agg(F.max("__row").alias("__row"))
+    return best.select(*(F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in stored.columns))
 
 
 def complete_only(bars: DataFrame) -> DataFrame:
     return bars.filter("is_complete").drop("is_complete")
 
 
+def _touched(rows: DataFrame) -> Column | None:
+    """A filter on the partitions that `rows` touch, which prunes a scan; None if they are too many to list."""
+    found = rows.select("symbol", "timeframe", "month").distinct().limit(MOST_PARTITIONS + 1).collect()
+    if len(found) > MOST_PARTITIONS:
+        return None
+    inside = F.lit(False)
+    for symbol, timeframe in sorted({(r[0], r[1]) for r in found}):
+        inside = inside | ((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe) & F.col("month").isin([r[2] for r in found if (r[0], r[1]) == (symbol, timeframe)]))
+    return inside
+
+
 def write_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None = None) -> None:
-    """Upserts bars; only partitions (symbol, timeframe) that `new` touches are read and rewritten."""
+    """Upserts bars; only partitions (symbol, timeframe, month) that `new` touches are read and rewritten.
+    A table of another version is an error. Two writers of one partition at a time are not supported."""
     rows = complete_only(new) if "is_complete" in new.columns else new
-    columns = [f.name for f in T.StructType.fromDDL(BARS)]
+    rows = rows.withColumn("month", month(F.col("ts")))
+    columns = [*T.StructType.fromDDL(BARS).names, "month"]
     if exists(spark, path):
-        touched = rows.select("symbol", "timeframe").distinct()
-        old = spark.read.parquet(path).join(touched, ["symbol", "timeframe"], "left_semi").select(*columns)
+        old = stored(spark, path).withColumn("month", F.col("month").cast("string")).select(*columns)
+        inside = _touched(rows)
+        old = old if inside is None else old.filter(inside)
     else:
-        old = spark.createDataFrame([], T.StructType.fromDDL(BARS))
-    merged = stamped(upserted(old, rows, seq=seq).select(*columns))
+        old = spark.createDataFrame([], T.StructType.fromDDL(BARS + ", month string"))
+    merged = stamped(upserted(old, rows, ("symbol", "timeframe", "month", "ts"), seq).select(*columns))
     # rows of the touched partitions are staged, as Spark can't overwrite what a query still reads
-    staged = f"{path.rstrip('/')}__staged"
-    merged.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).repartition("symbol", "timeframe").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "timeframe").parquet(path)
+    staged = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
+    merged.write.parquet(staged)
+    spark.read.schema(merged.schema).parquet(staged).repartition("symbol", "timeframe", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "timeframe", "month").parquet(path)
+    remove(spark, staged)
 
 
 def stats(df: DataFrame) -> DataFrame:
@@ -85,7 +154,10 @@ def stats(df: DataFrame) -> DataFrame:
 
 
 def append(path: str, rows: DataFrame) -> None:
-    """Appends to a ledger; rows carry a `seq` that grows with each append."""
+    """Appends to a ledger; rows carry a `seq` that grows with each append. A ledger of another version
+    is an error."""
+    if exists(rows.sparkSession, path):
+        stored(rows.sparkSession, path)
     stamped(rows).write.mode("append").parquet(path)
 
 
@@ -116,11 +188,36 @@ def vendor_bars(rows: DataFrame) -> DataFrame:
 
 
 def write_features(path: str, features: DataFrame, expiry_key: str) -> None:
-    features.withColumn("expiry_key", F.lit(expiry_key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "expiry_key").parquet(path)
+    """The feature matrix of an expiry, by symbol: partitions that it holds replace the stored ones."""
+    if exists(features.sparkSession, path):
+        stored(features.sparkSession, path)
+    rows = stamped(features).withColumn("expiry_key", F.lit(expiry_key))
+    rows.repartition("symbol").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "expiry_key").parquet(path)
+
+
+def scan_features(spark: SparkSession, path: str, expiry_key: str) -> DataFrame:
+    return stored(spark, path).filter(F.col("expiry_key") == expiry_key).drop("expiry_key")
 
 
 def write_run(path: str, run: DataFrame) -> None:
     """Appends runs that hold all required fields to the registry."""
     from marketframe.operators.models import registered
 
-    registered(run).filter("size(violations) = 0").drop("violations").write.mode("append").parquet(path)
+    append(path, registered(run).filter("size(violations) = 0").drop("violations"))
+
+
+def coverage(bars: DataFrame, features: DataFrame, symbols: DataFrame, least: int = 250) -> DataFrame:
+    """Before a run, for every wanted symbol: bars, complete feature rows, and whether it is ready, with
+    at least `least` bars and some features. A symbol without bars is listed with 0."""
+    rows = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+    full = features.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_features"))
+    out = symbols.select("symbol").distinct().join(rows, "symbol", "left").join(full, "symbol", "left")
+    out = out.select("symbol", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), F.coalesce("n_features", F.lit(0)).alias("n_features"))
+    return out.withColumn("ready", (F.col("n_bars") >= least) & (F.col("n_features") > 0))
+
+
+def require_coverage(found: DataFrame) -> None:
+    """Raises an error that names the first symbols that aren't ready."""
+    short = found.filter("NOT ready").orderBy("symbol").limit(20).collect()
+    if short:
+        raise ValueError("not enough bars or features: " + ", ".join(f"{r.symbol} ({r.n_bars} bars, {r.n_features} feature rows)" for r in short))

@@ -33,10 +33,17 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str, seq: str | None = None) -> StreamingQuery:
     """Micro-batches of bars upserted into a bar table: a repeated bar replaces the stored one, also
-    when a batch is run again after a failure."""
-    return _start(stream, lambda batch, _: tables.write_bars(batch.sparkSession, path, batch), checkpoint)
+    when a batch is run again after a failure. Of one batch the last by `seq` stays."""
+    return _start(stream, lambda batch, _: tables.write_bars(batch.sparkSession, path, batch, seq), checkpoint)
+
+
+def tick_sink(stream: DataFrame, path: str, checkpoint: str, flush: int = 1000) -> StreamingQuery:
+    """Ticks appended losslessly by symbol in batches; no file holds more than 10 `flush` rows. The file
+    sink writes every batch once, so a restart repeats and loses none."""
+    out = stream.writeStream.format("parquet").partitionBy("symbol").option("path", path).option("maxRecordsPerFile", 10 * flush)
+    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ledger_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -118,6 +125,12 @@ def signal_results(signals: DataFrame, results: DataFrame, tolerance: int = 30,
     return s.join(r, on, "leftOuter").select("s.signal_id", F.col("s.ts").alias("ts"), "s.pair", "s.direction", F.col("r.trade_id").alias("trade_id"))
 
 
-def latest_by_asset(feed: DataFrame, value: str) -> DataFrame:
-    """The newest value per asset; complete or update mode."""
-    return feed.groupBy("asset").agg(F.max_by(value, "ts").alias(value), F.max("ts").alias("ts"))
+def latest_by_asset(feed: DataFrame, value: str, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """The newest value per asset, by `order`; complete or update mode."""
+    return feed.groupBy("asset").agg(F.max_by(value, F.struct(*order)).alias(value), F.max("ts").alias("ts"))
+
+
+def latest_sink(latest: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The whole of a latest-value table, written anew with every batch; it has a row per asset."""
+    each = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    return latest.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketframe.plans import queries
+from marketframe.plans import catalog as queries
 from oracle import compare
 
 DIR = "/root/testdata/sf0.001"
@@ -13,7 +13,7 @@ def test_equals_sql(spark, name):
     assert compare(spark, DIR, queries.QUERIES[name], queries.SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL) - {"model_scores"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(spark, name):
     queries.QUERIES[name](spark, DIR).count()
 
