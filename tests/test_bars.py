@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from marketframe.functions import timefn
 from marketframe.functions.recurrence import Ewm, ewm
 from marketframe.operators import bars, calendar, features, indicators, labels, models, quality, signals
 
@@ -113,10 +114,10 @@ def test_models(spark):
     rng = random.Random(2)
     rows = [("A", at(60 * i), x := rng.gauss(0, 1), rng.gauss(0, 1), int(x + rng.gauss(0, 0.3) > 0)) for i in range(600)]
     df = labels.time_split(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double, y double, label int")).cache()
-    base = [models.boosted(df, ["x", "y"], rounds=5), models.forest(df, ["x", "y"], trees=10)]
+    base = [models.boosted(df, ["x", "y"], rounds=(5,)), models.forest(df, ["x", "y"], trees=10)]
     _, scored = models.stacked(df, base)
     assert models.metrics(scored).first()["auc"] > 0.85
-    assert models.importance(base[1], ["x", "y"])[0][0] == "x"
+    assert models.importance(base[1], ["x", "y"], 1).first()["feature"] == "x"
 
 
 def test_signals(spark):
@@ -131,7 +132,7 @@ def test_signals(spark):
 
 def test_quality(spark):
     df = spark.createDataFrame([(1.0, 2.0, "live"), (0.0, -1.0, None), (math.nan, 1.0, "live")], "bid double, ask double, source string")
-    good, bad = quality.split(df, quality.tick_rules())
+    good, bad = quality.split(df, quality.tick_rules(("historical", "live")))
     assert good.count() == 1 and good.count() + bad.count() == df.count()
     assert bad.filter("source IS NULL").first()["violations"] == ["bid", "ask", "spread", "source"]
     assert quality.complete(df, ["bid"]).count() == 2 and quality.zero_filled(df, ["bid"]).filter("bid = 0").count() == 2
@@ -140,3 +141,52 @@ def test_quality(spark):
 def test_empty(spark):
     none = frame(spark, [1.0]).limit(0)
     assert features.transform(none, 60).count() == 0 and indicators.adx(none).count() == 0 and calendar.gaps(none, 60).count() == 0
+
+
+def test_dense_signals_in_bounded_memory(spark):
+    n, gap = 100_000, 30
+    df = spark.range(n).selectExpr("'A' AS symbol", "timestamp_ntz'2024-03-04' + make_dt_interval(0, 0, 0, id * 0.7) AS ts", "id AS seq").unionByName(spark.createDataFrame([("B", at(0), 0), ("B", at(0), 1), ("B", at(30), 2)], "symbol string, ts timestamp_ntz, seq bigint"))
+    got = {}
+    for r in signals.cooldown(df, gap).orderBy("symbol", "ts").collect():
+        got.setdefault(r.symbol, []).append(r.seq)
+    want, last = [], None
+    for i in range(n):
+        t = round(i * 0.7, 6)
+        if last is None or t - last >= gap - 1e-9:
+            want.append(i)
+            last = t
+    assert got["A"] == want and got["B"] == [0, 2]
+    assert signals.cooldown(df.limit(0)).count() == 0
+
+
+def test_classes_of_events(spark):
+    rows = [("result", "win", "win"), ("result", "loss", "loss"), ("result", "draw", "info"), ("result", None, "info"), ("signal", None, "signal"), ("skip", None, "info"), ("skip_signal", None, "info"), ("window", None, "info"), ("kill_switch", None, "kill"), ("fatal_error", None, "kill"), ("engine_crash", None, "kill"), ("webhook_failed", None, "kill"), ("journal_failed", None, "kill"), (None, "win", "info")]
+    df = spark.createDataFrame(rows, "event string, outcome string, want string")
+    assert df.filter(signals.activity(F.col("event"), F.col("outcome")) != F.col("want")).count() == 0
+
+
+def test_known_easter_dates(spark):
+    known = ["1818-03-22", "1943-04-25", "1954-04-18", "1981-04-19", "2000-04-23", "2008-03-23", "2011-04-24", "2019-04-21", "2024-03-31", "2025-04-20", "2038-04-25", "2076-04-19", "2285-03-22"]
+    df = spark.createDataFrame([(int(x[:4]), x) for x in known], "year int, want string")
+    assert df.filter(timefn.easter(F.col("year")).cast("string") != F.col("want")).count() == 0
+
+
+def test_times_outside_of_the_calendar_are_errors(spark):
+    table = calendar.closed_minutes(spark, calendar.holidays(spark, 2024, 2024), "2024-01-01", "2024-02-01")
+    rows = spark.createDataFrame([(at(0), at(60)), (None, at(0))], "a timestamp_ntz, z timestamp_ntz")
+    with pytest.raises(Exception, match="outside"):
+        calendar.trading_minutes(rows.filter("a IS NOT NULL"), table, "a", "z").collect()
+    days, wide = calendar.calendar_of(rows.filter("a IS NOT NULL"), "a")
+    assert [r.minutes for r in calendar.trading_minutes(rows, wide, "a", "z").orderBy("z").collect()].count(None) == 1
+
+
+def test_boosted_and_importance(spark):
+    rows = spark.range(400).selectExpr("'A' AS symbol", "id AS ts", "double(id % 7) AS x", "double(hash(id) % 11) AS noise", "int(id % 7 > 3) AS label", "CASE WHEN id < 280 THEN 'train' WHEN id < 340 THEN 'val' ELSE 'test' END AS split")
+    for incremental in (False, True):
+        model = models.boosted(rows, ["x", "noise"], rounds=(2, 4), incremental=incremental)
+        scored = models.probability(model, rows.filter("split = 'test'"))
+        assert models.metrics(scored).first()["auc"] == 1.0
+    ranked = models.importance(model, ["x", "noise"]).orderBy("rank").collect()
+    assert [r.feature for r in ranked] == ["x", "noise"] and abs(sum(r.weight for r in ranked) - 1) < 1e-9
+    weights = labels.class_weight(rows.filter("split = 'train'"), ("symbol",)).groupBy("label").agg(F.max("weight").alias("w"))
+    assert {r.label: round(r.w, 6) for r in weights.collect()} == {0: 1.0, 1: round(160 / 120, 6)}
