@@ -5,24 +5,29 @@ orthogonal to the projections above it). The splits are fitted on at most SAMPLE
 stated bound, drawn by a hash of the vector); then every vector is put into its leaf of every tree.
 
 Search. One priority queue holds the branches of all trees. A branch costs the squared distance to
-the splits that the query lies on the other side of; the cheapest is opened next, until the leaves
-collected cover the share `effort` of the index. All vectors of those leaves are candidates and are
-ranked exactly, by cosine in double precision.
+the splits that the query lies on the other side of, which no vector behind it undercuts; the cheapest
+is opened next. The first leaves, which cover the share FIRST of the index, give each query a k-th
+best; the queue then goes on until its next branch costs more than that (what is left can't be nearer,
+so the result is exact) or the leaves cover the share `effort`. All vectors of the leaves are candidates
+and are ranked exactly, by cosine in double precision.
 
 Equal vectors stand in the index once, with their k + 1 smallest ids: no other can be among the k
 nearest of any query. Leaves and their queries meet in bounded blocks, so neither a large leaf nor
 many queries make a large task.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
-without vec_id; of vectors of several lengths those of the most frequent length (ties: the longer)
-take part. Rows that repeat vec_id and vector count once; other rows that repeat vec_id are
-vectors of that id, of which the nearest counts. Columns but the id and vector are ignored.
+without vec_id; vectors are compared with those of their own length, each length in an index of its
+own. Rows that repeat vec_id and vector count once; other rows that repeat vec_id are
+vectors of that id, of which the nearest counts. Columns but the id and vector are ignored, an empty
+table gives an empty result. Below MAX_DEPTH splits, which the sample can still place, leaves grow with
+the index; they are read in blocks, and what a query opens is a share of the index either way.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import settle
+from marketframe.llm.common import map_arrow, settle
 
 SAMPLE_ROWS = 20_000
 TREES = 4
 LEAF_ROWS = 1024
 MAX_DEPTH = 12
-EFFORT = 0.75
+FIRST, EFFORT = 0.1, 0.75
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 256
 SALTS = 32
 
@@ -78,18 +83,22 @@ class Forest:
         self.trees = trees
         self.share: list[np.ndarray] = []
 
-    def search(self, q: np.ndarray, effort: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue until the leaves cover `effort`."""
+    def search(self, q: np.ndarray, effort: float, after: float = 0.0, bound: float = float("inf")) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order of the shared queue, from where the leaves cover `after` until they
+        cover `effort` or the next branch costs more than `bound`."""
         queue = [(0.0, t, 1) for t in range(len(self.trees))]
         margins = [tree.normals @ q - tree.cuts for tree in self.trees]
         left, out = np.ones(len(self.trees)), []
-        while queue and 1 - float(np.prod(np.maximum(left, 0))) < effort:
+        while queue and (done := 1 - float(np.prod(np.maximum(left, 0)))) < effort:
             cost, t, node = heapq.heappop(queue)
+            if done >= after and cost > bound:
+                break
             tree = self.trees[t]
             if node >= 1 << tree.depth:
                 leaf = node - (1 << tree.depth)
                 if self.share[t][leaf] > 0:
-                    out.append((t, leaf))
+                    if done >= after:
+                        out.append((t, leaf))
                     left[t] -= self.share[t][leaf]
                 continue
             m = margins[t][node]
@@ -104,10 +113,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.filter(fine)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().collect()  # a row for each vector length
-    n = max(((r["count"], r["n"]) for r in sizes), default=(0, 0))[1]
-    return rows.filter(F.size("v") == n)
+    return rows.filter(fine)
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
@@ -157,12 +163,27 @@ def blocks(df: DataFrame, key: str, counts: dict[tuple[int, int], int], rows: in
     return joined.withColumn(name, F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")
 
 
+FOUND = "query_id bigint, rank int, vec_id bigint, score double"
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, effort: float = EFFORT, trees: int = TREES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of every query.
 
     `queries` has vec_id and embedding like `vectors`; rows of the query's own id are no candidates."""
-    spark = vectors.sparkSession
     rows = usable(vectors)
+    asked = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+    lengths = sorted(r[0] for r in asked.select(F.size("q")).distinct().collect())  # a row for each vector length
+    found = [search_one(rows.filter(F.size("v") == n), asked.filter(F.size("q") == n), k, effort, trees) for n in lengths]
+    out = vectors.sparkSession.createDataFrame([], FOUND)
+    near = reduce(DataFrame.unionByName, found, out.drop("rank")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_one(rows: DataFrame, asked: DataFrame, k: int, effort: float, trees: int) -> DataFrame:
+    """query_id, vec_id and score of the nearest found, the k nearest of every query among them; all
+    vectors have one length."""
+    spark = rows.sparkSession
     index = settle(classes(rows, k), "vectors")
     forest = fit(index, trees)
     shared = spark.sparkContext.broadcast(forest)  # trees * 2^MAX_DEPTH splits at most
@@ -183,24 +204,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, effort: float = E
     forest.share = [np.asarray([held.get((t, leaf), 0) / total for leaf in range(1 << tree.depth)]) for t, tree in enumerate(forest.trees)]
     probing = spark.sparkContext.broadcast(forest)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = probing.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                u = unit(matrix(part.column(1)))
-                where = [f.search(q, effort) for q in u]
-                at = np.repeat(np.arange(len(u)), [len(x) for x in where])
-                flat = [x for xs in where for x in xs]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), *(c.take(pa.array(at)) for c in part.columns)], names=["tree", "leaf", "query_id", "q"])
-
-    n = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
-    width = index.select(F.size("v").alias("n")).first()
-    if width is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    asked = settle(n.filter(F.size("q") == width["n"]).mapInArrow(probe, "tree int, leaf int, query_id bigint, q array<double>"), "probes")
-    left = blocks(placed, "v", held, BLOCK_ROWS, "block")
-    right = blocks(asked, "query_id", counted(asked), BLOCK_QUERIES, "pack")
+    def probe(after: float, until: float):
+        """Queries (query_id, q, bound) by the leaves that they open."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f = probing.value
+            for batch in batches:
+                for i in range(0, batch.num_rows, 200):
+                    part = batch.slice(i, 200)
+                    u = unit(matrix(part.column(1)))
+                    where = [f.search(q, until, after, b) for q, b in zip(u, part.column(2).to_pylist())]
+                    at = np.repeat(np.arange(len(u)), [len(x) for x in where])
+                    flat = [x for xs in where for x in xs]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), *(part.column(c).take(pa.array(at)) for c in (0, 1))], names=["tree", "leaf", "query_id", "q"])
+
+        return run
 
     def pack_rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         flat = [x for ids in pdf["ids"] for x in ids]
@@ -210,8 +228,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, effort: float = E
     def pack_queries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"tree": [key[0]], "leaf": [key[1]], "asked": [np.stack(pdf["q"]).astype("<f8").tobytes()], "query_ids": [np.asarray(pdf["query_id"], "<i8").tobytes()]})
 
+    left = blocks(placed, "v", held, BLOCK_ROWS, "block")
     row_packs = left.groupBy("tree", "leaf", "block").applyInPandas(pack_rows, "tree int, leaf int, rows binary, ids binary, of binary")
-    query_packs = right.groupBy("tree", "leaf", "pack").applyInPandas(pack_queries, "tree int, leaf int, asked binary, query_ids binary")
+    row_packs = settle(row_packs, "row-packs")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,11 +243,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, effort: float = E
                 at = np.repeat(query_ids, [len(o[0]) for o in out])
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.concatenate([o[0] for o in out]), pa.int64()), pa.array(np.concatenate([o[1] for o in out]), pa.float64())], names=["query_id", "vec_id", "score"])
 
-    pairs = row_packs.join(query_packs, ["tree", "leaf"]).select("rows", "ids", "of", "asked", "query_ids")
-    near = pairs.mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
-    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def nearest(bounded: DataFrame, after: float, until: float, name: str) -> DataFrame:
+        opened = settle(bounded.mapInArrow(probe(after, until), "tree int, leaf int, query_id bigint, q array<double>"), "probes")
+        right = blocks(opened, "query_id", counted(opened), BLOCK_QUERIES, "pack")
+        packs = right.groupBy("tree", "leaf", "pack").applyInPandas(pack_queries, "tree int, leaf int, asked binary, query_ids binary")
+        pairs = row_packs.join(packs, ["tree", "leaf"]).select("rows", "ids", "of", "asked", "query_ids")
+        return settle(map_arrow(pairs, rank, "query_id bigint, vec_id bigint, score double"), name)
+
+    first = nearest(asked.withColumn("bound", F.lit(float("inf"))), 0.0, min(FIRST, effort), "first-found")
+    # the k-th best of different ids; a query has k candidates for each leaf at most
+    best = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    kth = best.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") == k)
+    far = 2 - 2 * F.col("score") + 1e-9  # squared distance of unit vectors
+    again = asked.join(kth.select("query_id", far.alias("bound")), "query_id", "left").select("query_id", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    return first.unionByName(nearest(again, min(FIRST, effort), effort, "found"))
 
 
 def _nearest(query_id: int, q: np.ndarray, q_unit: np.ndarray, v: np.ndarray, v_unit: np.ndarray, ids: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
