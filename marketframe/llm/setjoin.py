@@ -11,16 +11,21 @@ Two sets of similarity t share at least c of the first |x| - ceil(t |x|) + c shi
 The boundary between small and large is the largest size whose subsets cost no more rows than
 its list entries and the partners that those lists hold on average.
 
-Lists are not expanded into all pairs. In each of PIVOT_ROUNDS rounds a list that holds different
-components pairs its members with its most central one that wasn't tried before; what verifies is
-linked, and linked documents are contracted. Then only lists that still hold different components
-pair the members of different components. A pair is a candidate only where what both sets hold
-behind the common key suffices (the first common key of similar sets always passes). Every candidate is verified on
-the whole sets, so links and components are exact.
+Lists are not expanded into all pairs. In each round a list that holds different components pairs its
+members with its most central one that wasn't tried before; what verifies is linked, and linked
+documents are contracted. After PIVOT_ROUNDS rounds they go on, up to MOST_ROUNDS, while the members
+that are left would make more pairs than PAIRS_AN_ENTRY for each entry of a list. What is left pairs
+the members of different components, long lists in blocks of BLOCK members, so that no list is one
+task. A pair is a candidate only where what both sets hold behind the common key suffices (the first
+common key of similar sets always passes). Every candidate is verified on the whole sets. Shingles
+count by 64-bit hash and equal sets by a 128-bit digest: for sets of 10,000 shingles the odds that two
+of theirs clash are about 1 in 10^11, and that two of 10^10 sets share a digest 1 in 10^18; but for
+that, links and components are exact.
 
 A row without words or text has an empty set and links with nothing. Rows without doc_id take no
 part and get no component. Rows that repeat doc_id are one document: links of any of them count.
-Other columns are ignored. An empty table gives an empty result.
+A very long text is one set like others. doc_id is a whole number. Other columns are ignored, and
+kept by keep_one(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +47,10 @@ from marketframe.llm.components import components
 
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 128
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS, MOST_ROUNDS, PAIRS_AN_ENTRY = 2, 8, 4
+BLOCK = 256
+SALTS = 8
+BROADCAST_IDS = 500_000  # doc_ids (8 bytes each) that are sent to every executor
 LEAST_HASHES = 4096  # shingles whose counts are kept exactly, for the mean list length
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -210,9 +218,9 @@ def sets(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<struct<key:bigint,pos:int>>")
 
 
-def id_filter(ids: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, bitmap) of hashed ids, at most 2^27 bits: a row whose bit is unset is none of them."""
-    bits = min(27, max(16, math.ceil(math.log2(16 * max(1, ids.count())))))
+def id_filter(ids: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(bits, bitmap) of n hashed ids, at most 2^27 bits: a row whose bit is unset is none of them."""
+    bits = min(27, max(16, math.ceil(math.log2(16 * max(1, n)))))
     x = F.pmod(F.xxhash64("id"), F.lit(1 << bits)) + 1
     rows = ids.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("map")).collect()
     out = np.zeros(max(1, (1 << bits) // 32768) * 4096, dtype=np.uint8)
@@ -223,8 +231,14 @@ def id_filter(ids: DataFrame) -> tuple[int, np.ndarray]:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets are similar."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits, bitmap = id_filter(ids)
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    n = ids.count()
+    some = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if n <= BROADCAST_IDS:  # only the texts of pairs go to Python
+        some = some.join(F.broadcast(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
+        bits, bitmap = 0, np.ones(1, dtype=np.uint8)
+    else:
+        bits, bitmap = id_filter(ids, n)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +251,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, sim: Similarity) -> Data
                 h = [shingles(t, k).tobytes() for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], names=["id", "set"])
 
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << bits))
-    some = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), bit)
-    rows = map_arrow(some, read, "id bigint, set binary")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    rows = map_arrow(some.select("doc_id", "text", bit), read, "id bigint, set binary")
     both = pairs.join(rows.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(rows.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,24 +287,38 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return settle(rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
 
 
+def _pairs_left(placed: DataFrame) -> float:
+    """Pairs that members of lists with different components and no turn as pivot yet would make."""
+    lists = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count_if(~F.col("used")).cast("double").alias("k")).filter("r < z")
+    return lists.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0))).first()[0]
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id for every row; k words, similarity num / den."""
     sim = Similarity(num, den)
     every = settle(sets(docs, k, sim), "sets")
     full = every.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    members = settle(full.select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("doc_id", "n", "rep"), "members")
+    # copies of one text, however many, are dealt over SALTS keys: classes are counted and met in parts
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    parts = full.groupBy("s1", "s2", "n", salt.alias("salt")).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    classes = settle(parts.groupBy("s1", "s2", "n").agg(F.min("rep").alias("rep"), F.sum("rows").alias("rows")), "classes")
+    copies = classes.filter("rows > 1").select("s1", "s2", "n", "rep", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    found = full.select("doc_id", "s1", "s2", "n", salt.alias("salt")).join(copies, ["s1", "s2", "n", "salt"], "left")
+    members = settle(found.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     again = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
     own = members.join(again, "doc_id").select("a", F.col("rep").alias("b"))  # texts of one doc_id
 
-    reps = full.join(classes.filter(F.col("n") >= sim.least_size()).withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2", "n"], "left_semi")
+    reps = full.join(classes.filter(F.col("n") >= sim.least_size()).select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
     reps = settle(reps.select("doc_id", "n", "keys"), "representatives")
     entries = reps.select("doc_id", "n", F.inline("keys"))
     lists = entries.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.min("n").alias("low")).filter("a < z").select("key", "low")
     placed = entries.join(lists, "key").filter(_reaches("pos", "n", F.greatest("low", _ceil(F.col("n") * num, den)), sim))
     placed = settle(placed.select("key", "pos", "doc_id", "n", F.col("doc_id").alias("root"), F.lit(False).alias("used")), "lists")
     links = tested = None
-    for _ in range(PIVOT_ROUNDS):
+    entries_in_lists = placed.count()
+    for k_round in range(MOST_ROUNDS):
+        if k_round >= PIVOT_ROUNDS and _pairs_left(placed) <= PAIRS_AN_ENTRY * entries_in_lists:
+            break
         # the unused member for which the key is the rarest is the least edited one: it hardly has
         # shingles of its own, so the others are likeliest to be similar to it
         free = F.when(~F.col("used"), F.struct("pos", "doc_id", "n", "root"))
@@ -309,10 +336,16 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
 
     open_ = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z")).filter("r < z").select("key")
     rest = placed.join(open_, "key").filter("NOT used")
+    # each member meets each block of its list once: it stands in its own row of blocks, and once in
+    # every column
+    size = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(size, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    left = rest.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("own") * F.col("blocks") + j)))
+    right = rest.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i * F.col("blocks") + F.col("own"))))
     # members against members of other components; pairs with a pivot are verified already
     fit = _reaches("x.pos", "x.n", F.col("y.n"), sim) & _reaches("y.pos", "y.n", F.col("x.n"), sim)
-    other = F.expr("x.key = y.key AND x.doc_id < y.doc_id AND x.root <> y.root")
-    more = rest.alias("x").join(rest.alias("y"), other & near("x.n", "y.n", sim) & fit)
+    other = F.expr("x.key = y.key AND x.cell = y.cell AND x.doc_id < y.doc_id AND x.root <> y.root")
+    more = left.alias("x").join(right.alias("y"), other & near("x.n", "y.n", sim) & fit)
     more = settle(more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     roots = components(links.unionByName(verified(more, docs, k, sim)).unionByName(own), "a", "b")
 
