@@ -8,12 +8,13 @@ is then compared word by word with the document's words there. Windows that hold
 corpus lacks can't occur and are dropped.
 
 Everything is DataFrame functions. The windows are broadcast only if the benchmark is within
-BROADCAST_WINDOWS; a larger one joins by shuffle, and document words then carry their
-surroundings, never the whole document.
+BROADCAST_WINDOWS; a larger one joins by shuffle: words that are no window's prefix are left out
+first, and the others then carry their surroundings, never the whole document.
 
 Null and empty texts have no words: such items have no windows, such documents no hits. Repeated
-rows give repeated results; rows that share doc_id but not the text count apart. Columns other
-than the id and text are ignored.
+rows give repeated results; rows that share doc_id but not the text count apart. A very long text is
+searched whole. Columns other than the id and text are ignored; clean() returns them as they are. An
+empty table of documents gives an empty result, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from marketframe.llm.common import alnum_words, settle
 WINDOW = 10
 #: Most windows that are sent to every executor (about 200 bytes each).
 BROADCAST_WINDOWS = 200_000
+#: Most prefix words (about 40 bytes each) that are sent to every executor to leave other words out.
+BROADCAST_TOKENS = 1_000_000
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -43,7 +46,7 @@ def prefixes(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     vocabulary = at.select("token").distinct()
     words = docs.select(F.explode(alnum_words(F.col("text"))).alias("token"))
     counts = words.join(F.broadcast(vocabulary) if small else vocabulary, "token").groupBy("token").count()
-    ranked = at.join(counts, "token", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "off")).alias("p"))
+    ranked = at.join(F.broadcast(counts) if small else counts, "token", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "off")).alias("p"))
     return windows.join(ranked.filter("p.n > 0"), "win").select("win", "items", F.size("win").alias("wn"), "p.token", "p.off")
 
 
@@ -60,6 +63,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
         prefix = F.broadcast(prefix)
     else:
         each = words.select("doc_id", "__h", F.size("__ws").alias("__n"), "__ws", F.posexplode("__ws").alias("__pos", "token"))
+        tokens = settle(prefix.select("token").distinct(), "prefix-words")
+        if tokens.count() <= BROADCAST_TOKENS:
+            each = each.join(F.broadcast(tokens), "token", "left_semi")
         around = F.slice("__ws", F.greatest(F.col("__pos") - (window - 1), F.lit(0)) + 1, 2 * window - 1)
         each = each.select("doc_id", "__h", "__n", "__pos", "token", around.alias("__ctx"))
         first, context, n = F.col("__pos") - F.col("off"), F.col("__ctx"), F.col("__n")
@@ -83,7 +89,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         return F.struct((acc["n"] + F.greatest(F.lit(0), end - F.greatest(s["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], end).alias("end"))
 
     per = per.select("doc_id", "__h", F.aggregate("spans", zero, add)["n"].alias("n_hit"), F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda i: i.cast("string"))).alias("item_ids"))
-    n_words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD), F.lit(0)))
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD))
     every = docs.select("doc_id", F.xxhash64("text").alias("__h"), n_words.alias("n_words")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__h") == F.col("p.__h"))
     joined = every.join(per.alias("p"), same, "left")
