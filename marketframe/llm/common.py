@@ -33,6 +33,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SETTLED: list[str] = []
+
+
+def settled() -> int:
+    """How many folders settle() has written so far."""
+    return len(_SETTLED)
+
+
+def discard(spark: SparkSession, first: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the folders that settle() has written since settled() was `first`, but for `keep`: for callers
+    that have written what they wanted of them."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for p in [p for p in _SETTLED[first:] if p not in keep]:
+        path(p).getFileSystem(conf).delete(path(p), True)
+        _SETTLED.remove(p)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 
@@ -40,6 +57,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    _SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

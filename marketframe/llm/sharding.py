@@ -7,8 +7,13 @@ to the next virtual node of a shard with room. A shard's bound is the mean count
 the bounds sum to the number of rows: counts are at most one apart (the law `rows`).
 
 Only the counts by slot (at most `slots` rows) reach the driver; it lays the arcs out, and the
-rows join that layout by slot. Repeated rows are rows of their own; among equal rows any may get
-any of their slots. A null text counts as the empty text. An empty table gives an empty result.
+rows join that layout by slot. A slot with far more rows than the mean (one doc_id that repeats, or
+rows without one) is ranked in SALTS parts.
+
+Equal texts are not kept together: only doc_id decides a row's place, as copies in one shard could
+break the law. Repeated rows are rows of their own; among equal rows any may get any of their slots.
+A null text counts as the empty text; a very long one is a row like others. Columns but doc_id and
+text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from marketframe.llm.common import settle
+
 SLOTS = 16_384
 VIRTUAL_NODES = 64
+SALTS = 64
+HOT_ROWS = 100_000  # a slot of more rows, and of more than four times the mean, is ranked in parts
 
 
 def ring(n_shards: int, virtual_nodes: int = VIRTUAL_NODES, slots: int = SLOTS) -> list[tuple[int, int]]:
@@ -70,12 +79,21 @@ def assign(docs: DataFrame, n_shards: int = 8, virtual_nodes: int = VIRTUAL_NODE
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(" ", F.lit("no id"), "text_crc32", "size"))
     rows = rows.withColumn("__h", F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"))
-    rows = rows.withColumn("__p", F.shiftright(F.col("__h") * slots, 32).cast("int"))
+    rows = rows.withColumns({"__p": F.shiftright(F.col("__h") * slots, 32).cast("int"), "__i": F.monotonically_increasing_id()})
+    rows = settle(rows, "ring")  # the numbers of rows stay the same in all that follows
     counts = {r[0]: r[1] for r in rows.groupBy("__p").count().collect()}  # at most `slots` rows
-    layout = lay_out(counts, ring(n_shards, virtual_nodes, slots), bounds(sum(counts.values()), n_shards))
+    total = sum(counts.values())
+    layout = lay_out(counts, ring(n_shards, virtual_nodes, slots), bounds(total, n_shards))
     spark = docs.sparkSession
     stretches = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip("pabst", x)) for x in layout])), "array<struct<p int, a bigint, b bigint, s int, t bigint>>")))
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__h", "doc_id", "text_crc32", "size")).cast("bigint") - 1)
+    hot = [p for p, n in counts.items() if n > max(HOT_ROWS, 4 * total / slots)]
+    rows = rows.withColumn("__s", F.when(F.col("__p").isin(hot), F.pmod("__i", F.lit(SALTS))).otherwise(0)) if hot else rows.withColumn("__s", F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("__p", "__s").orderBy("__h", "doc_id", "text_crc32", "size", "__i")).cast("bigint") - 1
+    ranked = rows.withColumn("__r", rank)
+    if hot:  # ranks go on from part to part of a hot slot
+        before = F.coalesce(F.sum("count").over(Window.partitionBy("__p").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = rows.filter(F.col("__p").isin(hot)).groupBy("__p", "__s").count().withColumn("__b", before).drop("count")  # at most SALTS rows for each hot slot
+        ranked = ranked.join(F.broadcast(parts), ["__p", "__s"], "left").withColumn("__r", F.col("__r") + F.coalesce("__b", F.lit(0)))
     at = (F.col("__p") == F.col("p")) & (F.col("__r") >= F.col("a")) & (F.col("__r") < F.col("b"))
     joined = ranked.join(F.broadcast(stretches), at)  # at most `slots` stretches and n_shards more for each full shard
     return joined.select("doc_id", "size", "text_crc32", F.col("s").alias("shard"), (F.col("t") + F.col("__r") - F.col("a")).alias("slot"))
