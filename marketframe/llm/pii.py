@@ -17,7 +17,9 @@ their counts rule the threshold or `support` out. What is joined is broadcast wi
 rows and joined by shuffle beyond.
 
 A null text counts as the empty text in scan() and stays null in sanitise(). Repeated rows give
-repeated results, and count apart in n (not in `support`). An empty table gives an empty result.
+repeated results, and count apart in n (not in `support`). An empty table gives an empty result; a
+very long text is searched whole. Other columns stay as they are, whatever their names, unless they
+start with __pii_.
 """
 
 from __future__ import annotations
@@ -183,7 +185,7 @@ def joined(spans: Column | str) -> Column:
 def digest(docs: DataFrame) -> DataFrame:
     rows = with_spans(docs.select("doc_id", "text"))
     counts = [F.size(F.filter("__pii_base", _of(o))).cast("bigint").alias(f"n_{k}") for o, k in enumerate(KINDS[:4])]
-    return rows.select("doc_id", *counts, F.sha2(joined("__pii_base"), 256).alias("base_sha256"), joined("__pii_spans").alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(joined("__pii_base"), 256).alias("base_sha256"), joined("__pii_spans").alias("spans"), F.size("__pii_spans").cast("bigint").alias("n_spans"))
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, letters: int = LETTERS) -> DataFrame:
