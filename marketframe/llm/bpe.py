@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from marketframe.llm.common import free_worker, map_arrow, worker_cache
 
 #: Bytes of fragments and ids a worker remembers before it starts anew.
-MEMO_BYTES = 40_000_000
+MEMO_BYTES = 24_000_000
 #: Bytes of texts or ids that are worked on at a time.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 _CODERS: dict[str, "FragmentCoder"] = worker_cache()
 
