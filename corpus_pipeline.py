@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketframe.llm import bpe, decontamination, pii, setjoin, toxicity
-from marketframe.llm.common import settle, table
+from marketframe.llm.common import discard, settle, settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage leaves but its result is deleted as soon as that is written."""
+    docs, first = table(spark, sf_dir, "documents"), settled()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settle(docs, name.replace(" ", "-"))
+            discard(spark, first)
     return docs
