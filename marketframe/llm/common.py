@@ -41,13 +41,13 @@ def settled() -> int:
     return len(_SETTLED)
 
 
-def discard(spark: SparkSession, first: int, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the folders that settle() has written since settled() was `first`, but for `keep`: for callers
-    that have written what they wanted of them."""
+def discard(spark: SparkSession, first: int) -> None:
+    """Deletes the folders, but for the newest, that settle() has written since settled() was `first`: for
+    callers whose newest folder holds all they want of the others."""
     conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    for p in [p for p in _SETTLED[first:] if p not in keep]:
+    for p in _SETTLED[first:-1]:
         path(p).getFileSystem(conf).delete(path(p), True)
-        _SETTLED.remove(p)
+    del _SETTLED[first:-1]
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -74,3 +75,24 @@ def test_columns_stay(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_odd_documents_go_through(spark, tmp_path):
+    """Nulls in every column, empty, repeated and very long texts, ties and clashing names, to the end."""
+    small = DIR.replace("0.01", "0.001")
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    long = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
+    odd = [(9001, None), (9002, ""), (None, "a text without a number"), (None, None), (9003, long), (9004, long + " and more"), (9005, "same words here for all of them now"), (9006, "same words here for all of them now"), (9006, "same words here for all of them now")]
+    nulls = [f"CAST(NULL AS {k}) AS `{c}`" for c, k in kinds.items() if c not in ("doc_id", "text")]
+    more = spark.createDataFrame(odd, f"doc_id {kinds['doc_id']}, text string").selectExpr("doc_id", "text", *nulls).select(docs.columns)
+    path = str(tmp_path / "in")
+    docs.unionByName(more).write.parquet(f"{path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        rows = spark.read.parquet(f"{small}/{t}.parquet")
+        rows.unionByName(rows.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema))).write.parquet(f"{path}/{t}.parquet")
+    got = corpus_pipeline.run(spark, path).collect()
+    ids = [r.doc_id for r in got]
+    assert {9001, 9002, 9003, 9005} <= set(ids) and not {9004, 9006} & set(ids) and ids.count(None) == 2
+    by = {r.doc_id: r for r in got}
+    assert by[9003].text == long and by[9001].n_tokens == by[9002].n_tokens == 0
