@@ -1,4 +1,4 @@
-"""First-order recurrences in one ordered pass.
+"""First-order recurrences and rolling aggregates in one ordered pass.
 
 An exponential mean is y_i = a_i y_(i-1) + b_i. No window function expresses it, so the rows of a
 symbol go in time order through one Arrow pass that computes all means of a call at once: one shuffle
@@ -34,6 +34,15 @@ class Ewm:
     seed: int = 0
 
 
+@dataclass(frozen=True)
+class Rolling:
+    """One output column: `kind` (mean or std, the sample deviation) of `x` over the last n rows."""
+
+    x: str
+    n: int
+    kind: str = "mean"
+
+
 def span(n: int) -> float:
     return 2.0 / (n + 1)
 
@@ -93,11 +102,37 @@ class Mean:
         return out
 
 
-def ewm(df: DataFrame, outs: dict[str, Ewm], order: str = "ts", in_order: bool = False) -> DataFrame:
+class Frame:
+    """The rolling aggregate of one column as its rows come by in pieces."""
+
+    def __init__(self, r: Rolling):
+        self.r = r
+        self.tail = np.empty(0)
+
+    def feed(self, x: np.ndarray, first: int) -> np.ndarray:
+        n, held = self.r.n, np.concatenate((self.tail, x))
+        out = np.full(len(held), np.nan)
+        if len(held) >= n:
+            if self.r.kind == "mean":
+                known = ~np.isnan(held)
+                full = self._sums(known.astype(float)) == n
+                out[n - 1 :] = np.where(full, self._sums(np.where(known, held, 0.0)) / n, np.nan)
+            else:
+                out[n - 1 :] = np.lib.stride_tricks.sliding_window_view(held, n).std(axis=1, ddof=1)
+        out = out[len(self.tail) :]
+        self.tail = held[max(0, len(held) - (n - 1)) :]
+        return out
+
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0.0], np.cumsum(x)))
+        return total[self.r.n :] - total[: -self.r.n]
+
+
+def ewm(df: DataFrame, outs: dict[str, Ewm | Rolling], order: str = "ts", in_order: bool = False) -> DataFrame:
     """`df` with the columns of `outs`; columns of those names give way to them.
 
-    `in_order` says that `df` comes straight from another call on the same symbols and order, with
-    nothing but row-wise columns between them: it isn't shuffled and sorted again."""
+    `in_order` says that `df` comes straight from another call, or from window functions, on the same
+    symbols and order, with nothing but row-wise columns since: it isn't shuffled and sorted again."""
     source = df if in_order else df.repartition("symbol").sortWithinPartitions("symbol", order)
     kept = [c for c in df.columns if c not in outs]
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in outs)])
@@ -116,7 +151,7 @@ def ewm(df: DataFrame, outs: dict[str, Ewm], order: str = "ts", in_order: bool =
             for i, j in zip(starts, starts[1:]):
                 own = symbols[i].as_py()
                 if not started or own != symbol:
-                    symbol, means, row, started = own, {name: Mean(e) for name, e in outs.items()}, 0, True
+                    symbol, means, row, started = own, {name: Mean(e) if isinstance(e, Ewm) else Frame(e) for name, e in outs.items()}, 0, True
                 for name, e in outs.items():
                     parts[name].append(means[name].feed(columns[e.x][i:j], row))
                 row += j - i

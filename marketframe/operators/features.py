@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.functions.recurrence import Ewm, ewm, span
+from marketframe.functions.recurrence import Ewm, Rolling, ewm, span
 from marketframe.functions.windows import by_symbol, flag, nonzero, run_length, running, strict
 from marketframe.operators.bars import bucket, resample
 from marketframe.operators.quality import zero_filled
@@ -75,50 +75,69 @@ def rsi_of(gain: str, loss: str):
     return 100 - 100 / (1 + c(gain) / nonzero(c(loss)))
 
 
-def recurrent(df: DataFrame) -> DataFrame:
-    """RSI, MACD, ATR, KC and ADX: two passes of the scan in one order, the second for means of means."""
-    wilder, adx = 1 / 5, 1 / 14
-    out = ewm(_with_deltas(df), {
-        "__ag": Ewm("__gain", wilder, 5), "__al": Ewm("__loss", wilder, 5), "__fast": Ewm("close", span(6)), "__slow": Ewm("close", span(18)),
-        "ATR": Ewm("__tr", wilder, 5), "__kc": Ewm("close", span(10)), "__pdm": Ewm("__up", adx, 14), "__mdm": Ewm("__down", adx, 14), "__atr14": Ewm("__tr", adx, 14),
-    })
+WILDER, ADX = 1 / 5, 1 / 14
+#: Means that one pass over the bars gives, and those of columns that it gave.
+MEANS = {
+    "__ag": Ewm("__gain", WILDER, 5), "__al": Ewm("__loss", WILDER, 5), "__fast": Ewm("close", span(6)), "__slow": Ewm("close", span(18)),
+    "ATR": Ewm("__tr", WILDER, 5), "__kc": Ewm("close", span(10)), "__pdm": Ewm("__up", ADX, 14), "__mdm": Ewm("__down", ADX, 14), "__atr14": Ewm("__tr", ADX, 14),
+}
+MEANS_OF_MEANS = {"MACD_SIGNAL": Ewm("MACD_VALUE", span(5)), "ADX": Ewm("__dx", ADX, 14)}
+
+
+def _of_means(df: DataFrame) -> DataFrame:
     plus, minus = 100 * c("__pdm") / nonzero(c("__atr14")), 100 * c("__mdm") / nonzero(c("__atr14"))
-    out = out.withColumns({"RSI": rsi_of("__ag", "__al"), "MACD_VALUE": c("__fast") - c("__slow"), "__dx": 100 * F.abs(plus - minus) / nonzero(plus + minus)})
-    out = ewm(out, {"MACD_SIGNAL": Ewm("MACD_VALUE", span(5)), "ADX": Ewm("__dx", adx, 14)}, in_order=True)
-    out = out.withColumns({
-        "MACD_HIST": c("MACD_VALUE") - c("MACD_SIGNAL"),
-        "NATR": c("ATR") / nonzero(c("close")) * 100,
-        "KC_WIDTH": 3 * c("ATR") / nonzero(c("__kc")),
+    return df.withColumns({
+        "RSI": rsi_of("__ag", "__al"), "MACD_VALUE": c("__fast") - c("__slow"), "__dx": 100 * F.abs(plus - minus) / nonzero(plus + minus),
+        "NATR": c("ATR") / nonzero(c("close")) * 100, "KC_WIDTH": 3 * c("ATR") / nonzero(c("__kc")),
     })
-    return out.drop(*[x for x in out.columns if x.startswith("__")])
 
 
-def plain_windows(df: DataFrame) -> DataFrame:
+def _bare(df: DataFrame) -> DataFrame:
+    return df.drop(*[x for x in df.columns if x.startswith("__")])
+
+
+def recurrent(df: DataFrame) -> DataFrame:
+    """RSI, MACD, ATR, KC and ADX: two passes of the scan in one order, the second for means of means."""
+    out = ewm(_of_means(ewm(_with_deltas(df), MEANS, in_order=True)), MEANS_OF_MEANS, in_order=True)
+    return _bare(out.withColumn("MACD_HIST", c("MACD_VALUE") - c("MACD_SIGNAL")))
+
+
+FRAMES = {
+    "__m10": Rolling("close", 10), "__s10": Rolling("close", 10, "std"), "__tm": Rolling("__tp", 10), "__ts": Rolling("__tp", 10, "std"), "__v10": Rolling("volume", 10),
+    **{f"__m{n}": Rolling("close", n) for n in (20, 50, 200)}, **{f"__v_{name}": Rolling(f"__in_{name}", 100) for name in SESSIONS},
+}
+
+
+def _with_returns(df: DataFrame) -> DataFrame:
     w = by_symbol()
-    typical = (c("high") + c("low") + c("close")) / 3
-    out = df.withColumn("__tp", typical)
-    mean, sd = strict(F.avg, c("close"), 10), strict(F.stddev_samp, c("close"), 10)
-    upper, lower = mean + 2 * sd, mean - 2 * sd
-    out = out.withColumns({
-        "CCI": (c("__tp") - strict(F.avg, c("__tp"), 10)) / (0.015 * nonzero(strict(F.stddev_samp, c("__tp"), 10))),
+    inside = {f"__in_{name}": F.when(F.hour("ts").between(*hours), c("volume")) for name, hours in SESSIONS.items()}
+    return df.withColumns({
+        "__tp": (c("high") + c("low") + c("close")) / 3,
         "RETURN_1": F.log(c("close") / nonzero(F.lag("close", 1).over(w))),
         "RETURN_3": F.log(c("close") / nonzero(F.lag("close", 3).over(w))),
         "MOMENTUM_OSCILLATOR": c("close") - F.lag("close", 3).over(w),
+        "HOUR_OF_DAY_NORMALIZED": (F.hour("ts") + F.minute("ts") / 60) / 24,
+        **inside,
+    })
+
+
+def _of_frames(df: DataFrame) -> DataFrame:
+    mean, sd = c("__m10"), c("__s10")
+    upper, lower = mean + 2 * sd, mean - 2 * sd
+    return df.withColumns({
+        "CCI": (c("__tp") - c("__tm")) / (0.015 * nonzero(c("__ts"))),
         "BB_WIDTH": (upper - lower) / nonzero(mean),
         "BB_UPPER_DIST": (upper - c("close")) / nonzero(c("close")),
         "BB_LOWER_DIST": (c("close") - lower) / nonzero(c("close")),
         "BB_PERCENT_B": (c("close") - lower) / nonzero(upper - lower),
-        "RELATIVE_VOLUME_RVOL": c("volume") / nonzero(strict(F.avg, c("volume"), 10)),
-        "HOUR_OF_DAY_NORMALIZED": (F.hour("ts") + F.minute("ts") / 60) / 24,
+        "RELATIVE_VOLUME_RVOL": c("volume") / nonzero(c("__v10")),
+        **{f"DIST_SMA{n}": (c("close") - c(f"__m{n}")) / nonzero(c(f"__m{n}")) * 100 for n in (20, 50, 200)},
+        **{f"RVOL_{name}": F.coalesce(c("volume") / nonzero(c(f"__v_{name}")), F.lit(1.0)) for name in SESSIONS},
     })
-    for n in (20, 50, 200):
-        sma = strict(F.avg, c("close"), n)
-        out = out.withColumn(f"DIST_SMA{n}", (c("close") - sma) / nonzero(sma) * 100)
-    for name, (first, last) in SESSIONS.items():
-        inside = F.when(F.hour("ts").between(first, last), c("volume"))
-        mean = strict(F.avg, inside, 100)
-        out = out.withColumn(f"RVOL_{name}", F.coalesce(c("volume") / nonzero(mean), F.lit(1.0)))
-    return out.drop("__tp")
+
+
+def plain_windows(df: DataFrame) -> DataFrame:
+    return _bare(_of_frames(ewm(_with_returns(df), FRAMES, in_order=True)))
 
 
 def timeframe(bars: DataFrame, seconds: int, name: str) -> DataFrame:
@@ -143,37 +162,41 @@ def multi_timeframe(df: DataFrame, bars: DataFrame, step: int, compat: bool = Fa
     return out.withColumns({n: F.last(n, True).over(running()) for n in every})
 
 
+#: Rolling aggregates of features.
+FEATURE_FRAMES = {
+    "__atr100": Rolling("ATR", 100), "RETURN_1_MEAN_5": Rolling("RETURN_1", 5), "RETURN_1_STD_5": Rolling("RETURN_1", 5, "std"),
+    "RSI_MEAN_10": Rolling("RSI", 10), "CLOSE_POS_MEAN_5": Rolling("CLOSE_POSITION_IN_CANDLE", 5),
+}
+
+
 def derived(df: DataFrame, compat: bool = False) -> DataFrame:
+    """Regime, interactions and lags of features; `df` has the columns of FEATURE_FRAMES."""
     w = by_symbol()
     zero = F.lit(0.0)
     product = lambda a, b: zero if compat else c(a) * c(b)
-    out = df.withColumns({
-        "VOLATILITY_REGIME": c("ATR") / nonzero(strict(F.avg, c("ATR"), 100)),
-        "BB_KC_SQUEEZE": flag(c("BB_WIDTH") < c("KC_WIDTH")),
-    })
-    out = out.withColumns({
+    out = df.withColumns({"VOLATILITY_REGIME": c("ATR") / nonzero(c("__atr100")), "BB_KC_SQUEEZE": flag(c("BB_WIDTH") < c("KC_WIDTH"))})
+    return out.withColumns({
         "RSI_TREND_5T": product("RSI", "TREND_5T"),
         "CLOSEPOS_VOLREGIME": product("CLOSE_POSITION_IN_CANDLE", "VOLATILITY_REGIME"),
         "BB_MOMENTUM": c("BB_WIDTH") * F.abs("MOMENTUM_OSCILLATOR"),
         "STREAK_TREND": product("CONSECUTIVE_BEAR_BARS", "TREND_5T"),
         "ADX_RETURN": product("ADX", "RETURN_1"),
-        "RETURN_1_MEAN_5": strict(F.avg, c("RETURN_1"), 5),
-        "RETURN_1_STD_5": strict(F.stddev_samp, c("RETURN_1"), 5),
-        "RSI_MEAN_10": strict(F.avg, c("RSI"), 10),
-        "CLOSE_POS_MEAN_5": strict(F.avg, c("CLOSE_POSITION_IN_CANDLE"), 5),
         "MACD_HIST_SLOPE": (c("MACD_HIST") - F.lag("MACD_HIST", 3).over(w)) / 3,
         **{f"{x}_LAG{n}": F.lag(x, n).over(w) for x in ("CLOSE_POSITION_IN_CANDLE", "RETURN_1", "RSI") for n in (1, 2, 3, 5)},
     })
-    return out
 
 
 def transform(bars: DataFrame, step: int = 60, compat: bool = False) -> DataFrame:
     """All feature columns of bars whose step is `step` seconds; incomplete rows keep their nulls.
 
-    Joins and recurrences see narrow rows; all windows then share one shuffle and sort by symbol."""
+    Joins see narrow rows. Windows and both passes then share one shuffle and sort by symbol, the lags
+    of what the passes gave take another."""
     base = bars.select("symbol", "ts", *(c(x).cast("double").alias(x) for x in ("open", "high", "low", "close", "volume")))
-    out = plain_windows(price_action(multi_timeframe(recurrent(base), base, step, compat)))
-    return derived(out, compat)
+    rows = _with_returns(_with_deltas(price_action(multi_timeframe(base, base, step, compat))))
+    rows = _of_frames(_of_means(ewm(rows, MEANS | FRAMES, in_order=True)))
+    rows = rows.drop(*[x for x in rows.columns if x.startswith("__") and x != "__dx"])
+    rows = ewm(rows, MEANS_OF_MEANS | FEATURE_FRAMES, in_order=True).withColumn("MACD_HIST", c("MACD_VALUE") - c("MACD_SIGNAL"))
+    return _bare(derived(rows, compat))
 
 
 def matrix(bars: DataFrame, step: int = 60, compat: bool = False) -> DataFrame:
