@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.functions.recurrence import Ewm, ewm, span
-from marketframe.functions.windows import by_symbol, flag, nonzero, strict
+from marketframe.functions.windows import by_symbol, nonzero, strict
 
 c = F.col
 

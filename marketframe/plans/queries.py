@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions import timefn
-from marketframe.functions.windows import by_symbol
 from marketframe.operators import bars, calendar, features, indicators, labels, models, quality, signals
 from marketframe.plans.fixtures import R, SHOW_TS, T, W, bars_sql, hourly, results, rolled, safe, select, shown, table, ticks
 from marketframe.sources import payloads, tables
@@ -716,8 +715,5 @@ def payload_instruments(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """The feature matrix over hourly bars of all events as one symbol, holes of five slots filled."""
-    all_ = ticks(spark, d).withColumn("symbol", F.lit("ALL"))
-    hours = bars.from_ticks(all_, 3600).withColumn("volume", F.col("ticks").cast("double"))
-    columns = ["open", "high", "low", "close", "volume"]
-    return features.matrix(bars.fill(bars.grid(hours, 3600, columns), columns).na.drop("any"), 3600)
+    """All feature columns of the hourly bars of every event type; rows before the warm part hold nulls."""
+    return features.transform(hourly(spark, d), 3600).select("symbol", "ts", *features.COLUMNS, F.lit(features.VERSION).alias("feature_version"))
