@@ -516,7 +516,8 @@ def model_retrain_rows(spark, d):
 def model_scores(spark, d):
     x = ["RSI", "CCI", "RETURN_1", "BB_PERCENT_B"]
     bars_ = hourly(spark, d)
-    rows = labels.labelled(features.matrix(bars_, 3600).select("symbol", "ts", *x), labels.direction(bars_))
+    known = features.recurrent(features.plain_windows(bars_)).select("symbol", "ts", *x).na.drop("any")
+    rows = labels.labelled(known, labels.direction(bars_))
     path = tables.scratch(spark, "splits")
     labels.time_split(rows).write.parquet(path)  # the fit reads it again and again
     rows = spark.read.parquet(path)
