@@ -288,9 +288,10 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _pairs_left(placed: DataFrame) -> float:
-    """Pairs that members of lists with different components and no turn as pivot yet would make."""
-    lists = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count_if(~F.col("used")).cast("double").alias("k")).filter("r < z")
-    return lists.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0))).first()[0]
+    """Pairs of different components that members of lists without a turn as pivot yet would make."""
+    sides = placed.filter("NOT used").groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    lists = sides.groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    return lists.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0.0))).first()[0]
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
