@@ -18,7 +18,7 @@ Files are written by Spark, so a lost task leaves no partial file.
 
 A null text is an empty text: its ids are the end id alone. Rows that repeat a doc_id are
 documents of their own, one after the other. An empty table gives no shard and no rows. A very long
-text makes one longer shard. Columns but doc_id and text are ignored.
+text makes one longer shard. doc_id is a whole number; other columns are ignored.
 """
 
 from __future__ import annotations
