@@ -56,6 +56,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     Later jobs start from those files, also after executors are lost.
     """
     path = shared_dir(df.sparkSession, name)
+    free_worker()  # the driver's Python, too, shares its memory with a JVM
     df.write.parquet(path)
     _SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -107,7 +108,7 @@ def worker_cache() -> dict:
 
 
 def free_worker(keep: dict | None = None) -> None:
-    """Drops what earlier operators left in this Python worker, but for `keep`, and returns free memory
+    """Drops what earlier operators left in this Python process, but for `keep`, and returns free memory
     to the system: workers are reused, and those of one executor share its memory with the JVM."""
     for cache in _CACHES:
         if cache is not keep:

@@ -145,7 +145,7 @@ class LabelModel:
             q = np.exp(odds - odds.max(axis=1, keepdims=True))
             q /= q.sum(axis=1, keepdims=True)
         toxic = 1 - q[:, 0]
-        self.rates = np.stack([(w @ self.votes + 0.5) / (w.sum() + 1) for w in (toxic, 1 - toxic)])
+        self.rates = np.stack([(w.astype(np.float32) @ self.votes + 0.5) / (w.sum() + 1) for w in (toxic, 1 - toxic)])
         return toxic
 
 
@@ -225,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
     names = [r["feature"] for r in found]
     held = present(sample, names).toArrow()  # about SAMPLE_ROWS short rows
     q = posteriors(held, voters, len(names))
+    free_worker()  # the matrix of votes was the driver's
     features = pa.chunked_array([held.column("found").combine_chunks().cast(pa.list_(pa.string()))])
     sides = [pa.table({"found": features, "y": pa.array(np.full(len(q), y)), "p": pa.array(p)}) for y, p in ((1.0, q), (0.0, 1 - q))]
     vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(names))], inputCol="found", outputCol="features", minTF=1.0)
