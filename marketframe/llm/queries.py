@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from marketframe.llm import bpe, decontamination, language, licenses, neighbours, pii, setjoin, sharding, tokenfile, toxicity
+from marketframe.llm import bpe, collocations, decontamination, infilling, language, licenses, mixing, neighbours, pii, setjoin, sharding, tokenfile, toxicity
 from marketframe.llm.common import table
 
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": lambda spark, d: language.digest(table(spark, d, "documents")),
         "op9_licenses": lambda spark, d: licenses.digest(table(spark, d, "documents")),
         "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op11_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
+        "op12_infilling": lambda spark, d: infilling.digest(table(spark, d, "documents")),
+        "op13_collocations": lambda spark, d: collocations.digest(table(spark, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.ORACLE,
         "op5_jaccard_join": setjoin.ORACLE,
+        "op12_infilling": infilling.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }
