@@ -12,10 +12,10 @@ table is first reduced to cells (source, size class); a class is one size below
 that the sizes that share their ten leading bits. A class's documents share the rate of its mean size. Where a source
 must shrink, lambda is negative and long documents go first; where it must grow, they are repeated first.
 
-Rates become copies by error diffusion: from the largest class down, the number of documents that get
-one copy more is rounded so that the words missed so far are made up for by the classes below. Which
-documents of a class get it is decided by a hash of doc_id and text. A cell of many documents is ranked
-in SALTS parts by that hash.
+Rates become copies by error diffusion: from the largest class down, a cell's number of copies is rounded
+so that the words missed so far are made up for by the classes below. Copies are dealt evenly; which
+documents get one more is decided by a hash of doc_id and text. Every cell is ranked in SALTS parts by
+that hash, so that one of many documents is no single task.
 
 Everything is DataFrame functions. One row for each source goes through the driver (names, sizes, targets,
 lambda: what a user lists in a mixture); a row for each cell of one source, 1,024 and 512 for each doubling
@@ -142,12 +142,11 @@ def rounded(cells: DataFrame, found: DataFrame, most: float) -> DataFrame:
     listed = every.groupBy("__s").agg(F.sort_array(F.collect_list(one), asc=False).alias("cells"), F.first("size").alias("size"), F.first("target").alias("target"), F.sum(F.col("__words") * F.col("rate")).alias("words"))
 
     def diffuse(acc, r):
-        want = r["n"] * (r["rate"] - F.floor(r["rate"]))
-        extra = F.when(r["x"] > 0, F.least(r["n"], F.greatest(F.lit(0.0), F.floor(want + acc["carry"] / r["x"] + 0.5).cast("double")))).otherwise(0.0)
-        cell = F.struct(r["c"].alias("c"), r["rate"].alias("rate"), F.floor(r["rate"]).cast("int").alias("copies"), extra.cast("bigint").alias("extra"))
-        # only what can have copies to spare or to give takes part
-        extra_words = (want - extra) * r["x"]
-        return F.struct((acc["carry"] + extra_words).alias("carry"), F.concat(acc["out"], F.array(cell)).alias("out"))
+        want = r["n"] * r["rate"]
+        made = F.when(r["x"] > 0, F.least(r["n"] * most, F.greatest(F.lit(0.0), F.floor(want + acc["carry"] / r["x"] + 0.5).cast("double")))).otherwise(want)
+        each = F.floor(made / r["n"])
+        cell = F.struct(r["c"].alias("c"), r["rate"].alias("rate"), each.cast("int").alias("copies"), (made - each * r["n"]).cast("bigint").alias("extra"))
+        return F.struct((acc["carry"] + (want - made) * r["x"]).alias("carry"), F.concat(acc["out"], F.array(cell)).alias("out"))
 
     start = F.struct((F.col("target") - F.col("words")).alias("carry"), F.array().cast("array<struct<c:bigint,rate:double,copies:int,extra:bigint>>").alias("out"))
     return listed.select("__s", F.col("size").alias("source_size"), "target", F.inline(F.aggregate("cells", start, diffuse, lambda acc: acc["out"]))).withColumnRenamed("c", "__c")
