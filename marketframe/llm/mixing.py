@@ -118,7 +118,8 @@ def _rate(lam: Column, x: Column, most: float) -> Column:
 def rates(cells: DataFrame, sources: list[dict], most: float) -> DataFrame:
     """A row per source: its size, target and, scaled by its mean size, the multiplier of its rates."""
     duals = {r["s"]: Dual(r["size"], r["target"], most) for r in sources}
-    finite = lambda lam: None if math.isinf(lam) else lam
+    # sums of doubles come in any order: what they leave in the last digits is cut off, so that reruns agree
+    finite = lambda lam: None if math.isinf(lam) else float(f"{lam:.9g}")
     for _ in range(STEPS):
         open_ = [{"s": s, "lam": d.lam, "scale": r["scale"]} for r in sources for s, d in [(r["s"], duals[r["s"]])] if not d.done]
         if not open_:
@@ -139,7 +140,7 @@ def rounded(cells: DataFrame, found: DataFrame, most: float) -> DataFrame:
     x = F.col("__words") / F.col("__n")
     every = cells.join(F.broadcast(found), F.col("__s") == F.col("s")).withColumn("rate", _rate(F.col("lam"), x / F.col("scale"), most))  # a row per source
     one = F.struct(F.col("__c").alias("c"), F.col("__n").cast("double").alias("n"), x.alias("x"), F.col("rate").alias("rate"))
-    listed = every.groupBy("__s").agg(F.sort_array(F.collect_list(one), asc=False).alias("cells"), F.first("size").alias("size"), F.first("target").alias("target"), F.sum(F.col("__words") * F.col("rate")).alias("words"))
+    listed = every.groupBy("__s").agg(F.sort_array(F.collect_list(one), asc=False).alias("cells"), F.first("size").alias("size"), F.first("target").alias("target"), F.round(F.sum(F.col("__words") * F.col("rate")), 2).alias("words"))
 
     def diffuse(acc, r):
         want = r["n"] * r["rate"]
