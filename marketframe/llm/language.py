@@ -37,7 +37,7 @@ MAX_GRAM = 4
 #: Words a worker remembers the scores of before it starts anew.
 MEMO_WORDS = 200_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")  # words, some of them with signs like a raised two, which words_of() takes out
 
 
 def level(sizes: list[int], total: int) -> int:
@@ -68,6 +68,16 @@ def log_shares(counts: np.ndarray) -> np.ndarray:
     return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
+def words_of(text: str | None) -> Counter:
+    """How often each word, a run of letters, stands in a text, in lower case: as the training counts them."""
+    counts = Counter(_WORD.findall(text.lower())) if text else Counter()
+    for w in [w for w in counts if not w.isalpha()]:
+        n = counts.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            counts[part] += n
+    return counts
+
+
 class Model:
     """Log frequencies by language of words, by their hash, and of n-grams."""
 
@@ -132,12 +142,12 @@ class Scorer:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
             self.used = 0
-        counts = [Counter(_WORD.findall(t.lower())) if t else {} for t in texts]
+        counts = [words_of(t) for t in texts]
         if self.model.langs:
             self._learn([w for w in dict.fromkeys(w for c in counts for w in c) if w not in self.memo])
         langs, scores = [], []
         for c in counts:
-            if not self.model.langs or not any(map(str.isalpha, c)):
+            if not self.model.langs or not c:
                 langs.append("und"), scores.append(0.0)
                 continue
             total = np.fromiter(c.values(), dtype=np.float64, count=len(c)) @ self.logs[[self.memo[w] for w in c]]

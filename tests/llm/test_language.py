@@ -58,3 +58,50 @@ def test_level():
     assert language.level([5, 100, 3], 20) == 12
     assert language.level([5, 100, 3], 200) == 100
     assert language.level([], 20) == 1
+
+
+def brute_predictions(model, texts):
+    """Languages word by word and letter by letter, in plain Python."""
+    word = dict(zip(model.hashes.tolist(), model.word_logs.astype(float)))
+    gram = {g: model.gram_logs[i].astype(float) for g, i in model.grams.items()}
+    out = []
+    for text in texts:
+        ws = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        if not ws or not model.langs:
+            out.append("und")
+            continue
+        total = np.zeros(len(model.langs))
+        for w in ws:
+            h = xxhash.xxh64_intdigest(w, 42)
+            if h in word:
+                total += word[h]
+                continue
+            p, i, own, held = f" {w} ", 0, np.zeros(len(model.langs)), False
+            while i < len(p) - 1:
+                n = next((n for n in range(min(language.MAX_GRAM, len(p) - i), 0, -1) if p[i : i + n] in gram), 1)
+                if p[i : i + n] in gram:
+                    own, held = own + gram[p[i : i + n]], True
+                i += max(1, n - 1)
+            total += np.clip(own, -6, 6) if held else 0
+        out.append(model.langs[int(np.argmax(np.round(total, 3)))] if np.ptp(np.round(total, 3)) else None)
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(docs)
+    odd = [None, "", "12 ²³ ½", "m²", "H₂O", "x½", "CO₂ H₂O", "²house²", "the²and", "ǅ ʰ ª", "日本", "a_b", "the of́ and", "the " * 20_000]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + i, t) for i, t in enumerate(odd)]
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for (i, text), want in zip(rows, brute_predictions(model, [t for _, t in rows])):
+        assert (got[i].lang_pred == "und") == (not any(c.isalpha() for c in text or "")), repr(text)[:80]
+        assert want is None or got[i].lang_pred == want, repr(text)[:80]
+        assert 0 <= got[i].score <= 1
+
+
+def test_letters_beside_signs_are_words(spark):
+    rows = [(i, "my house is old" if i % 2 else "mein haus ist alt", "en" if i % 2 else "de") for i in range(60)]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert language.words_of("House² h₂o ½ 7") == Counter({"house": 1, "h": 1, "o": 1})
+    assert language.Scorer(model).texts(["house²", "²haus", "m²", "½ 7²"])[0][:2] == ["en", "de"]
+    assert language.Scorer(model).texts(["m²", "½ 7²"])[0][1] == "und" != language.Scorer(model).texts(["m²"])[0][0]
