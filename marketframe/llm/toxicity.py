@@ -51,6 +51,7 @@ LEVELS = 6
 ROUNDS = 5
 REGULAR = 1e-4  # of the linear model
 MEMO_WORDS = 200_000
+PAIRS = 2_000_000  # of voters, before they are counted
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -103,49 +104,84 @@ def count_features(sample: DataFrame) -> DataFrame:
 
 
 class LabelModel:
-    """Latent classes of texts by the votes of families of correlated voters."""
+    """Latent classes of texts by the votes of families of correlated voters. Only votes that fire are held."""
 
-    def __init__(self, votes: np.ndarray):
-        """votes: (texts, voters) of 0 and 1."""
-        self.votes = votes.astype(np.float32)
+    def __init__(self, text: np.ndarray, voter: np.ndarray, n: int, voters: int):
+        """Votes: numbers of texts (ascending, below n) and of the voters (below `voters`) that fire in them."""
+        self.text, self.voter, self.n, self.voters = text, voter, n, voters
         self.family = self._families()
-        self.sums = np.stack([self.votes[:, self.family == f].sum(axis=1) for f in range(self.family.max() + 1)], axis=1).astype(int)
-        self.levels = np.minimum(self.sums, LEVELS)
+        families = int(self.family.max()) + 1
+        held, sums = np.unique(text * families + self.family[voter], return_counts=True)
+        #: the families that vote in a text, and with which level
+        self.of, self.by, self.level = held // families, held % families, np.minimum(sums, LEVELS)
+        first = np.lexsort((self.by, -sums, self.of))
+        texts, at = np.unique(self.of[first], return_index=True)
+        self.strongest = np.full(n, -1)
+        self.strongest[texts] = self.by[first][at]
         self.rates: np.ndarray | None = None
 
+    def _together(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pairs of voters that fire in one text, and in how many."""
+        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def reduce(codes, counts):
+            new, at = np.unique(np.concatenate([codes, *held]), return_inverse=True)
+            weights = np.concatenate((counts, np.ones(sum(map(len, held)), np.int64)))
+            held.clear()
+            return new, np.bincount(at, weights, len(new)).astype(np.int64)
+
+        for d in range(1, len(self.text)):
+            same = self.text[d:] == self.text[:-d]
+            if not same.any():
+                break
+            a, b = self.voter[:-d][same], self.voter[d:][same]
+            held.append(np.minimum(a, b) * self.voters + np.maximum(a, b))
+            if sum(map(len, held)) > PAIRS:
+                codes, counts = reduce(codes, counts)
+        return reduce(codes, counts)
+
     def _families(self) -> np.ndarray:
-        """A number per voter: connected components of voters whose votes correlate over all texts."""
-        v = self.votes
-        mean = v.mean(axis=0, dtype=np.float64)
-        cov = (v.T @ v) / len(v) - np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        near = cov / np.outer(sd, sd) > CORRELATED
-        np.fill_diagonal(near, True)
-        label = np.arange(len(mean))
+        """A number per voter: connected components of voters whose votes correlate over all texts. Voters
+        that fire in no text together can't."""
+        mean = np.bincount(self.voter, minlength=self.voters) / self.n
+        sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+        codes, counts = self._together()
+        a, b = codes // self.voters, codes % self.voters
+        near = (counts / self.n - mean[a] * mean[b]) / (sd[a] * sd[b]) > CORRELATED
+        a, b, label = a[near], b[near], np.arange(self.voters)
         while True:
-            new = np.where(near, label, len(label)).min(axis=1)
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
             if (new == label).all():
                 return np.unique(label, return_inverse=True)[1]
             label = new
 
     def fit(self, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
         """The posteriors of the toxic classes together; `start` are the first ones."""
-        n, families = self.sums.shape
-        strongest, silent = self.sums.argmax(axis=1), self.sums.max(axis=1) == 0
-        share = np.bincount(strongest[~silent], start[~silent], families) + 1.0
-        q = np.zeros((n, families + 1))
+        families, levels = int(self.family.max()) + 1, LEVELS + 1
+        cell = self.by * levels + self.level  # a family's level 0, silence, is what is left of its texts
+        voted = self.strongest >= 0
+        share = np.bincount(self.strongest[voted], start[voted], families) + 1.0
+        q = np.zeros((self.n, families + 1))
         q[:, 0] = 1 - start
-        q[~silent, 1 + strongest[~silent]] = start[~silent]
-        q[silent, 1:] = np.outer(start[silent], share / share.sum())
+        q[voted, 1 + self.strongest[voted]] = start[voted]
+        q[~voted, 1:] = np.outer(start[~voted], share / share.sum())
         for _ in range(rounds):
-            odds = np.tile(np.log((q.sum(axis=0) + 1) / (n + families + 1)), (n, 1))
-            for f in range(families):
-                held = np.stack([np.bincount(self.levels[:, f], q[:, k], LEVELS + 1) + 0.1 for k in range(families + 1)])
-                odds += np.log(held / held.sum(axis=1, keepdims=True))[:, self.levels[:, f]].T
+            total = q.sum(axis=0)
+            odds = np.empty_like(q)
+            for k in range(families + 1):
+                held = np.bincount(cell, q[self.of, k], families * levels).reshape(families, levels)
+                held[:, 0] = total[k] - held.sum(axis=1)
+                logs = np.log(held + 0.1)
+                logs -= np.log((held + 0.1).sum(axis=1, keepdims=True))
+                odds[:, k] = np.log((total[k] + 1) / (self.n + families + 1)) + logs[:, 0].sum()
+                odds[:, k] += np.bincount(self.of, (logs - logs[:, :1]).reshape(-1)[cell], self.n)
             q = np.exp(odds - odds.max(axis=1, keepdims=True))
             q /= q.sum(axis=1, keepdims=True)
         toxic = 1 - q[:, 0]
-        self.rates = np.stack([(w.astype(np.float32) @ self.votes + 0.5) / (w.sum() + 1) for w in (toxic, 1 - toxic)])
+        self.rates = np.stack([(np.bincount(self.voter, w[self.text], self.voters) + 0.5) / (w.sum() + 1) for w in (toxic, 1 - toxic)])
         return toxic
 
 
@@ -205,10 +241,11 @@ def leaning(sample: DataFrame, all1: int, all0: int) -> list:
 def posteriors(held: pa.Table, voters: np.ndarray, n_features: int) -> np.ndarray:
     """The label model's posteriors of the rows of present(); `voters` are the numbers of features that vote."""
     y, found = held.column("y").to_numpy(), held.column("found").combine_chunks()
-    of = np.repeat(np.arange(len(y)), np.asarray(found.value_lengths()))
-    votes = np.zeros((len(y), n_features), dtype=np.uint8)
-    votes[of, found.flatten().to_numpy()] = 1
-    return LabelModel(votes[:, voters]).fit(np.where(y == 1, 0.95, 0.05))
+    number = np.full(n_features, -1)
+    number[voters] = np.arange(len(voters))
+    voter = number[found.flatten().to_numpy()]
+    text = np.repeat(np.arange(len(y)), np.asarray(found.value_lengths()))
+    return LabelModel(text[voter >= 0], voter[voter >= 0], len(y), len(voters)).fit(np.where(y == 1, 0.95, 0.05))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier:
@@ -225,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
     names = [r["feature"] for r in found]
     held = present(sample, names).toArrow()  # about SAMPLE_ROWS short rows
     q = posteriors(held, voters, len(names))
-    free_worker()  # the matrix of votes was the driver's
+    free_worker()  # the votes were the driver's
     features = pa.chunked_array([held.column("found").combine_chunks().cast(pa.list_(pa.string()))])
     sides = [pa.table({"found": features, "y": pa.array(np.full(len(q), y)), "p": pa.array(p)}) for y, p in ((1.0, q), (0.0, 1 - q))]
     vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(names))], inputCol="found", outputCol="features", minTF=1.0)

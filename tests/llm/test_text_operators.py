@@ -185,7 +185,7 @@ def test_label_model_judges_by_votes_alone():
     votes = np.stack([fires(0.7, 0.02) & (other == (k >= 6)) for k in range(12)], axis=1)
     votes = np.column_stack([votes, votes[:, 0]])  # a copied voter
     wrong = np.where(rng.random(n) < 0.1, ~y, y)  # marks of which a tenth is wrong
-    model = toxicity.LabelModel(votes)
+    model = toxicity.LabelModel(*np.nonzero(votes), *votes.shape)
     assert model.family[12] == model.family[0] and len(set(model.family)) == 2
     q = model.fit(np.where(wrong, 0.95, 0.05))
     assert ((q > 0.5) == y).mean() > 0.985  # nearer to the truth than the marks that it started from
