@@ -258,35 +258,62 @@ def bitmap(found: DataFrame) -> Bitmap:
     return Bitmap(out)
 
 
-def exact(texts: DataFrame, most: int, alive: dict[int, Bitmap]) -> DataFrame:
-    """lang, k (words), phrase and f, summed by task so far, of the n-grams that `alive` lets through; with
-    k = 0 the number of words."""
+def exact(texts: DataFrame, most: int, least: int, buckets: int, alive: dict[int, Bitmap]) -> DataFrame:
+    """lang, k (words), phrase and f of the n-grams that `alive` lets through and that stand `least` times or
+    more; with k = 0 the number of words. A task's counts go out by lang and hash partition, as arrays: so few
+    rows are shuffled, and what is merged at a time is one partition's part of one lang."""
     shared = texts.sparkSession.sparkContext.broadcast(alive)  # bitmaps of fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
-        hashes, counts = Hashes(), Counter()
-
-        def flush() -> pa.RecordBatch:
-            rows = list(counts)
-            f = list(counts.values())
+        hashes, counts, n = Hashes(), {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                dealt: list[tuple[list, list]] = [([], []) for _ in range(buckets)]
+                for phrase, f in own.items():
+                    names, numbers = dealt[xxhash.xxh3_64_intdigest(phrase) & (buckets - 1)]
+                    names.append(phrase.decode()), numbers.append(f)
+                full = [b for b in range(buckets) if dealt[b][0]]
+                columns = [pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array([dealt[b][0] for b in full], pa.list_(pa.string())), pa.array([dealt[b][1] for b in full], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "phrases", "f"])
             counts.clear()
-            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].decode() for r in rows], pa.string()), pa.array(f, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f"])
 
         for lang, words in by_lang(batches):
-            w = hashes.of(words)
-            counts[(lang, 0, b"")] += int(np.count_nonzero(w))
-            for n, at, h in grams(w, lang, 1, most, shared.value):
+            w, own = hashes.of(words), counts.setdefault(lang, Counter())
+            own[b""] += int(np.count_nonzero(w))
+            for k, at, h in grams(w, lang, 1, most, shared.value):
                 _, first, f = np.unique(h, return_index=True, return_counts=True)
                 for i, c in zip(at[first].tolist(), f.tolist()):
-                    counts[(lang, n, b" ".join(words[i : i + n]))] += c
-            if len(counts) > PHRASES:
-                yield flush()
+                    own[b" ".join(words[i : i + k])] += c
+            if sum(map(len, counts.values())) > PHRASES:
+                yield from flush()
+        yield from flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
+        key, counts = None, Counter()
+
+        def done() -> pa.RecordBatch:
+            rows = [(p, f) for p, f in counts.items() if f >= least or not p]
+            counts.clear()
+            columns = [pa.array([key[0]] * len(rows), pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p, _ in rows], pa.int32()), pa.array([p for p, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f"])
+
+        for batch in batches:
+            for lang, bucket, phrases, f in zip(*batch.columns):
+                new = (lang.as_py(), bucket.as_py())
+                if new != key:
+                    if counts:
+                        yield done()
+                    key = new
+                for p, c in zip(phrases.as_py(), f.as_py()):
+                    counts[p] += c
         if counts:
-            yield flush()
+            yield done()
 
-    return map_arrow(texts, run, "lang string, k int, phrase string, f bigint")
+    found = map_arrow(texts, count, "lang string, bucket int, phrases array<string>, f array<bigint>")
+    return map_arrow(found.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket"), merge, "lang string, k int, phrase string, f bigint")
 
 
 def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -300,8 +327,7 @@ def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame
         if low <= most:
             held = bitmap(survivors(summaries(texts, low, min(high, most), buckets, alive), buckets, least))
             alive = {**alive, **{n: held for n in range(low, min(high, most) + 1)}}
-    counted = exact(texts, most, alive).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
-    return settle(counted.filter((F.col("k") == 0) | (F.col("f") >= least)), "frequent")
+    return settle(exact(texts, most, least, buckets, alive), "frequent")
 
 
 def _whole(x: Column) -> Column:
