@@ -25,19 +25,22 @@ from pyspark.sql import functions as F
 from marketframe.llm.common import alnum_words, settle
 
 WINDOW = 10
-#: Most windows that are sent to every executor (about 200 bytes each).
+#: Most windows that are sent to every executor (about 200 bytes each; items stay behind).
 BROADCAST_WINDOWS = 200_000
-#: Most prefix words (about 40 bytes each) that are sent to every executor to leave other words out.
+#: Most prefix words, or pairs of a window and an item (about 40 bytes each), that are sent to every executor.
 BROADCAST_TOKENS = 1_000_000
+SALTS = 16
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """win array<string> and the item_ids it stands in, one row for each distinct window."""
+def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """win array<string> and its number wid, a row for each distinct window; and a row (wid, item_id) for
+    each item that it stands in. Only windows take part in the search, however many items share one."""
     words = items.select("item_id", alnum_words(F.col("text")).alias("ws")).filter("size(ws) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
-    wins = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("ws", i, window))).alias("win"))
-    return wins.groupBy("win").agg(F.collect_set("item_id").alias("items"))
+    wins = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("ws", i, window))).alias("win")).distinct()
+    windows = settle(wins.select("win").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    return windows, settle(wins.join(windows, "win").select("wid", "item_id"), "owners")
 
 
 def prefixes(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
@@ -47,12 +50,11 @@ def prefixes(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     words = docs.select(F.explode(alnum_words(F.col("text"))).alias("token"))
     counts = words.join(F.broadcast(vocabulary) if small else vocabulary, "token").groupBy("token").count()
     ranked = at.join(F.broadcast(counts) if small else counts, "token", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "off")).alias("p"))
-    return windows.join(ranked.filter("p.n > 0"), "win").select("win", "items", F.size("win").alias("wn"), "p.token", "p.off")
+    return windows.join(ranked.filter("p.n > 0"), "win").select("win", "wid", F.size("win").alias("wn"), "p.token", "p.off")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, __h (hash of the text), start, wn and items of every place of a window."""
-    windows = settle(item_windows(items, window), "windows")
+def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, __h (hash of the text), start, wn and wid of every place of a window."""
     small = windows.count() <= BROADCAST_WINDOWS
     prefix = settle(prefixes(docs, windows, small), "prefixes")
     words = docs.select("doc_id", F.xxhash64("text").alias("__h"), alnum_words(F.col("text")).alias("__ws"))
@@ -66,29 +68,37 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
         tokens = settle(prefix.select("token").distinct(), "prefix-words")
         if tokens.count() <= BROADCAST_TOKENS:
             each = each.join(F.broadcast(tokens), "token", "left_semi")
+        # a common word, where no window's rarest word is rarer, is dealt over SALTS keys
+        prefix = prefix.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         around = F.slice("__ws", F.greatest(F.col("__pos") - (window - 1), F.lit(0)) + 1, 2 * window - 1)
-        each = each.select("doc_id", "__h", "__n", "__pos", "token", around.alias("__ctx"))
+        each = each.select("doc_id", "__h", "__n", "__pos", "token", around.alias("__ctx"), F.pmod(F.xxhash64("__h", "__pos"), F.lit(SALTS)).cast("int").alias("__part"))
         first, context, n = F.col("__pos") - F.col("off"), F.col("__ctx"), F.col("__n")
         shift = F.least(F.col("__pos"), F.lit(window - 1)) - F.col("off")
     inside = (first >= 0) & (first + F.col("wn") <= n)
     equal = F.slice(context, F.greatest(shift, F.lit(0)) + 1, F.col("wn")) == F.col("win")
-    found = each.join(prefix, (each["token"] == prefix["token"]) & inside & equal)
-    return found.select("doc_id", "__h", first.alias("start"), "wn", "items")
+    on = (each["token"] == prefix["token"]) & inside & equal
+    found = each.join(prefix, on if small else on & (each["__part"] == prefix["__salt"]))
+    return found.select("doc_id", "__h", first.alias("start"), "wn", "wid")
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, __h, n_words, n_hit (words inside an occurrence), item_ids (sorted as strings)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     items = items.select("item_id", F.col("text").cast("string").alias("text"))
-    found = occurrences(docs, items, window)
-    per = found.groupBy("doc_id", "__h").agg(F.array_sort(F.collect_set(F.struct("start", "wn"))).alias("spans"), F.collect_set("items").alias("items"))
+    windows, owners = item_windows(items, window)
+    found = settle(occurrences(docs, windows, window), "hits")
+    per = found.groupBy("doc_id", "__h").agg(F.array_sort(F.collect_set(F.struct("start", "wn"))).alias("spans"))
+    owners = F.broadcast(owners) if owners.count() <= BROADCAST_TOKENS else owners
+    ids = found.select("doc_id", "__h", "wid").distinct().join(owners, "wid").groupBy("doc_id", "__h").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
 
     def add(acc, s):  # spans come by start: each adds what lies behind the end so far
         end = s["start"] + s["wn"]
         return F.struct((acc["n"] + F.greatest(F.lit(0), end - F.greatest(s["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], end).alias("end"))
 
-    per = per.select("doc_id", "__h", F.aggregate("spans", zero, add)["n"].alias("n_hit"), F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda i: i.cast("string"))).alias("item_ids"))
+    per = per.select("doc_id", "__h", F.aggregate("spans", zero, add)["n"].alias("n_hit"))
+    both = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__h") == F.col("b.__h"))
+    per = per.alias("a").join(ids.alias("b"), both).select("a.doc_id", "a.__h", "n_hit", "item_ids")
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD))
     every = docs.select("doc_id", F.xxhash64("text").alias("__h"), n_words.alias("n_words")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__h") == F.col("p.__h"))
@@ -104,7 +114,8 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` that hold no window of an item, with all their columns."""
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    hit = occurrences(text, items.select("item_id", F.col("text").cast("string").alias("text")), window).select(F.col("doc_id").alias("__d"), F.col("__h").alias("__x")).distinct()
+    windows, _ = item_windows(items.select("item_id", F.col("text").cast("string").alias("text")), window)
+    hit = occurrences(text, windows, window).select(F.col("doc_id").alias("__d"), F.col("__h").alias("__x")).distinct()
     same = docs["doc_id"].eqNullSafe(hit["__d"]) & (F.xxhash64(docs["text"].cast("string")) == hit["__x"])
     return docs.join(hit, same, "left_anti")
 
