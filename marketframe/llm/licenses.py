@@ -3,11 +3,14 @@
 All rolling word k-grams of the documents are joined in Spark, by hash and by their words, to the
 places that they have in license templates (a small table, broadcast within BROADCAST_PLACES rows and
 joined by shuffle beyond). A hit votes for the diagonal document place minus template place; votes are
-counted by (document, template, diagonal), neighbouring diagonals are merged (an inserted or missing
-passage shifts the diagonal by its length: up to `gap` words, or a quarter of a long template), and a
-merged span is verified: the template words under its equal k-grams must make up a share of the
-template, `cover` for templates of LONG words or more and `short_cover` for shorter ones, of which
-one is easily another with a word changed.
+counted by (document, template, diagonal), and neighbouring diagonals are merged (an inserted or missing
+passage shifts the diagonal by its length: up to `gap` words, or a quarter of a long template). Runs whose
+votes cover enough of the template are candidates, and their spans are verified in place: of the votes in a
+stretch of the document no longer than the template and one such shift, those of the best chain count,
+which goes forward in document and template alike, with no more foreign words than such a shift. The template
+words under its k-grams must make up a share of the template, `cover` for templates of LONG words or more and `short_cover` for shorter ones, of which
+one is easily another with a word changed. So template words in another order, or strewn over a document,
+are no span.
 
 Templates are a table (label, text), by default the wording in license_texts. Headers of related
 licenses hold most of each other's words, so a document of one may get the labels of both.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,21 +95,69 @@ def base_places(docs: DataFrame) -> DataFrame:
     return map_arrow(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __h bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>")
 
 
+def chain(pos: np.ndarray, tpos: np.ndarray, k: int) -> tuple[int, int]:
+    """Template words that the best chain of k-gram hits covers, and its last place in the document. Hits
+    stand by pos; a chain goes on along a diagonal, or to another one behind all words it has used."""
+    best, last = np.full(len(pos), k), 0
+    for i in range(1, len(pos)):
+        step, far = tpos[i] - tpos[:i], pos[i] - pos[:i]
+        before = (step > 0) & ((step == far) | ((step >= k) & (far >= k)))
+        if before.any():
+            best[i] = max(k, int((best[:i] + np.minimum(k, step))[before].max()))
+        if best[i] > best[last]:
+            last = i
+    return int(best[last]), int(pos[last])
+
+
+def verified(pos: np.ndarray, tpos: np.ndarray, length: int, k: int, reach: int, least: float) -> list[tuple[int, int, float]]:
+    """(first word, end word, coverage) of the stretches, of at most `length` + `reach` words and one behind
+    the other, in which the template stands with `reach` foreign words at most."""
+    order = np.lexsort((tpos, pos))
+    pos, tpos = pos[order], tpos[order]
+    out, free = [], -1
+    for first in np.unique(pos).tolist():
+        if first < free:
+            continue
+        i, j = np.searchsorted(pos, (first, first + length + reach - k + 1))
+        if len(np.unique(tpos[i:j, None] + np.arange(k))) < least * length:
+            continue  # whatever the order
+        words, last = chain(pos[i:j], tpos[i:j], k)
+        if words >= least * length and last + k - first - words <= reach:
+            out.append((first, last + k, words / length))
+            free = last + k
+    return out
+
+
 def spans(docs: DataFrame, places: DataFrame, k: int = K, gap: int = GAP, cover: float = COVER, short_cover: float = SHORT_COVER) -> DataFrame:
     """doc_id, __h, label, first word, end word and coverage of every verified span."""
     grams = with_grams(docs.select("doc_id", F.xxhash64("text").alias("__h"), alnum_words(F.col("text").cast("string")).alias("ws")), k)
     small = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places
-    votes = grams.join(small, ["hash", "gram"])
+    votes = grams.join(small, ["hash", "gram"]).dropDuplicates(["doc_id", "__h", "template", "pos", "tpos"])
     key = ["doc_id", "__h", "template", "label", "length"]
-    lines = votes.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("tposs"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    lines = votes.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_list(F.struct("pos", "tpos")).alias("hits"))
     w = Window.partitionBy("doc_id", "__h", "template").orderBy("diagonal")
     reach = F.greatest(F.lit(gap), F.floor(F.col("length") / 4))
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > reach, F.lit(True)).cast("int")
     merged = lines.withColumn("__far", far).withColumn("__run", F.sum("__far").over(w))
-    merged = merged.groupBy(*key, "__run").agg(F.flatten(F.collect_list("tposs")).alias("tposs"), F.min("first").alias("first"), (F.max("last") + k).alias("end"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("tposs", lambda p: F.sequence(p, p + k - 1)))))
+    merged = merged.groupBy(*key, "__run").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p["tpos"], p["tpos"] + k - 1)))))
     least = F.when(F.col("length") >= LONG, cover).otherwise(short_cover)
-    return merged.withColumn("coverage", covered / F.col("length")).filter(F.col("coverage") >= least).select("doc_id", "__h", "label", "first", "end", "coverage")
+    some = merged.filter(covered / F.col("length") >= least)
+    some = some.select("doc_id", "__h", "label", F.col("length").cast("int").alias("length"), reach.cast("int").alias("reach"), least.alias("least"), F.col("hits.pos").alias("pos"), F.col("hits.tpos").alias("tpos"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, (length, near, share, pos, tpos) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("length", "reach", "least", "pos", "tpos")))):
+                one = verified(np.asarray(pos, np.int64), np.asarray(tpos, np.int64), length, k, near, share)
+                at += [i] * len(one)
+                found += one
+            rows = batch.select(["doc_id", "__h", "label"]).take(pa.array(at, pa.int32()))
+            first, end, share = zip(*found) if found else ((), (), ())
+            columns = [pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(share, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=["doc_id", "__h", "label", "first", "end", "coverage"])
+
+    return map_arrow(some, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __h bigint, label string, first bigint, end bigint, coverage double")
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, k: int = K, gap: int = GAP, cover: float = COVER, short_cover: float = SHORT_COVER) -> DataFrame:

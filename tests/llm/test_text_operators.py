@@ -73,30 +73,61 @@ def test_decontamination_empty(spark):
 
 # ---- licenses ---------------------------------------------------------------------------------
 
+def aligned(w, t, k):
+    """The most words of t in one alignment with w of equal runs of k words at least, and the least
+    number of words of w that does it."""
+    best = [[0] * (len(t) + 1) for _ in range(len(w) + 1)]
+    run = [[0] * (len(t) + 1) for _ in range(len(w) + 1)]
+    for i in range(1, len(w) + 1):
+        for j in range(1, len(t) + 1):
+            run[i][j] = run[i - 1][j - 1] + 1 if w[i - 1] == t[j - 1] else 0
+            best[i][j] = max([best[i - 1][j], best[i][j - 1], *(best[i - m][j - m] + m for m in range(k, run[i][j] + 1))])
+    most = best[-1][-1]
+    return most, min(i for i in range(len(w) + 1) if best[i][-1] == most)
+
+
 def brute_labels(text, templates, k=4):
-    """Labels and largest coverage by comparing all places with all places."""
+    """Labels and largest coverage by aligning stretches of the text with every template."""
     w, out, best = alnum(text), set(), 0.0
     for label, wording in templates:
         t = alnum(wording)
-        lines = {}
-        for i in range(len(w) - k + 1):
-            for j in range(len(t) - k + 1):
-                if w[i : i + k] == t[j : j + k]:
-                    lines.setdefault(i - j, set()).add(j)
-        runs, last = [], None
-        for d in sorted(lines):
-            if last is None or d - last > max(licenses.GAP, len(t) // 4):
-                runs.append(set())
-            runs[-1] |= {j + n for j in lines[d] for n in range(k)}
-            last = d
-        for r in runs:
-            share = len(r) / len(t)
-            if share >= (licenses.COVER if len(t) >= licenses.LONG else licenses.SHORT_COVER):
+        least = (licenses.COVER if len(t) >= licenses.LONG else licenses.SHORT_COVER) * len(t)
+        grams = {}
+        for j in range(len(t) - k + 1):
+            grams.setdefault(tuple(t[j : j + k]), []).append(j)
+        free = 0
+        for i in range(len(w)):
+            if i < free or tuple(w[i : i + k]) not in grams:
+                continue
+            part = w[i : i + len(t) + max(licenses.GAP, len(t) // 4)]
+            if len({j + n for x in range(len(part) - k + 1) for j in grams.get(tuple(part[x : x + k]), []) for n in range(k)}) < least:
+                continue
+            most, end = aligned(part, t, k)
+            if most >= least and end - most <= max(licenses.GAP, len(t) // 4):
                 out.add(label)
-                best = max(best, share)
+                best, free = max(best, most / len(t)), i + end
     return out, best
 
 
+def test_reordered_and_strewn_templates(spark):
+    """The words of a template in another order, or strewn over a text, are no license."""
+    paragraph = next(t for _, t in licenses.TEXTS if len(alnum(t)) >= 60)
+    w = paragraph.split()
+    pieces = [" ".join(w[i : i + 8]) for i in range(0, len(w), 8)]
+    foreign = " ".join(f"foreign{i}" for i in range(10))
+    edited = " ".join([*w[:20], "changed", *w[21:40], "two more", *w[40:]])
+    rows = ["intro " + paragraph, " ".join(reversed(pieces)), f" {foreign} ".join(pieces), "x " + edited, (paragraph + " and ") * 3, " ".join(f"{p} {foreign * 9}" for p in pieces * 6)]
+    got = {r.doc_id: (list(r.labels), r.score) for r in licenses.scan(frame(spark, list(enumerate(rows)))).collect()}
+    label = next(x for x, t in licenses.TEXTS if t == paragraph)
+    for i, text in enumerate(rows):
+        labels, best = brute_labels(text, licenses.TEXTS)
+        assert got[i] == (sorted(labels), pytest.approx(best))
+    assert [label in got[i][0] for i in range(6)] == [True, False, False, True, True, False]
+    places = licenses.positions(licenses.default_templates(spark))
+    three = licenses.spans(frame(spark, [(4, rows[4])]), places).filter(F.col("label") == label).collect()
+    assert sorted((r.first, r.end) for r in three) == [(n * (len(alnum(paragraph)) + 1), n * (len(alnum(paragraph)) + 1) + len(alnum(paragraph))) for n in range(3)]
+
+
 @pytest.mark.parametrize("broadcast", [licenses.BROADCAST_PLACES, 0])
 def test_licenses(spark, monkeypatch, broadcast):
     monkeypatch.setattr(licenses, "BROADCAST_PLACES", broadcast)
@@ -199,6 +230,24 @@ def test_label_model_judges_by_votes_alone():
 
 # ---- set join ---------------------------------------------------------------------------------
 
+def test_two_texts_of_one_doc_id(spark):
+    """Each text of a doc_id keeps its own links, also where both stand in one list."""
+    rng = random.Random(9)
+    for trial in range(3):
+        base = [f"w{trial}{i}" for i in range(60)]
+        near = lambda n: " ".join(x if i not in set(rng.sample(range(60), n)) else f"new{rng.random()}" for i, x in enumerate(base))
+        rows = [(1, " ".join(base)), (1, near(2)), (2, near(1)), (3, near(1)), (4, near(2)), (5, " ".join(base[:59])), (2, "nothing like it at all here")]
+        got = {(r.doc_id, r.component_id) for r in setjoin.join(frame(spark, rows), 2, 4, 5).collect()}
+        texts = dict(enumerate(t for _, t in rows))
+        root = groups(list(texts.items()), 2, 4, 5)
+        links = [{i for i in texts if root[i] == r} for r in set(root.values())]
+        ids = [{rows[i][0] for i in link} for link in links]
+        while any(a is not b and a & b for a in ids for b in ids):  # rows of one doc_id are one document
+            a, b = next((a, b) for a in ids for b in ids if a is not b and a & b)
+            ids = [x for x in ids if x is not a and x is not b] + [a | b]
+        assert got == {(d, min(x)) for x in ids for d in x}
+
+
 @pytest.mark.parametrize("k,num,den,rounds,limit", [(4, 17, 20, 2, None), (5, 4, 5, 1, 40), (2, 4, 5, 1, 12)])
 def test_set_join(spark, monkeypatch, k, num, den, rounds, limit):
     monkeypatch.setattr(setjoin, "PIVOT_ROUNDS", rounds)
