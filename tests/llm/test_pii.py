@@ -6,6 +6,8 @@ import random
 import re
 from collections import defaultdict
 
+import regex
+
 from marketframe.llm import pii
 
 PATTERNS = {
@@ -31,29 +33,28 @@ def base(text):
     return sorted(out)
 
 
-def brute(rows, support=pii.SUPPORT, threshold=pii.THRESHOLD):
-    """doc index -> spans of the whole method."""
+def brute(rows, support=pii.SUPPORT, threshold=pii.THRESHOLD, letters=pii.LETTERS):
+    """Spans of each document: a word counts beside a value wherever in a document both stand, and a
+    word that tells a value is a span in every document."""
     n_te, n_e, texts, n_t = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
     for i, x in enumerate(rows):
-        text = x or ""
-        for w in set(re.findall(r"[^\W\d_]{4,}", text.lower())):
+        words = set(regex.findall(rf"\p{{L}}{{{letters},}}", (x or "").lower()))
+        for w in words:
             n_t[w].add(i)
-        for s, o, e, v in base(x):
-            ent = (o, v.lower())
+        for ent in {(o, v.lower()) for _, o, _, v in base(x)}:
             n_e[ent].add(i)
-            for w in re.findall(r"[^\W\d_]{4,}", (text[max(0, s - 40) : s] + "\n" + text[e : e + 40]).lower()):
+            for w in words:
                 n_te[ent, w].add(i)
-                texts[ent, w].add(text)
-    n, told = len(rows), defaultdict(set)
+                texts[ent, w].add(x)
+    n, told = len(rows), set()
     for (ent, w), docs in n_te.items():
         info = math.log2(n / len(n_e[ent]))
-        if len(texts[ent, w]) >= support and info > 0 and n_t[w] and math.log2(n * len(docs) / (len(n_t[w]) * len(n_e[ent]))) / info >= threshold:
-            told[ent].add(w)
+        if len(texts[ent, w]) >= support and info > 0 and math.log2(n * len(docs) / (len(n_t[w]) * len(n_e[ent]))) / info >= threshold:
+            told.add(w)
     out = []
     for x in rows:
         b = base(x)
-        words = set().union(*(told[o, v.lower()] for _, o, _, v in b)) if b else set()
-        extra = [(m.start(), 4, m.end()) for m in re.finditer(r"(?<![^\W\d_])(?:" + "|".join(sorted(words)) + r")(?![^\W\d_])", x or "", re.I)] if words else []
+        extra = [(m.start(), 4, m.end()) for m in regex.finditer(r"(?<!\p{L})(?:" + "|".join(sorted(told)) + r")(?!\p{L})", x or "", regex.I)] if told else []
         extra = [t for t in extra if not any(s < t[2] and t[0] < e for s, _, e, _ in b)]
         out.append(sorted([(s, o, e) for s, o, e, _ in b] + extra))
     return out
@@ -70,6 +71,10 @@ def texts():
     out += ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(800)]
     for i in range(6):  # an entity told by a word of its own
         out.append(f"some filler{i} text reach Zorblatt under zed@example.org or zorblatt again {i}")
+    # a term far from the value, beside another value's words, and in documents without the value
+    far = " plain words between" * 5
+    out += [f"Quillbrane {i}{far} ask 10.20.30.40, or call +49 30 12345678" for i in range(8)]
+    out += ["quillbrane alone", "Quillbraner, quillbran", "QUILLBRANE_x ask zed@example.org"]
     return out + ["nothing here"] * 300
 
 
@@ -78,7 +83,7 @@ def test_spans(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").selectExpr("*", "'z' as value", "1 as start")
     got = {r.doc_id: r for r in pii.digest(df).collect()}
     want = brute(rows)
-    assert any("term" in said(w) for w in want)
+    assert any("term" in said(w) for w in want) and any(said(w).startswith("term") and "," not in said(w) for w in want)
     for i, x in enumerate(rows):
         b = base(x)
         assert [got[i][f"n_{k}"] for k in pii.KINDS[:4]] == [sum(o == k for _, o, _, _ in b) for k in range(4)], repr(x)[:200]
