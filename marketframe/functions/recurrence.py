@@ -102,8 +102,23 @@ class Mean:
         return out
 
 
+def sliding_sums(x: np.ndarray, n: int, first: int) -> np.ndarray:
+    """Sums of each n values in a row; `first` is the place of x[0] in its symbol.
+
+    Nothing is subtracted: places are cut into blocks of n, and a window is the end of one block and
+    the start of the next. So a sum knows only the values in its window, and as blocks
+    lie by place, it doesn't matter in which pieces the values come."""
+    front = first % n
+    blocks = np.concatenate((np.zeros(front), x, np.zeros(-(front + len(x)) % n))).reshape(-1, n)
+    with np.errstate(invalid="ignore"):  # infinities of both signs make a sum that is no number
+        starts = np.cumsum(blocks, axis=1).reshape(-1)
+        ends = np.cumsum(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+        j = np.arange(front, front + len(x) - n + 1)
+        return np.where(j % n == 0, ends[j], ends[j] + starts[j + n - 1])
+
+
 class Frame:
-    """The rolling aggregate of one column as its rows come by in pieces."""
+    """The rolling aggregate of one column as its rows come by in pieces; none where a value is missing."""
 
     def __init__(self, r: Rolling):
         self.r = r
@@ -115,18 +130,16 @@ class Frame:
         if len(held) >= n:
             if self.r.kind == "mean":
                 known = ~np.isnan(held)
-                full = self._sums(known.astype(float)) == n
-                out[n - 1 :] = np.where(full, self._sums(np.where(known, held, 0.0)) / n, np.nan)
+                seen = np.concatenate(([0], np.cumsum(known)))  # whole numbers: their differences are exact
+                sums = sliding_sums(np.where(known, held, 0.0), n, first - len(self.tail))
+                out[n - 1 :] = np.where(seen[n:] - seen[:-n] == n, sums / n, np.nan)
             else:
-                out[n - 1 :] = np.lib.stride_tricks.sliding_window_view(held, n).std(axis=1, ddof=1)
+                with np.errstate(invalid="ignore"):
+                    out[n - 1 :] = np.lib.stride_tricks.sliding_window_view(held, n).std(axis=1, ddof=1)
         out = out[len(self.tail) :]
         self.tail = held[max(0, len(held) - (n - 1)) :]
         return out
 
-    def _sums(self, x: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(x)))
-        return total[self.r.n :] - total[: -self.r.n]
-
 
 def ewm(df: DataFrame, outs: dict[str, Ewm | Rolling], order: str = "ts", in_order: bool = False) -> DataFrame:
     """`df` with the columns of `outs`; columns of those names give way to them.

@@ -38,45 +38,64 @@ def with_closed(df: DataFrame, days: DataFrame, ts: str = "ts") -> DataFrame:
     return out.withColumns({"is_weekend": weekend(F.col(ts)), "is_holiday": holiday, "closed": weekend(F.col(ts)) | holiday}).drop("__date", "__holiday")
 
 
-def closed_minutes(spark: SparkSession, days: DataFrame, first: str, last: str) -> DataFrame:
-    """One row for each hour from date `first` to `last`: its trading minutes and weekend minutes,
-    and their sums over all hours before. Opening hours change on full hours only."""
-    hours = F.sequence(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp"), F.expr("interval 1 hour"))
-    table = with_closed(spark.range(1).select(F.explode(hours).alias("h")).select(F.col("h").cast("timestamp_ntz").alias("ts")), days)
-    w = by_symbol("ts").rowsBetween(Window.unboundedPreceding, -1)
-    table = table.withColumns({"symbol": F.lit("market"), "open_minutes": F.when(F.col("closed"), 0).otherwise(60), "weekday_minutes": F.when(F.col("is_weekend"), 0).otherwise(60)})
-    return table.select(F.col("ts").alias("hour"), *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in ("open_minutes", "weekday_minutes")), "open_minutes", "weekday_minutes")
+WEEK, CLOSED = 7 * 1440, 2880  # minutes; the market closes once a week, for two days
+FIRST_CLOSE = 1440 + 21 * 60  # the first Friday 21:00 after 1970-01-01, a Thursday
 
 
-def calendar_of(rows: DataFrame, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """(holidays, closed_minutes) over the years that `rows` span."""
-    spark = rows.sparkSession
-    a, z = rows.agg(F.min(ts), F.max(ts)).first()
-    years = (a.year, z.year) if a is not None else (1970, 1970)
-    days = holidays(spark, years[0] - 1, years[1] + 1)
-    return days, closed_minutes(spark, days, f"{years[0]}-01-01", f"{years[1] + 1}-01-02")
+def weekday_minutes(m: Column) -> Column:
+    """Minutes outside of weekends from 1970-01-02 21:00 to minute m of the epoch, by whole weeks and the rest."""
+    since = m - FIRST_CLOSE
+    return since - F.floor(since / WEEK) * CLOSED - F.least(F.pmod(since, F.lit(WEEK)), F.lit(CLOSED))
+
 
+def _minute(ts: Column) -> Column:
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / 60)
 
-def trading_minutes(spans: DataFrame, table: DataFrame, start: str, end: str, out: str = "minutes", of: str = "open_minutes") -> DataFrame:
-    """Minutes from start to end, both ends counted, in which the market trades: a difference of
-    prefix counts at the two hours (two look-ups for a span of any length). A time that the table
-    doesn't reach is an error; a null start or end gives null."""
-    before, own = f"{of}_before", of
 
-    def upto(df: DataFrame, ts: Column, name: str, extra: int) -> DataFrame:
-        t = table.select(F.col("hour").alias("__h"), F.col(before).alias("__b"), F.col(own).alias("__o"))
-        joined = df.join(F.broadcast(t), F.date_trunc("hour", ts).cast("timestamp_ntz") == F.col("__h"), "left")
-        minutes = F.col("__b") + F.when(F.col("__o") > 0, F.minute(ts) + extra).otherwise(0)
-        outside = F.raise_error(F.lit("a time lies outside of the table of closed minutes")).cast("bigint")
-        return joined.withColumn(name, F.when(ts.isNull(), None).when(F.col("__b").isNull(), outside).otherwise(minutes)).drop("__h", "__b", "__o")
+def holiday_minutes(days: DataFrame) -> DataFrame:
+    """A row per year: its holidays as minutes of the epoch, and the minutes of all holidays of the years
+    before it that no weekend has closed."""
+    start = F.unix_date("date").cast("bigint") * 1440
+    each = days.select(F.year("date").alias("__year"), start.alias("d"), (weekday_minutes(start + 1440) - weekday_minutes(start)).alias("n"))
+    years = each.groupBy("__year").agg(F.array_sort(F.collect_list("d")).alias("__days"), F.sum("n").alias("n"))
+    before = F.sum("n").over(by_symbol("__year").rowsBetween(Window.unboundedPreceding, -1))  # a row per year
+    return years.withColumn("symbol", F.lit("market")).withColumn("__before", F.coalesce(before, F.lit(0))).select("__year", "__days", "__before")
 
-    both = upto(upto(spans, F.col(start), "__s", 0), F.col(end), "__e", 1)
-    return both.withColumn(out, F.when(F.col("__e").isNotNull() & F.col("__s").isNotNull(), F.greatest(F.col("__e") - F.col("__s"), F.lit(0)))).drop("__s", "__e")
 
+def holidays_of(rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """The holidays of the years that `rows` span, and of one year on either side."""
+    a, z = rows.agg(F.min(F.year(ts)), F.max(F.year(ts))).first()
+    return holidays(rows.sparkSession, max(1, (a or 1970) - 1), min(9999, (z or 1970) + 1))
 
-def classified(gaps: DataFrame, table: DataFrame, start: str = "gap_start", end: str = "gap_end") -> DataFrame:
+
+def calendar_of(rows: DataFrame, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(holidays, holiday_minutes) of the years that `rows` span."""
+    days = holidays_of(rows, ts)
+    return days, holiday_minutes(days)
+
+
+def trading_minutes(spans: DataFrame, years: DataFrame, start: str, end: str, out: str = "minutes", of: str = "open_minutes") -> DataFrame:
+    """Minutes from start to end, both ends counted, in which the market trades, or with of="weekday_minutes"
+    those outside of weekends; a difference of two counts that are closed forms of the time and of its year's
+    holidays (`years`, from holiday_minutes(), at most ten thousand rows). A time in a year that the table
+    doesn't hold is an error; a null start or end gives null."""
+    if of == "weekday_minutes":
+        upto = lambda m: weekday_minutes(m)
+        both = spans.withColumns({"__s": upto(_minute(F.col(start))), "__e": upto(_minute(F.col(end)) + 1)})
+    else:
+        def counted(df: DataFrame, ts: Column, m: Column, name: str) -> DataFrame:
+            joined = df.join(F.broadcast(years), F.year(ts) == F.col("__year"), "left")
+            own = F.aggregate("__days", F.lit(0).cast("bigint"), lambda acc, d: acc + F.when(d < m, weekday_minutes(F.least(m, d + 1440)) - weekday_minutes(d)).otherwise(0))
+            outside = F.raise_error(F.lit("a time lies outside of the table of holidays")).cast("bigint")
+            return joined.withColumn(name, F.when(ts.isNull(), None).when(F.col("__year").isNull(), outside).otherwise(weekday_minutes(m) - F.col("__before") - own)).drop(*years.columns)
+
+        both = counted(counted(spans, F.col(start), _minute(F.col(start)), "__s"), F.col(end), _minute(F.col(end)) + 1, "__e")
+    return both.withColumn(out, F.greatest(F.col("__e") - F.col("__s"), F.lit(0)).cast("bigint")).withColumn(out, F.when(F.col("__e").isNotNull() & F.col("__s").isNotNull(), F.col(out))).drop("__s", "__e")
+
+
+def classified(gaps: DataFrame, years: DataFrame, start: str = "gap_start", end: str = "gap_end") -> DataFrame:
     """kind: weekend if no minute is outside weekends, holiday if none is open, else unexpected."""
-    out = trading_minutes(trading_minutes(gaps, table, start, end, "__open"), table, start, end, "__weekday", "weekday_minutes")
+    out = trading_minutes(trading_minutes(gaps, years, start, end, "__open"), years, start, end, "__weekday", "weekday_minutes")
     return out.withColumn("kind", F.when(F.col("__weekday") == 0, "weekend").when(F.col("__open") == 0, "holiday").otherwise("unexpected")).drop("__open", "__weekday")
 
 

@@ -70,6 +70,14 @@ def missing_columns(df: DataFrame, wanted: list[str]) -> list[str]:
     return [c for c in wanted if c not in df.columns]
 
 
+def schema_check(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """name, present, rows and filled (rows with a value) of every wanted column, in one pass."""
+    have = [F.when(F.lit(c in df.columns), F.count(F.col(c)) if c in df.columns else F.lit(0)).otherwise(0).cast("bigint") for c in wanted]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *(x.alias(f"__{i}") for i, x in enumerate(have)))
+    each = F.array(*(F.struct(F.lit(c).alias("name"), F.lit(c in df.columns).alias("present"), F.col("rows"), F.col(f"__{i}").alias("filled")) for i, c in enumerate(wanted)))
+    return one.select(F.inline(each))
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 

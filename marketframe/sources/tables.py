@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VERSION = "1"
-#: Partitions of a batch that are listed in a filter; a batch that touches more reads the whole table.
-MOST_PARTITIONS = 10_000
-PARTITIONS = ("symbol", "timeframe", "month", "expiry_key")
+PARTITIONS = ("symbol", "timeframe", "month", "expiry_key", "batch")
 BARS = "symbol string, timeframe string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 
 
@@ -75,17 +73,32 @@ def month(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
-def tail_month(rows: DataFrame, max_rows: int) -> str | None:
-    """The earliest month that the newest `max_rows` rows of any symbol reach into, from row counts by
-    partition, which read no column of the files."""
+def _place(*columns: str) -> Column:
+    """One value for a partition; U+001F stands in no symbol."""
+    return F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns))
+
+
+def only_partitions(rows: DataFrame, wanted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows of a stored table in the partitions that `wanted` lists (`columns` of both).
+
+    A semi join with the broadcast list, whose values prune the scan's partitions while the query runs: the
+    driver neither collects them nor builds a filter of them, however many there are. The list has a row for
+    each partition, of which the driver's file index holds all anyway."""
+    places = wanted.select(_place(*columns).alias("__place")).distinct().filter("__place > ''")  # Spark prunes by filtered sides
+    return rows.join(F.broadcast(places), _place(*columns) == F.col("__place"), "left_semi")
+
+
+def tail_months(rows: DataFrame, max_rows: int) -> DataFrame:
+    """symbol and month of the partitions that the newest `max_rows` rows of each symbol reach into, from
+    row counts by partition, which read no column of the files."""
     held = rows.groupBy("symbol", "month").count()
     newer = F.coalesce(F.sum("count").over(Window.partitionBy("symbol").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return held.withColumn("newer", newer).filter(F.col("newer") < max_rows).agg(F.min("month")).first()[0]
+    return held.withColumn("newer", newer).filter(F.col("newer") < max_rows).select("symbol", "month")
 
 
 def scan_bars(spark: SparkSession, path: str, symbols: list[str] | None = None, timeframe: str = "M1", max_rows: int | None = None) -> DataFrame:
-    """Bars of a timeframe, newest `max_rows` of each symbol; symbol, timeframe and, with `max_rows`,
-    months prune partitions. A missing table is empty."""
+    """Bars of a timeframe, newest `max_rows` of each symbol; symbol, timeframe and, with `max_rows`, the
+    months that each symbol's own newest rows lie in prune partitions. A missing table is empty."""
     columns = T.StructType.fromDDL(BARS).names
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType.fromDDL(BARS))
@@ -93,8 +106,7 @@ def scan_bars(spark: SparkSession, path: str, symbols: list[str] | None = None,
     rows = rows if symbols is None else rows.filter(F.col("symbol").isin(symbols))
     if max_rows is None:
         return rows.select(*columns)
-    first = tail_month(rows, max_rows)
-    rows = rows if first is None else rows.filter(F.col("month") >= first)
+    rows = only_partitions(rows, tail_months(rows, max_rows), ("symbol", "month"))
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
     return rows.withColumn("__k", rank).filter(F.col("__k") <= max_rows).select(*columns)
 
@@ -117,17 +129,6 @@ def complete_only(bars: DataFrame) -> DataFrame:
     return bars.filter("is_complete").drop("is_complete")
 
 
-def _touched(rows: DataFrame) -> Column | None:
-    """A filter on the partitions that `rows` touch, which prunes a scan; None if they are too many to list."""
-    found = rows.select("symbol", "timeframe", "month").distinct().limit(MOST_PARTITIONS + 1).collect()
-    if len(found) > MOST_PARTITIONS:
-        return None
-    inside = F.lit(False)
-    for symbol, timeframe in sorted({(r[0], r[1]) for r in found}):
-        inside = inside | ((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe) & F.col("month").isin([r[2] for r in found if (r[0], r[1]) == (symbol, timeframe)]))
-    return inside
-
-
 def write_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None = None) -> None:
     """Upserts bars; only partitions (symbol, timeframe, month) that `new` touches are read and rewritten.
     A table of another version is an error. Two writers of one partition at a time are not supported."""
@@ -136,8 +137,7 @@ def write_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None =
     columns = [*T.StructType.fromDDL(BARS).names, "month"]
     if exists(spark, path):
         old = stored(spark, path).withColumn("month", F.col("month").cast("string")).select(*columns)
-        inside = _touched(rows)
-        old = old if inside is None else old.filter(inside)
+        old = only_partitions(old, rows, ("symbol", "timeframe", "month"))
     else:
         old = spark.createDataFrame([], T.StructType.fromDDL(BARS + ", month string"))
     merged = stamped(upserted(old, rows, ("symbol", "timeframe", "month", "ts"), seq).select(*columns))
@@ -161,6 +161,38 @@ def append(path: str, rows: DataFrame) -> None:
     stamped(rows).write.mode("append").parquet(path)
 
 
+def append_batch(path: str, rows: DataFrame, batch: int) -> None:
+    """Appends a stream's batch to a ledger, in a folder of its number: a batch that is run again after a
+    failure replaces what it had written before, so that no row stands twice."""
+    stamped(rows).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a published table, the newest first. A version is whole once its
+    marker of success stands, which is written last."""
+    fs, jpath = _file_system(spark, path)
+    if not fs.exists(jpath):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(jpath)]
+    return sorted((int(n[2:]) for n in names if n.startswith("v=") and exists(spark, f"{path}/{n}/_SUCCESS")), reverse=True)
+
+
+def publish(path: str, rows: DataFrame, keep: int = 3) -> None:
+    """`rows` as the next version of a table that readers always find whole; `keep` versions stay for
+    readers that have begun with one. One writer at a time."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    found = versions(spark, path)
+    rows.write.mode("overwrite").parquet(f"{path}/v={found[0] + 1 if found else 0}")
+    for old in found[keep - 1 :]:
+        remove(spark, f"{path}/v={old}")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version; None if there is none."""
+    found = versions(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/v={found[0]}") if found else None
+
+
 def tail(ledger: DataFrame, limit: int = 100) -> DataFrame:
     """The newest `limit` rows in append order; 0 means all."""
     if not limit:

@@ -98,7 +98,7 @@ def test_gate(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     streams.ledger_sink(streams.gated(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {(r.symbol, r.seq): r.fired for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {("A", 0): True, ("A", 1): False, ("A", 3): False, ("A", 4): True, ("B", 0): False}
+    assert got == {("A", 0): True, ("A", 1): False, ("A", 3): False, ("A", 4): True, ("B", 0): False}  # the day isn't over
 
 
 def test_upserts_read_touched_partitions_only(spark, tmp_path):
@@ -110,16 +110,33 @@ def test_upserts_read_touched_partitions_only(spark, tmp_path):
     after = {f: os.path.getmtime(f"{path}/{f}") for f in files(path)}
     changed = {f.rsplit("/", 1)[0] for f in before.keys() ^ after.keys()} | {f.rsplit("/", 1)[0] for f in before.keys() & after.keys() if before[f] != after[f]}
     assert {c for c in changed if c.startswith("symbol=")} == {"symbol=S1/timeframe=M1/month=2024-03"}
-    rows = tables.stored(spark, path).filter(tables._touched(spark.createDataFrame([("S1", "M1", "2024-03")], "symbol string, timeframe string, month string")))
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
-    assert "symbol" in filters and "month" in filters
-    newest = tables.scan_bars(spark, path, ["S1"], max_rows=5)
-    plan = newest._jdf.queryExecution().executedPlan().toString()
-    assert "month" in plan[plan.index("PartitionFilters") :].split("PushedFilters")[0] and newest.count() == 5
+    # the partitions that are read are those of each symbol's own newest months
+    tables.write_bars(spark, path, spark.createDataFrame([bar(60 * 24 * 40, 1.0, 0, symbol="S2")], BARS))
+    newest = tables.scan_bars(spark, path, ["S1", "S2"], max_rows=1)
+    assert sorted((r.symbol, r.ts.month) for r in newest.collect()) == [("S1", 3), ("S2", 4)]
+    assert partitions_read(newest) == 2 and partitions_read(tables.scan_bars(spark, path, ["S1", "S2"])) == 7
     assert not [f for f in os.listdir(tmp_path) if "staged" in f]
 
 
+def partitions_read(df):
+    """How many partitions the executed plan's scan of bars has read."""
+    df.collect()
+    nodes, found = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            nodes.append(node.plan())
+        elif name.startswith("Scan parquet") and "close" in node.schema().fieldNames():
+            found.append(node.metrics().apply("numPartitions").value())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().length())]
+    (n,) = found
+    return n
+
+
 def files(path):
     return [os.path.relpath(os.path.join(d, f), path) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
 
@@ -171,8 +188,23 @@ def test_gate_begins_each_day_anew(spark, tmp_path):
     staged(spark, df, src, ["seq < 9", "seq = 9"])
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     streams.ledger_sink(streams.gated(stream, target=2), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {(r.symbol, r.seq): (r.fired, r.streak) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {("A", 5): (False, 5), ("B", 2): (False, 0), ("A", 9): (True, 0), ("B", 9): (True, 0)}
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.symbol, r.seq): (r.fired, r.streak) for r in rows if r.seq is not None} == {("A", 5): (False, 5), ("B", 2): (False, 0), ("A", 9): (True, 0), ("B", 9): (True, 0)}
+    midnight = T0 + dt.timedelta(days=1)
+    assert {(r.symbol, r.ts, r.streak, r.wins, r.net) for r in rows if r.seq is None} == {("A", midnight, 5, 0, -5.0), ("B", midnight, 0, 2, 2.0)}
+
+
+def test_a_day_ends_without_a_row(spark, tmp_path):
+    """B's day ends by timer: another symbol moves the watermark over midnight, and B has no row after it."""
+    at = lambda d, s: T0 + dt.timedelta(days=d, seconds=s)
+    rows = [("B", at(0, 5), 0, None, "win", 2.5), ("B", at(0, 9), 1, 0.9, None, 0.0), ("A", at(2, 0), 2, 0.9, None, 0.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, seq bigint, confidence double, outcome string, amount double")
+    src = str(tmp_path / "src")
+    staged(spark, df, src, ["seq < 2", "seq = 2"])
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    streams.ledger_sink(streams.gated(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r.symbol, r.seq, r.ts, r.wins, r.net) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("B", 1, at(0, 9), 1, 2.5), ("A", 2, at(2, 0), 0, 0.0), ("B", None, at(1, 0), 1, 2.5)}
 
 
 def test_join_gives_up_behind_the_watermark(spark, tmp_path):
@@ -189,20 +221,110 @@ def test_join_gives_up_behind_the_watermark(spark, tmp_path):
     assert got == {0: 7, 1: None}  # signal 2 may still get a result
 
 
-def test_score_loop_restarts_from_its_checkpoint(spark, tmp_path):
-    df = spark.createDataFrame([("A", T0 + dt.timedelta(minutes=i), float(i)) for i in range(30)], "symbol string, ts timestamp_ntz, close double")
+def loop(spark, tmp_path, history, fail=()):
+    """A subscription over the files of src; `fail` are batches whose sink stops after it has written."""
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    half = T0 + dt.timedelta(minutes=20)
-    staged(spark, df, src, [F.col("ts") < F.lit(half)])
-
-    def run():
-        stream = spark.readStream.schema(df.schema).parquet(src)
-        history = lambda s: df.filter(F.col("ts") < F.lit(half))
-        streams.indicator_subscription(stream, history, "SMA", lambda rows: rows.write.mode("append").parquet(out), str(tmp_path / "cp"), period=3).awaitTermination()
-
-    run()
-    df.filter(F.col("ts") >= F.lit(half)).coalesce(1).write.mode("append").parquet(src)
-    run()
-    run()
-    got = {r.ts: r.SMA for r in spark.read.parquet(out).collect()}
-    assert len(got) == spark.read.parquet(out).count() == 30 and got[T0 + dt.timedelta(minutes=20)] == 19.0
+    stream = spark.readStream.schema("symbol string, ts timestamp_ntz, close double").option("maxFilesPerTrigger", 1).parquet(src)
+
+    def sink(rows, number):
+        tables.append_batch(out, rows.select("symbol", "ts", "SMA"), number)
+        if number in fail:
+            raise RuntimeError("stopped behind the write")
+
+    return streams.indicator_subscription(stream, history, "SMA", sink, str(tmp_path / "cp"), period=3)
+
+
+def closes(spark):
+    return spark.createDataFrame([(s, T0 + dt.timedelta(minutes=i), float(i) * k) for i in range(30) for s, k in (("A", 1), ("B", 10))], "symbol string, ts timestamp_ntz, close double")
+
+
+def minute(n):
+    return F.lit(T0 + dt.timedelta(minutes=n))
+
+
+def test_live_loop_restarts_in_mid_batch(spark, tmp_path):
+    """A batch that fails after its write is run again and stands once; history is read in the first batch only."""
+    df = closes(spark)
+    staged(spark, df, str(tmp_path / "src"), [(F.col("ts") >= minute(20)) & (F.col("ts") < minute(25)), (F.col("ts") >= minute(25)) & (F.col("ts") < minute(26)) & (F.col("symbol") == "A")])
+    history = df.filter(F.col("ts") < minute(20))
+    with pytest.raises(Exception, match="stopped behind the write"):
+        loop(spark, tmp_path, lambda s: history, fail={1}).awaitTermination()
+    untouchable = history.withColumn("close", F.raise_error(F.lit("history was read")).cast("double"))
+    loop(spark, tmp_path, lambda s: untouchable).awaitTermination()
+    df.filter((F.col("ts") >= minute(26)) | ((F.col("symbol") == "B") & (F.col("ts") == minute(25)))).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    loop(spark, tmp_path, lambda s: untouchable).awaitTermination()
+    rows = tables.stored(spark, str(tmp_path / "out")).collect()
+    got = {(r.symbol, r.ts): r.SMA for r in rows}
+    assert len(rows) == len(got) == 20
+    assert got == {(s, T0 + dt.timedelta(minutes=i)): (i - 1.0) * k for i in range(20, 30) for s, k in (("A", 1), ("B", 10))}
+
+
+def test_tail_state_keeps_the_newest(spark, tmp_path):
+    df = closes(spark)
+    staged(spark, df, str(tmp_path / "src"), [F.col("ts") < minute(10), F.col("ts") == minute(10), F.col("ts") == minute(3)])
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    seen = []
+    each = lambda batch, n: seen.append([(r.symbol, r.ts.minute, r["__new"]) for r in batch.orderBy("symbol", "ts").collect()])
+    streams._start(streams.with_tail(stream, df.limit(0), tail=4), each, str(tmp_path / "cp")).awaitTermination()
+    seen = [s for s in seen if s]
+    assert seen[0] == [(s, i, True) for s in "AB" for i in range(10)]
+    assert seen[1] == [(s, i, i == 10) for s in "AB" for i in (6, 7, 8, 9, 10)]
+    assert seen[2] == [(s, i, i == 3) for s in "AB" for i in (3, 7, 8, 9, 10)]  # late ones come with what is kept
+
+
+def test_latest_is_whole_at_any_time(spark, tmp_path):
+    path = str(tmp_path / "latest")
+    assert tables.published(spark, path) is None
+    rows = lambda n: spark.createDataFrame([("A", n), ("B", n)], "asset string, price int")
+    tables.publish(path, rows(0))
+    before = tables.published(spark, path)
+    os.makedirs(f"{path}/v=1")  # a version that is being written
+    assert {r.price for r in tables.published(spark, path).collect()} == {0}
+    for n in (1, 2):
+        tables.publish(path, rows(n))
+    assert {r.price for r in before.collect()} == {0}  # a reader that began before goes on
+    assert {r.price for r in tables.published(spark, path).collect()} == {2} and tables.versions(spark, path) == [2, 1, 0]
+    tables.publish(path, rows(3))
+    assert tables.versions(spark, path) == [3, 2, 1]
+
+
+def test_latest_sink_upserts(spark, tmp_path):
+    df = spark.createDataFrame([("A", T0, 0, 1.0), ("B", T0, 1, 2.0), ("A", T0 + dt.timedelta(minutes=1), 2, 3.0), ("C", T0, 3, 4.0), ("A", T0, 4, 9.0)], "asset string, ts timestamp_ntz, seq bigint, price double")
+    staged(spark, df, str(tmp_path / "src"), ["seq < 2", "seq BETWEEN 2 AND 3", "seq = 4"])
+    for _ in range(2):  # a restart changes nothing
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+        streams.latest_sink(streams.latest_by_asset(stream, "price"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        assert sorted((r.asset, r.price) for r in tables.published(spark, str(tmp_path / "out")).collect()) == [("A", 3.0), ("B", 2.0), ("C", 4.0)]
+
+
+def test_upserts_of_many_symbols(spark, tmp_path):
+    """Thousands of partitions are pruned by a join: nothing in the plan grows with them."""
+    path, n = str(tmp_path / "bars"), 5000
+    many = lambda price, every: spark.range(0, n, every).selectExpr("concat('S', id) AS symbol", "'M1' AS timeframe", "timestamp_ntz'2024-03-04' AS ts", *(f"double({price}) AS {x}" for x in ("open", "high", "low", "close", "volume")))
+    tables.write_bars(spark, path, many(1, 1))
+    t = time.time()
+    tables.write_bars(spark, path, many(2, 2))
+    assert time.time() - t < 240
+    got = spark.read.parquet(path).groupBy("close").count().collect()
+    assert {r["close"]: r["count"] for r in got} == {1.0: n // 2, 2.0: n // 2}
+    touched = tables.only_partitions(tables.stored(spark, path), many(2, 2).withColumn("month", F.lit("2024-03")), ("symbol", "timeframe", "month"))
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and len(plan) < 20_000
+
+
+def test_messages_that_are_malformed(spark):
+    raw = ["[]", "[[]]", "", None, "null", "no json", "{", '{"signals": []}', '{"signals": [["A"]]}', '{"signals": [["A", [], 5]]}', '[["A", "x", "y", 1]]', '[["A", 1, 2, "z"]]', '[["A", 5, 1.5, 1]]', '[["", 5, 1.5, 1]]', '[["A", 5, -1, 1]]',
+           '[["B", "many"]]', '{"deals": [{"id": "q", "profit": "much"}, {}]}', '{"deals": 7}', '{"liveBalance": "none"}', '{"asset": "A", "candles": [[1, "x"], [], [2, 1, 1, 1, 1, 3, 9]]}', '{"asset": "A", "candles": 5}', '[[1, "short"]]', '[["x", "y", "z"]]']
+    df = spark.createDataFrame([(r,) for r in raw], "raw string")
+    kinds = {r.raw: r.kind for r in payloads.parsed(df).collect()}
+    assert kinds["[]"] == kinds["[[]]"] == kinds[""] == kinds["no json"] == kinds["{"] == kinds["null"] == "other"
+    good, bad = payloads.split_ticks(df)
+    assert [tuple(r) for r in good.collect()] == [("A", 5.0, 1.5, 1), ("A", 1.0, 2.0, None)] or sorted(tuple(r) for r in good.select("symbol", "time").collect()) == [("A", 1.0), ("A", 5.0)]
+    broken = {r.raw: list(r.violations) for r in bad.collect()}
+    assert broken['[["A", "x", "y", 1]]'] == ["time", "price"] and broken['[["", 5, 1.5, 1]]'] == ["symbol"] and broken['[["A", 5, -1, 1]]'] == ["price"] and broken["[]"] == ["kind"] and broken[None] == ["kind"]
+    assert {tuple(r) for r in payloads.sentiments(df).collect()} >= {("B", None, None)}
+    assert {(r.id, r.profit, r.win) for r in payloads.deals(df).collect()} == {("q", None, None), (None, None, None)}
+    assert [tuple(r) for r in payloads.balances(df).collect()] == [(None, None)]
+    assert {(r.symbol, r.time, r.open, r.ticks) for r in payloads.candles(df).collect()} == {("A", 1, None, None), ("A", None, None, None), ("A", 2, 1.0, 3)}
+    assert {(r.asset, r.time, r.direction) for r in payloads.signal_feed(df).collect()} == {("A", None, None), ("A", 5, None)}
+    assert len(payloads.instruments(df.filter("raw IN ('[[1, \"short\"]]', '[]')")).collect()) == 1
