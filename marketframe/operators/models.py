@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -9,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketframe.operators.ensembles import Ensemble
 from marketframe.operators.labels import class_weight
 from marketframe.operators.quality import violations
 
@@ -41,20 +45,21 @@ def assembler(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error")
 
 
-def boosted(rows: DataFrame, columns: list[str], rounds: tuple[int, ...] = (10, 25, 50), rate: float = 0.1, incremental: bool = False) -> PipelineModel:
-    """Boosted trees with class weights of the train part. Spark stops on the loss of the `val` part; of
-    the numbers of rounds the one with the largest area under the curve on it is kept (ties: fewer).
-    An incremental run takes a tenth of the rate."""
-    weighted = class_weight(rows.filter("split = 'train'"))
-    val = rows.filter("split = 'val'")
-    both = weighted.withColumn("__val", F.lit(False)).unionByName(val.withColumns({"weight": F.lit(1.0), "__val": F.lit(True)}))
-    fitted = []
-    for n in rounds:
-        gbt = GBTClassifier(labelCol="label", weightCol="weight", maxIter=n, stepSize=rate / 10 if incremental else rate, validationIndicatorCol="__val", seed=7)
-        model = Pipeline(stages=[assembler(columns), gbt]).fit(both)
-        scored = metrics(probability(model, val).withColumn("__all", F.lit("all")), key="__all").first()
-        fitted.append((-(scored["auc"] if scored else 0.0), n, model))
-    return min(fitted, key=lambda x: x[:2])[2]
+def boosted(rows: DataFrame, columns: list[str], rounds: int = 50, rate: float = 0.1, incremental: bool = False) -> Ensemble:
+    """Boosted trees with class weights of the train part, cut after the round whose area under the curve on
+    the `val` part is the largest (ties: fewer). One fit: each round's scores are sums of its first trees. An
+    incremental run takes a tenth of the rate. Without `val` rows of both labels all rounds are kept."""
+    gbt = GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, stepSize=rate / 10 if incremental else rate, seed=7)
+    model = Pipeline(stages=[assembler(columns), gbt]).fit(class_weight(rows.filter("split = 'train'")))
+    whole = Ensemble.of(model, columns)
+    best = round_areas(whole, rows.filter("split = 'val'")).orderBy(F.desc("auc"), "round").first()
+    return whole.first(best["round"]) if best and best["auc"] > 0 else whole
+
+
+def round_areas(model: Ensemble, rows: DataFrame) -> DataFrame:
+    """round (from 1) and auc of the first trees of a boosted model on `rows`, from one scoring of them."""
+    each = rows.select("label", F.posexplode(model.staged()).alias("round", "p")).withColumn("round", F.col("round") + 1)
+    return metrics(each, key="round").select("round", "auc")
 
 
 def forest(rows: DataFrame, columns: list[str], trees: int = 300) -> PipelineModel:
@@ -62,12 +67,17 @@ def forest(rows: DataFrame, columns: list[str], trees: int = 300) -> PipelineMod
     return Pipeline(stages=[assembler(columns), model]).fit(class_weight(rows.filter("split = 'train'")))
 
 
-def probability(model: PipelineModel, rows: DataFrame, name: str = "p", step: int = 0) -> DataFrame:
+def probability(model: PipelineModel | Ensemble, rows: DataFrame, name: str = "p", step: int = 0) -> DataFrame:
     """`rows` with the probability of label 1, held to 0..1; a non-finite one is an error."""
+    if isinstance(model, Ensemble):
+        return rows.withColumn(name, _finite(model.probability()))
     out = model.transform(rows)
-    p = vector_to_array("probability")[1]
-    good = F.when(F.isnan(p), F.raise_error(F.lit("non-finite probability"))).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
-    return out.withColumn(name, good.cast("double")).drop("features", "rawPrediction", "probability", "prediction")
+    return out.withColumn(name, _finite(vector_to_array("probability")[1])).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def _finite(p: Column) -> Column:
+    bad = p.isNull() | F.isnan(p)
+    return F.when(bad, F.raise_error(F.lit("non-finite probability"))).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).cast("double")
 
 
 def stacked(rows: DataFrame, models: list[PipelineModel]) -> tuple[PipelineModel, DataFrame]:
@@ -81,9 +91,66 @@ def stacked(rows: DataFrame, models: list[PipelineModel]) -> tuple[PipelineModel
     return top, probability(top, out.filter("split = 'test'"))
 
 
-def importance(model: PipelineModel, columns: list[str], top: int | None = None) -> DataFrame:
+def time_blocks(rows: DataFrame, blocks: int, ts: str = "ts") -> DataFrame:
+    """`rows` with block, from 0: equal parts of the time that they span."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    ends = rows.agg(F.min(t).alias("__a"), F.max(t).alias("__z"))
+    part = F.when(F.col("__z") > F.col("__a"), F.floor((t - F.col("__a")) * blocks / (F.col("__z") - F.col("__a")))).otherwise(0)
+    return rows.join(F.broadcast(ends)).withColumn("block", F.least(part, F.lit(blocks - 1)).cast("int")).drop("__a", "__z")  # one row
+
+
+Learner = Callable[[DataFrame], Callable[[DataFrame, str], DataFrame]]
+
+
+def out_of_fold(rows: DataFrame, learners: dict[str, Learner], blocks: int = 4, ts: str = "ts") -> DataFrame:
+    """From the second time block on, `rows` with block and, under each learner's name, the prediction of
+    that learner fitted on the blocks before: no row is scored by a model that has seen it or what follows it."""
+    placed, parts = time_blocks(rows, blocks, ts), []
+    for k in range(1, blocks):
+        out = placed.filter(F.col("block") == k)
+        for name, fit in learners.items():
+            out = fit(placed.filter(F.col("block") < k))(out, name)
+        parts.append(out)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def learner(fit: Callable[[DataFrame], PipelineModel | Ensemble]) -> Learner:
+    """A learner from a function that fits a model on rows whose split is train."""
+
+    def fitted(rows: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+        model = fit(rows.withColumn("split", F.lit("train")))
+        return lambda df, name: probability(model, df, name)
+
+    return fitted
+
+
+def frequency(*key: str) -> Learner:
+    """The share of label 1 by `key` (one of each label is added): a baseline. An unseen key gets a half."""
+
+    def fitted(rows: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+        share = (F.sum("label") + 1) / (F.count(F.lit(1)) + 2)
+        return lambda df, name: df.join(rows.groupBy(*key).agg(share.alias(name)), list(key), "left").withColumn(name, F.coalesce(name, F.lit(0.5)))
+
+    return fitted
+
+
+def stacked_out_of_fold(rows: DataFrame, learners: dict[str, Learner], blocks: int = 4) -> tuple[PipelineModel, DataFrame]:
+    """A logistic model on the learners' out-of-fold predictions of the train part, and the `test` part scored
+    with learners fitted on all of the train part."""
+    names, train = list(learners), rows.filter("split = 'train'")
+    top = Pipeline(stages=[assembler(names), LogisticRegression(labelCol="label")]).fit(out_of_fold(train, learners, blocks))
+    out = rows.filter("split = 'test'")
+    for name, fit in learners.items():
+        out = fit(train)(out, name)
+    return top, probability(top, out)
+
+
+def importance(model: PipelineModel | Ensemble, columns: list[str], top: int | None = None) -> DataFrame:
     """rank, feature and weight of a tree model's features, the largest first; all of them unless `top`."""
-    weights = model.stages[-1].featureImportances.toArray()
+    if isinstance(model, Ensemble):
+        weights = model.importance()
+    else:
+        weights = model.stages[-1].featureImportances.toArray()
     ranked = sorted(zip(columns, map(float, weights)), key=lambda x: (-x[1], x[0]))[:top]
     return SparkSession.active().createDataFrame([(i + 1, *x) for i, x in enumerate(ranked)], "rank int, feature string, weight double")
 

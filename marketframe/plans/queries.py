@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions import timefn
-from marketframe.operators import bars, calendar, features, indicators, labels, models, quality, signals
+from marketframe.operators import bars, calendar, ensembles, features, indicators, labels, models, quality, signals
 from marketframe.plans.fixtures import R, SHOW_TS, T, W, bars_sql, hourly, results, rolled, safe, select, shown, table, ticks
 from marketframe.sources import payloads, tables
 
@@ -206,35 +206,39 @@ def calendar_gaps(spark, d):
 
 
 CLOSED = "(isodow(x) = 6 OR (isodow(x) = 7 AND hour(x) < 21) OR (isodow(x) = 5 AND hour(x) >= 21))"
-NEWYEAR = "(CAST(x AS DATE) IN (DATE '2024-01-01'))"
+#: holidays of the years of the events, and of one on either side
+EVENT_HOLIDAYS = HOLIDAYS.replace("SELECT DISTINCT CAST(year(o_orderdate) AS BIGINT) AS y FROM orders", "SELECT unnest(range(min(year(ts)) - 1, max(year(ts)) + 2)) AS y FROM events")
+MARKED = "mm AS (SELECT *, CAST(x AS DATE) IN (SELECT date FROM hol) AS hd FROM m)"
 
 
-@query(f"WITH {T}, {Q}, p AS (SELECT symbol, lag(ts) OVER {W} AS gap_start, ts AS gap_end FROM b), g AS (SELECT * FROM p WHERE gap_end - gap_start > INTERVAL 15 MINUTE), m AS (SELECT symbol, gap_start, gap_end, unnest(generate_series(gap_start, gap_end, INTERVAL 1 MINUTE)) AS x FROM g), k AS (SELECT symbol, gap_start, CASE WHEN bool_and({CLOSED}) THEN 'weekend' WHEN bool_and({CLOSED} OR {NEWYEAR}) THEN 'holiday' ELSE 'unexpected' END AS kind FROM m GROUP BY symbol, gap_start) SELECT symbol, kind, count(*) AS n FROM k GROUP BY ALL")
+@query(f"WITH {EVENT_HOLIDAYS}, {T}, {Q}, p AS (SELECT symbol, lag(ts) OVER {W} AS gap_start, ts AS gap_end FROM b), g AS (SELECT * FROM p WHERE gap_end - gap_start > INTERVAL 15 MINUTE), m AS (SELECT symbol, gap_start, gap_end, unnest(generate_series(gap_start, gap_end, INTERVAL 1 MINUTE)) AS x FROM g), {MARKED}, k AS (SELECT symbol, gap_start, CASE WHEN bool_and({CLOSED}) THEN 'weekend' WHEN bool_and({CLOSED} OR hd) THEN 'holiday' ELSE 'unexpected' END AS kind FROM mm GROUP BY symbol, gap_start) SELECT symbol, kind, count(*) AS n FROM k GROUP BY ALL")
 def calendar_gap_kinds(spark, d):
     rows = hourly(spark, d, 900)
     _, table_ = calendar.calendar_of(table(spark, d, "events"))
     return calendar.classified(calendar.gaps(rows, 900), table_).groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH u AS (SELECT user_id, date_trunc('minute', min(ts)) AS a, date_trunc('minute', max(ts)) AS z FROM events GROUP BY user_id), m AS (SELECT user_id, unnest(generate_series(a, z, INTERVAL 1 MINUTE)) AS x FROM u) SELECT user_id, count(*) FILTER (WHERE NOT {CLOSED} AND NOT {NEWYEAR}) AS minutes FROM m GROUP BY user_id")
+@query(f"WITH {EVENT_HOLIDAYS}, u AS (SELECT user_id, date_trunc('minute', min(ts)) AS a, date_trunc('minute', max(ts)) AS z FROM events GROUP BY user_id), m AS (SELECT user_id, unnest(generate_series(a, z, INTERVAL 1 MINUTE)) AS x FROM u), {MARKED} SELECT user_id, count(*) FILTER (WHERE NOT {CLOSED} AND NOT hd) AS minutes FROM mm GROUP BY user_id")
 def calendar_minutes(spark, d):
     spans = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
     _, table_ = calendar.calendar_of(table(spark, d, "events"))
     return calendar.trading_minutes(spans, table_, "a", "z").select("user_id", c("minutes").cast("bigint").alias("minutes"))
 
 
-@query(f"WITH {T}, {Q}, p AS (SELECT symbol, lag(ts) OVER {W} AS a, ts AS z FROM b), g AS (SELECT *, CAST((epoch(z) - epoch(a)) / 900 - 1 AS BIGINT) AS size FROM p WHERE z - a > INTERVAL 15 MINUTE), e AS (SELECT * FROM g WHERE size > 5 AND NOT (isodow(a) IN (5, 6) AND isodow(z) IN (6, 7)) AND NOT {CLOSED.replace('x)', 'a)')} AND NOT {CLOSED.replace('x)', 'z)')} AND CAST(a AS DATE) <> DATE '2024-01-01' AND CAST(z AS DATE) <> DATE '2024-01-01') SELECT symbol, strftime(a + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS start, strftime(z - INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS \"end\" FROM e")
+@query(f"WITH {EVENT_HOLIDAYS}, {T}, {Q}, p AS (SELECT symbol, lag(ts) OVER {W} AS a, ts AS z FROM b), g AS (SELECT *, CAST((epoch(z) - epoch(a)) / 900 - 1 AS BIGINT) AS size FROM p WHERE z - a > INTERVAL 15 MINUTE), e AS (SELECT * FROM g WHERE size > 5 AND a >= (SELECT CAST(max(ts) AS DATE) - 90 FROM t) AND NOT (isodow(a) IN (5, 6) AND isodow(z) IN (6, 7)) AND NOT {CLOSED.replace('x)', 'a)')} AND NOT {CLOSED.replace('x)', 'z)')} AND CAST(a AS DATE) NOT IN (SELECT date FROM hol) AND CAST(z AS DATE) NOT IN (SELECT date FROM hol)) SELECT symbol, strftime(a + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS start, strftime(z - INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS \"end\" FROM e")
 def calendar_repairs(spark, d):
-    found = calendar.unexpected(calendar.gaps(hourly(spark, d, 900), 900), calendar.holidays(spark, 2023, 2025), F.lit("2024-02-01").cast("timestamp_ntz"))
+    events = table(spark, d, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    found = calendar.unexpected(calendar.gaps(hourly(spark, d, 900), 900), calendar.holidays_of(events), F.lit(now).cast("timestamp_ntz"))
     return calendar.repair_windows(found, 900)
 
 
 GAP_X = CLOSED.replace("x)", "ts)")
 
 
-@query(f"WITH {T}, {Q}, {GRID} SELECT symbol, count(*) AS slots, count(*) FILTER (WHERE close IS NULL AND {GAP_X}) AS weekend, count(*) FILTER (WHERE close IS NULL AND NOT {GAP_X} AND CAST(ts AS DATE) = DATE '2024-01-01') AS holiday, count(*) FILTER (WHERE close IS NULL AND NOT {GAP_X} AND CAST(ts AS DATE) <> DATE '2024-01-01') AS unexpected, round(100 * (count(*) - count(close)) / count(*), 2) AS percent FROM g GROUP BY symbol")
+@query(f"WITH {EVENT_HOLIDAYS}, {T}, {Q}, {GRID}, gg AS (SELECT *, CAST(ts AS DATE) IN (SELECT date FROM hol) AS hd FROM g) SELECT symbol, count(*) AS slots, count(*) FILTER (WHERE close IS NULL AND {GAP_X}) AS weekend, count(*) FILTER (WHERE close IS NULL AND NOT {GAP_X} AND hd) AS holiday, count(*) FILTER (WHERE close IS NULL AND NOT {GAP_X} AND NOT hd) AS unexpected, round(100 * (count(*) - count(close)) / count(*), 2) AS percent FROM gg GROUP BY symbol")
 def calendar_gap_summary(spark, d):
-    return calendar.gap_summary(bars.grid(hourly(spark, d, 900), 900, ["close"]), calendar.holidays(spark, 2023, 2025))
+    return calendar.gap_summary(bars.grid(hourly(spark, d, 900), 900, ["close"]), calendar.holidays_of(table(spark, d, "events")))
 
 
 # ---- features ---------------------------------------------------------------------------------
@@ -524,6 +528,86 @@ def model_scores(spark, d):
     return models.probability(models.forest(rows, x), rows.filter("split = 'test'")).select("symbol", "ts", "label", "p")
 
 
+# A stored ensemble: (feature, threshold, left, right, value) of every node of three trees over these columns.
+TREE_COLUMNS = {"close": "close", "volume": "volume", "span": "high - low"}
+TREES = [
+    [(0, 10.0, 1, 2, None), (-1, None, -1, -1, 0.62), (1, 2.0, 3, 4, None), (-1, None, -1, -1, 0.41), (-1, None, -1, -1, 0.55)],
+    [(1, 1.0, 1, 2, None), (0, 7.5, 3, 4, None), (-1, None, -1, -1, 0.48), (-1, None, -1, -1, 0.7), (-1, None, -1, -1, 0.52)],
+    [(2, 12.0, 1, 2, None), (2, 3.0, 3, 4, None), (0, 20.0, 5, 6, None), (-1, None, -1, -1, 0.5), (-1, None, -1, -1, 0.57), (-1, None, -1, -1, 0.6), (-1, None, -1, -1, 0.33)],
+]
+
+
+def stored_trees(spark: SparkSession) -> ensembles.Ensemble:
+    rows = [(t, i, f, thr, left, right, v, None, None) for t, nodes in enumerate(TREES) for i, (f, thr, left, right, v) in enumerate(nodes)]
+    return ensembles.Ensemble.read(spark.createDataFrame(rows, ensembles.NODES), list(TREE_COLUMNS), False)
+
+
+def tree_case(nodes: list[tuple], at: int = 0) -> str:
+    f, thr, left, right, v = nodes[at]
+    return str(v) if f < 0 else f"CASE WHEN {list(TREE_COLUMNS)[f]} <= {thr} THEN {tree_case(nodes, left)} ELSE {tree_case(nodes, right)} END"
+
+
+def tree_splits(nodes: list[tuple], at: int = 0, where: str = "true") -> list[tuple[str, str, str]]:
+    """(column, condition of the node, condition of its left child) of every split."""
+    f, thr, left, right, _ = nodes[at]
+    if f < 0:
+        return []
+    low = f"{list(TREE_COLUMNS)[f]} <= {thr}"
+    return [(list(TREE_COLUMNS)[f], where, f"{where} AND {low}"), *tree_splits(nodes, left, f"{where} AND {low}"), *tree_splits(nodes, right, f"{where} AND NOT {low}")]
+
+
+TREE_ROWS = f"{T}, {B}, {LABEL}, f AS (SELECT b.symbol, b.ts, {', '.join(f'b.{x} AS {n}' if x == n else f'b.high - b.low AS {n}' for n, x in TREE_COLUMNS.items())}, lb.label FROM b JOIN lb ON b.symbol = lb.symbol AND b.ts = lb.ts)"
+
+
+def tree_rows(spark, d):
+    rows = hourly(spark, d)
+    return labels.direction(rows, "5_MIN").select("symbol", "ts", "label", *(F.expr(x).alias(n) for n, x in TREE_COLUMNS.items()))
+
+
+@query(f"WITH {TREE_ROWS} SELECT symbol, {SHOW_TS}, round(({' + '.join(map(tree_case, TREES))}) / 3, 6) AS p FROM f")
+def model_tree_scores(spark, d):
+    """A stored ensemble over all bars."""
+    return models.probability(stored_trees(spark), tree_rows(spark, d)).select("symbol", "ts", "p")
+
+
+IMPURE = "2.0 * sum(label) FILTER (WHERE {0}) * (count(*) FILTER (WHERE {0}) - sum(label) FILTER (WHERE {0})) / count(*) FILTER (WHERE {0})"
+
+
+def split_gain(tree: int, column: str, node: str, left: str) -> str:
+    one = lambda where: f"coalesce({IMPURE.format(where)}, 0)"
+    return f"SELECT {tree} AS tree, '{column}' AS feature, {one(node)} - {one(left)} - {one(f'({node}) AND NOT ({left})')} AS g FROM f WHERE label IS NOT NULL"
+
+
+@query(f"WITH {TREE_ROWS}, g AS ({' UNION ALL '.join(split_gain(t, *x) for t, nodes in enumerate(TREES) for x in tree_splits(nodes))}), s AS (SELECT feature, sum(g / t) AS w FROM (SELECT *, sum(g) OVER (PARTITION BY tree) AS t FROM g) GROUP BY feature), w AS (SELECT feature, w / sum(w) OVER () AS weight FROM s) SELECT row_number() OVER (ORDER BY weight DESC, feature) AS rank, feature, round(weight, 6) AS weight FROM w")
+def model_importance(spark, d):
+    """What the splits of a stored ensemble gain on all labelled bars."""
+    return models.importance(stored_trees(spark).measured(tree_rows(spark, d).filter("label IS NOT NULL")), list(TREE_COLUMNS))
+
+
+@query()
+def model_boosted_rounds(spark, d):
+    """The area under the curve after every round of one fit."""
+    x = list(TREE_COLUMNS)
+    path = tables.scratch(spark, "splits")
+    labels.time_split(tree_rows(spark, d).filter("label IS NOT NULL")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    return models.round_areas(models.boosted(rows, x, rounds=10), rows.filter("split = 'val'"))
+
+
+AREA = "SELECT a.block, avg(CASE WHEN a.{0} > b.{0} THEN 1.0 WHEN a.{0} = b.{0} THEN 0.5 ELSE 0 END) AS area FROM o AS a JOIN o AS b ON a.block = b.block AND a.label = 1 AND b.label = 0 GROUP BY a.block"
+
+
+@query(f"WITH {T}, {B}, {LABEL}, l AS (SELECT symbol, ts, label, hour(ts) AS hour, epoch_us(ts) AS u FROM lb WHERE label IS NOT NULL), q AS (SELECT *, CAST(least(floor((u - (SELECT min(u) FROM l)) * 4.0 / ((SELECT max(u) - min(u) FROM l))), 3) AS BIGINT) AS block FROM l), k AS (SELECT DISTINCT block, symbol, hour FROM q), p AS (SELECT k.*, (SELECT (sum(q.label) + 1.0) / (count(*) + 2) FROM q WHERE q.block < k.block AND q.symbol = k.symbol) AS s, (SELECT (sum(q.label) + 1.0) / (count(*) + 2) FROM q WHERE q.block < k.block AND q.hour = k.hour) AS h FROM k WHERE block > 0), o AS (SELECT q.block, q.label, coalesce(p.s, 0.5) AS by_symbol, coalesce(p.h, 0.5) AS by_hour FROM q JOIN p ON p.block = q.block AND p.symbol = q.symbol AND p.hour = q.hour), n AS (SELECT block, count(*) AS n, round(avg(by_symbol), 6) AS mean_symbol, round(avg(by_hour), 6) AS mean_hour FROM o GROUP BY block), x AS ({AREA.format('by_symbol')}), y AS ({AREA.format('by_hour')}) SELECT n.block, n.n, mean_symbol, mean_hour, round(x.area, 6) AS auc_symbol, round(y.area, 6) AS auc_hour FROM n JOIN x ON n.block = x.block JOIN y ON n.block = y.block")
+def model_out_of_fold(spark, d):
+    """Two learners over four blocks of time, each block scored by what was fitted before it."""
+    rows = labels.direction(hourly(spark, d), "5_MIN").filter("label IS NOT NULL").select("symbol", "ts", "label", F.hour("ts").alias("hour"))
+    out = models.out_of_fold(rows, {"by_symbol": models.frequency("symbol"), "by_hour": models.frequency("hour")})
+    found = out.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.avg("by_symbol").alias("mean_symbol"), F.avg("by_hour").alias("mean_hour"))
+    for name in ("symbol", "hour"):
+        found = found.join(models.metrics(out.withColumnRenamed(f"by_{name}", "p"), key="block").select("block", c("auc").alias(f"auc_{name}")), "block")
+    return found
+
+
 # ---- signals and ledger -----------------------------------------------------------------------
 
 @query("SELECT event_id, CASE WHEN p >= 0.6 THEN 'CALL' WHEN p <= 0.4 THEN 'PUT' ELSE 'SKIP' END AS direction, round(CASE WHEN p <= 0.4 THEN 1 - p ELSE p END, 6) AS confidence FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) / 100 AS p FROM events)")
@@ -620,11 +704,15 @@ def match_nearest(spark, d):
     return out.select("signal_id", "trade_id", F.round("delta", 3).alias("delta"))
 
 
-@query("SELECT event_id AS signal_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+DAY_OF_USER = "user_id || ' ' || CAST(CAST(ts AS DATE) AS VARCHAR)"
+
+
+@query(f"SELECT event_id AS signal_id FROM events WHERE event_type = 'click' AND {DAY_OF_USER} NOT IN (SELECT {DAY_OF_USER} FROM events WHERE event_type = 'purchase')")
 def match_unresolved(spark, d):
-    e = table(spark, d, "events")
-    mine = e.filter("event_type = 'click'").select(c("user_id").alias("signal_id"), "event_id")
-    done = e.filter("event_type = 'purchase'").select(c("user_id").alias("signal_id"))
+    """Clicks without a purchase of the same user on the same day."""
+    e = table(spark, d, "events").withColumn("key", F.concat_ws(" ", "user_id", F.to_date("ts")))
+    mine = e.filter("event_type = 'click'").select(c("key").alias("signal_id"), "event_id")
+    done = e.filter("event_type = 'purchase'").select(c("key").alias("signal_id"))
     return signals.unresolved(mine, done).select(c("event_id").alias("signal_id"))
 
 

@@ -128,10 +128,9 @@ def quality_mid(spark, d):
     return table(spark, d, "part").select("p_partkey", quality.mid(c("p_retailprice"), c("p_retailprice") * 1.1).alias("mid"))
 
 
-@query("SELECT column_name AS name FROM (VALUES ('c_name'), ('c_nope'), ('c_gone')) AS v(column_name) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE customer))")
+@query("SELECT 'c_name' AS name, true AS present, count(*) AS rows, count(c_name) AS filled FROM customer UNION ALL SELECT 'c_nope', false, count(*), 0 FROM customer UNION ALL SELECT 'c_acctbal', true, count(*), count(c_acctbal) FROM customer")
 def quality_schema(spark, d):
-    found = quality.missing_columns(table(spark, d, "customer"), ["c_name", "c_nope", "c_gone"])
-    return spark.createDataFrame([(x,) for x in found], "name string")
+    return quality.schema_check(table(spark, d, "customer"), ["c_name", "c_nope", "c_acctbal"])
 
 
 ODD = "k AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE value END AS x FROM events)"
@@ -227,10 +226,10 @@ def time_server(spark, d):
 
 # ---- streams ----------------------------------------------------------------------------------
 
-def event_stream(spark: SparkSession, d: str) -> DataFrame:
+def event_stream(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
     """The events as a stream of (symbol, ts, price, seq, user_id)."""
     schema = table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").filter(where)
     return rows.select(c("event_type").alias("symbol"), c("ts").cast("timestamp").alias("ts"), c("value").alias("price"), c("event_id").alias("seq"), "user_id")
 
 
@@ -272,9 +271,9 @@ def stream_subscription(spark, d):
     src, path = tables.scratch(spark, "source"), tables.scratch(spark, "stream")
     rows.filter("ts >= timestamp_ntz'2024-01-20'").write.parquet(src)
     stream = spark.readStream.schema(rows.schema).parquet(src)
-    sink = lambda out: out.select("symbol", "ts", "SMA").write.mode("append").parquet(f"{path}/out")
+    sink = lambda out, n: tables.append_batch(f"{path}/out", out.select("symbol", "ts", "SMA"), n)
     streams.indicator_subscription(stream, lambda _: rows.filter("ts < timestamp_ntz'2024-01-20'"), "SMA", sink, f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    return tables.stored(spark, f"{path}/out").drop("batch")
 
 
 @query(f"WITH {T}, {B}, k AS (SELECT symbol, ts, close - {rolled('avg', 'close', 14)} AS x FROM b), p AS (SELECT *, 1 / (1 + exp(-x)) AS p FROM k WHERE ts >= TIMESTAMP '2024-01-20') SELECT symbol, {SHOW_TS}, CASE WHEN p >= 0.9 THEN 'CALL' ELSE 'PUT' END AS direction FROM p WHERE p >= 0.9 OR p <= 1 - CAST(0.9 AS DOUBLE)")
@@ -289,8 +288,8 @@ def stream_scored(spark, d):
         return signals.executable(df.withColumns({"direction": direction, "confidence": confidence}))
 
     stream = spark.readStream.schema(rows.schema).parquet(src)
-    streams.score_loop(stream, lambda _: rows.filter("ts < timestamp_ntz'2024-01-20'"), indicators.sma, decide, lambda out: tables.append(f"{path}/out", out.select("symbol", "ts", "direction")), f"{path}/checkpoint").awaitTermination()
-    return tables.stored(spark, f"{path}/out")
+    streams.score_loop(stream, lambda _: rows.filter("ts < timestamp_ntz'2024-01-20'"), indicators.sma, decide, lambda out, n: tables.append_batch(f"{path}/out", out.select("symbol", "ts", "direction"), n), f"{path}/checkpoint").awaitTermination()
+    return tables.stored(spark, f"{path}/out").drop("batch")
 
 
 @query("WITH s AS (SELECT event_id AS signal_id, ts, user_id AS pair FROM events WHERE event_type = 'click'), r AS (SELECT event_id AS trade_id, ts, user_id AS pair FROM events WHERE event_type = 'purchase') SELECT s.signal_id, s.pair, r.trade_id FROM s LEFT JOIN r ON s.pair = r.pair AND r.ts > s.ts - INTERVAL 1800 SECOND AND r.ts < s.ts + INTERVAL 1800 SECOND WHERE r.trade_id IS NOT NULL OR s.ts < (SELECT min(m) FROM (SELECT max(ts) AS m FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_type)) - INTERVAL 2 MINUTE - INTERVAL 1801 SECOND")
@@ -310,4 +309,30 @@ def stream_latest(spark, d):
     path = tables.scratch(spark, "stream")
     feed = event_stream(spark, d).select(c("symbol").alias("asset"), "ts", "seq", "price")
     streams.latest_sink(streams.latest_by_asset(feed, "price", ("ts", "seq")), f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("asset", "price")
+    return tables.published(spark, f"{path}/out").select("asset", "price")
+
+
+@query("SELECT event_type AS symbol, event_id AS seq, round(value, 6) AS price FROM events")
+def stream_ticks(spark, d):
+    return drained(spark, lambda out, at: streams.tick_sink(event_stream(spark, d).drop("user_id"), out, at)).select("symbol", "seq", "price")
+
+
+DESKS = "CASE event_type WHEN 'purchase' THEN CASE WHEN value >= 10 THEN 'win' ELSE 'loss' END WHEN 'error' THEN 'loss' END"
+GATE = f"""e AS (SELECT 'd' || user_id % 10 AS symbol, ts, event_id AS seq, least(0.5 + value / 50, 0.999) AS confidence, {DESKS} AS outcome, CASE WHEN {DESKS} = 'win' THEN value WHEN {DESKS} = 'loss' THEN -value END AS amount FROM events WHERE event_type <> 'signup'),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k, epoch(ts) AS t, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM e),
+g AS (SELECT symbol, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS day, CAST(0 AS BIGINT) AS streak, CAST(NULL AS DOUBLE) AS fired_at, CAST(0 AS BIGINT) AS wins, CAST(0 AS DOUBLE) AS net, CAST(NULL AS BOOLEAN) AS fired, CAST(NULL AS DOUBLE) AS threshold FROM n GROUP BY symbol
+UNION ALL SELECT symbol, k, seq, outcome, day, CASE outcome WHEN 'win' THEN 0 WHEN 'loss' THEN streak0 + 1 ELSE streak0 END, CASE WHEN fire THEN t ELSE fired_at END, CASE WHEN outcome = 'win' THEN wins0 + 1 ELSE wins0 END, CASE WHEN outcome IS NOT NULL THEN net0 + amount ELSE net0 END, CASE WHEN outcome IS NULL THEN fire END, CASE WHEN outcome IS NULL THEN bar END
+FROM (SELECT *, outcome IS NULL AND confidence >= bar AND streak0 < 3 AND wins0 < 2 AND (fired_at IS NULL OR t - fired_at >= 1800) AS fire FROM (SELECT *, least(0.55 + streak0 * 0.05, 0.999) AS bar FROM (
+SELECT n.*, g.fired_at, CASE WHEN n.day IS DISTINCT FROM g.day AND g.streak >= 3 THEN 0 ELSE g.streak END AS streak0, CASE WHEN n.day IS DISTINCT FROM g.day THEN 0 ELSE g.wins END AS wins0, CASE WHEN n.day IS DISTINCT FROM g.day THEN 0.0 ELSE g.net END AS net0 FROM g JOIN n ON n.symbol = g.symbol AND n.k = g.k + 1)))),
+s AS (SELECT g.*, n.ts FROM g JOIN n ON n.symbol = g.symbol AND n.k = g.k),
+z AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY k DESC) AS back FROM s)"""
+
+
+@query(f"WITH RECURSIVE {GATE} SELECT symbol, {SHOW_TS}, seq, fired, streak, round(threshold, 6) AS threshold, wins, round(net, 6) + 0.0 AS net FROM s WHERE outcome IS NULL UNION ALL SELECT symbol, strftime(to_timestamp((day + 1) * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), NULL, NULL, streak, round(least(0.55 + streak * 0.05, 0.999), 6), wins, round(net, 6) + 0.0 FROM z WHERE back = 1 AND (day + 1) * 86400 <= (SELECT floor(epoch(max(ts))) - 600 FROM e)")
+def stream_gate(spark, d):
+    """Signals and results of ten desks through the gate, and the days that have ended."""
+    rows = event_stream(spark, d, "event_type <> 'signup'")
+    outcome = F.when(c("symbol") == "purchase", F.when(c("price") >= 10, "win").otherwise("loss")).when(c("symbol") == "error", "loss")
+    rows = rows.select(F.concat(F.lit("d"), c("user_id") % 10).alias("symbol"), "ts", "seq", F.least(0.5 + c("price") / 50, F.lit(0.999)).alias("confidence"), outcome.alias("outcome"), F.when(outcome == "win", c("price")).when(outcome == "loss", -c("price")).alias("amount"))
+    gate = streams.gated(rows, base=0.55, most=3, target=2, cooldown=1800.0)
+    return naive(drained(spark, lambda out, at: streams.ledger_sink(gate, out, at)))

@@ -92,7 +92,7 @@ def test_calendar(spark):
     days = calendar.holidays(spark, 2023, 2025)
     names = {r.date: r.name for r in days.collect()}
     assert names[dt.date(2024, 3, 29)] == "Good Friday" and names[dt.date(2025, 4, 21)] == "Easter Monday"
-    table = calendar.closed_minutes(spark, days, "2023-12-20", "2024-04-10")
+    table = calendar.holiday_minutes(days)
     gaps = [("A", dt.datetime(2024, 3, 8, 21), dt.datetime(2024, 3, 10, 20, 59)), ("A", dt.datetime(2024, 3, 8, 20, 59), dt.datetime(2024, 3, 10, 21)), ("A", dt.datetime(2024, 3, 29, 3), dt.datetime(2024, 3, 29, 5)), ("A", dt.datetime(2024, 3, 6, 3), dt.datetime(2024, 3, 6, 5))]
     df = spark.createDataFrame(gaps, "symbol string, gap_start timestamp_ntz, gap_end timestamp_ntz")
     assert [r.kind for r in calendar.classified(df, table).orderBy("gap_start", "gap_end").collect()] == ["unexpected", "unexpected", "weekend", "holiday"]
@@ -172,7 +172,7 @@ def test_known_easter_dates(spark):
 
 
 def test_times_outside_of_the_calendar_are_errors(spark):
-    table = calendar.closed_minutes(spark, calendar.holidays(spark, 2024, 2024), "2024-01-01", "2024-02-01")
+    table = calendar.holiday_minutes(calendar.holidays(spark, 2020, 2020))
     rows = spark.createDataFrame([(at(0), at(60)), (None, at(0))], "a timestamp_ntz, z timestamp_ntz")
     with pytest.raises(Exception, match="outside"):
         calendar.trading_minutes(rows.filter("a IS NOT NULL"), table, "a", "z").collect()
@@ -180,13 +180,128 @@ def test_times_outside_of_the_calendar_are_errors(spark):
     assert [r.minutes for r in calendar.trading_minutes(rows, wide, "a", "z").orderBy("z").collect()].count(None) == 1
 
 
+def test_minutes_equal_a_count_of_minutes(spark):
+    days = calendar.holidays(spark, 2020, 2027)
+    off = {r.date for r in days.collect()}
+    rng = random.Random(2)
+    spans = [(t := dt.datetime(2021, 1, 1) + dt.timedelta(minutes=rng.randrange(5 * 525_600), seconds=rng.randrange(60)), t + dt.timedelta(minutes=rng.choice([0, 1, 700, 3000, 20_000]), seconds=rng.randrange(60))) for _ in range(60)]
+    spans += [(dt.datetime(2021, 12, 24, 0), dt.datetime(2022, 1, 3, 23)), (dt.datetime(2024, 12, 31, 23, 59, 59), dt.datetime(2025, 1, 1)), (dt.datetime(1969, 12, 26), dt.datetime(1970, 1, 9))]
+    table = calendar.holiday_minutes(days.unionByName(calendar.holidays(spark, 1969, 1970)))
+    off |= {r.date for r in calendar.holidays(spark, 1969, 1970).collect()}
+
+    def minutes(a, z):
+        t, last = a.replace(second=0), z.replace(second=0)
+        while t <= last:
+            closed = t.weekday() == 5 or t.weekday() == 4 and t.hour >= 21 or t.weekday() == 6 and t.hour < 21
+            yield not closed, not closed and t.date() not in off
+            t += dt.timedelta(minutes=1)
+
+    df = spark.createDataFrame(spans, "a timestamp_ntz, z timestamp_ntz")
+    both = calendar.trading_minutes(calendar.trading_minutes(df, table, "a", "z", "open"), table, "a", "z", "week", "weekday_minutes")
+    got = {(r.a, r.z): (r.week, r.open) for r in both.collect()}
+    for a, z in spans:
+        found = list(minutes(a, z))
+        assert got[a, z] == (sum(w for w, _ in found), sum(o for _, o in found)), (a, z)
+    far = spark.createDataFrame([(dt.datetime(2024, 1, 1), dt.datetime(9999, 12, 31))], "a timestamp_ntz, z timestamp_ntz")
+    years = calendar.holiday_minutes(calendar.holidays_of(far.select("a").union(far.select("z")), "a"))
+    assert years.count() < 8000 and calendar.trading_minutes(far, years, "a", "z").first()["minutes"] > 10**9  # no table of hours
+
+
 def test_boosted_and_importance(spark):
     rows = spark.range(400).selectExpr("'A' AS symbol", "id AS ts", "double(id % 7) AS x", "double(hash(id) % 11) AS noise", "int(id % 7 > 3) AS label", "CASE WHEN id < 280 THEN 'train' WHEN id < 340 THEN 'val' ELSE 'test' END AS split")
     for incremental in (False, True):
-        model = models.boosted(rows, ["x", "noise"], rounds=(2, 4), incremental=incremental)
+        model = models.boosted(rows, ["x", "noise"], rounds=4, incremental=incremental)
         scored = models.probability(model, rows.filter("split = 'test'"))
         assert models.metrics(scored).first()["auc"] == 1.0
     ranked = models.importance(model, ["x", "noise"]).orderBy("rank").collect()
     assert [r.feature for r in ranked] == ["x", "noise"] and abs(sum(r.weight for r in ranked) - 1) < 1e-9
     weights = labels.class_weight(rows.filter("split = 'train'"), ("symbol",)).groupBy("label").agg(F.max("weight").alias("w"))
     assert {r.label: round(r.w, 6) for r in weights.collect()} == {0: 1.0, 1: round(160 / 120, 6)}
+
+
+def noisy(spark):
+    return spark.range(600).selectExpr("'A' AS symbol", "id AS ts", "double(id % 7) AS x", "double(abs(hash(id)) % 11) AS noise", "int(abs(hash(id, 3)) % 10 < (id % 7)) AS label", "CASE WHEN id < 400 THEN 'train' WHEN id < 500 THEN 'val' ELSE 'test' END AS split")
+
+
+def test_compiled_ensembles_score_as_the_models_do(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+
+    from marketframe.operators.ensembles import Ensemble
+
+    rows, x = noisy(spark), ["x", "noise"]
+    weighted = labels.class_weight(rows.filter("split = 'train'"))
+    boosted = Pipeline(stages=[models.assembler(x), GBTClassifier(labelCol="label", weightCol="weight", maxIter=6, stepSize=0.3, seed=7)]).fit(weighted)
+    for model in (models.forest(rows, x, trees=12), boosted):
+        plain = Ensemble.of(model, x)
+        both = models.probability(plain, models.probability(model, rows, "p"), "q")
+        assert both.filter("abs(p - q) > 1e-9").count() == 0 and both.select("q").distinct().count() > 5
+        own = {r.feature: r.weight for r in models.importance(model, x).collect()}
+        assert {r.feature: round(r.weight, 6) for r in models.importance(plain, x).collect()} == {f: round(w, 6) for f, w in own.items()}
+
+
+def test_best_round_equals_a_search_over_fits(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+
+    from marketframe.operators.ensembles import Ensemble
+
+    rows, x = noisy(spark), ["x", "noise"]
+    val = rows.filter("split = 'val'")
+    weighted = labels.class_weight(rows.filter("split = 'train'"))
+    areas = {}
+    for n in range(1, 6):
+        gbt = GBTClassifier(labelCol="label", weightCol="weight", maxIter=n, stepSize=0.1, seed=7)
+        fitted = Ensemble.of(Pipeline(stages=[models.assembler(x), gbt]).fit(weighted), x)  # a fit for each number of rounds
+        areas[n] = models.metrics(models.probability(fitted, val)).first()["auc"]
+    model = models.boosted(rows, x, rounds=5)
+    assert len(model.trees) == max(areas, key=lambda n: (round(areas[n], 12), -n))
+    staged = {r["round"]: r.auc for r in models.round_areas(model, val).collect()}
+    assert all(abs(a - areas[n]) < 1e-12 for n, a in staged.items())
+
+
+def test_out_of_fold(spark):
+    rows = noisy(spark).withColumn("ts", F.timestamp_seconds("ts"))
+    out = models.out_of_fold(rows, {"f": models.frequency("x")}, blocks=3).collect()
+    base = rows.collect()
+    cut = lambda r: min(2, int(r.ts.timestamp() * 3 / 599))
+    assert len(out) == sum(cut(r) > 0 for r in base)
+    for r in out:
+        seen = [b.label for b in base if cut(b) < r.block and b.x == r.x]
+        assert r.block == cut(r) and r.f == pytest.approx((sum(seen) + 1) / (len(seen) + 2))
+    fits = {"trees": models.learner(lambda df: models.forest(df, ["x", "noise"], trees=5)), "f": models.frequency("x")}
+    _, scored = models.stacked_out_of_fold(rows, fits, blocks=3)
+    assert models.metrics(scored).first()["auc"] > 0.7 and scored.count() == 100
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 10_000])
+def test_rolling_sums_know_their_window_only(spark, rows_a_batch):
+    import numpy as np
+
+    from marketframe.functions.recurrence import Frame, Rolling, sliding_sums
+
+    rng = np.random.default_rng(rows_a_batch)
+    special = [np.nan, np.inf, -np.inf, 1e17, -1e17, 0.0, 1e-9]
+    for n in (1, 2, 3, 10, 50):
+        x = np.where(rng.random(400) < 0.1, rng.choice(special, 400), rng.normal(size=400))
+        frame, out = Frame(Rolling("x", n)), []
+        for i in range(0, 400, rows_a_batch):
+            out.append(frame.feed(x[i : i + rows_a_batch], i))
+        got = np.concatenate(out)
+        for i in range(400):
+            w = x[max(0, i - n + 1) : i + 1]
+            if len(w) < n or np.isnan(w).any():
+                assert np.isnan(got[i])
+            elif not np.isfinite(w).all():
+                want = math.nan if {np.inf, -np.inf} <= set(w) else w[~np.isfinite(w)][0]
+                assert got[i] == want or math.isnan(want) and math.isnan(got[i])
+            else:  # as near as one rounding of its own largest value allows
+                assert abs(got[i] - math.fsum(w) / n) <= 1e-15 * np.abs(w).max() * n
+    assert sliding_sums(np.array([1e17, 1.0, 1.0, 1.0, 1.0]), 2, 3).tolist() == [1e17, 2.0, 2.0, 2.0]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        df = spark.createDataFrame([("A", i, v) for i, v in enumerate([1.0, 2.0, 3.0, math.inf, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0])], "symbol string, ts int, x double")
+        got = [r.m for r in ewm(df, {"m": Rolling("x", 2)}).orderBy("ts").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [None, 1.5, 2.5, math.inf, math.inf, 5.5, 6.5, 7.5, 8.5, 9.5]
