@@ -14,7 +14,8 @@ its list entries and the partners that those lists hold on average.
 Lists are not expanded into all pairs. In each round a list that holds different components pairs its
 members with its most central one that wasn't tried before; what verifies is linked, and linked
 documents are contracted. After PIVOT_ROUNDS rounds they go on, up to MOST_ROUNDS, while the members
-that are left would make more pairs than PAIRS_AN_ENTRY for each entry of a list. What is left pairs
+that are left would make more pairs than PAIRS_AN_ENTRY for each entry of a list, and a round still takes a
+good share of these away. What is left pairs
 the members of different components, long lists in blocks of BLOCK members, so that no list is one
 task. A pair is a candidate only where what both sets hold behind the common key suffices (the first
 common key of similar sets always passes). Every candidate is verified on the whole sets. Shingles
@@ -48,6 +49,7 @@ from marketframe.llm.components import components
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 128
 PIVOT_ROUNDS, MOST_ROUNDS, PAIRS_AN_ENTRY = 2, 8, 4
+GAIN = 0.8  # a round that leaves more of the pairs than this is the last
 BLOCK = 256
 SALTS = 8
 BROADCAST_IDS = 500_000  # doc_ids (8 bytes each) that are sent to every executor
@@ -283,8 +285,16 @@ def _reaches(pos: str, n: str, other, sim: Similarity):
     return F.col(pos) <= F.col(n) - _ceil((F.col(n) + other) * sim.num, sim.num + sim.den)
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return settle(rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
+def _contracted(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """`entries` with root replaced by the smallest root within two links (`edges`: ra, rb) of it. Equal roots
+    are linked documents; that some linked ones keep different roots costs pairs, not links. A component may
+    hold a third of all entries, so they are dealt over SALTS keys."""
+    both = edges.select(F.col("ra").alias("u"), F.col("rb").alias("v")).unionByName(edges.select(F.col("rb").alias("u"), F.col("ra").alias("v"))).distinct()
+    one = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    two = both.join(one.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("m")).filter("m < u")
+    salted = two.select(F.col("u").alias("root"), "m", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    out = entries.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left")
+    return settle(out.withColumn("root", F.coalesce("m", "root")).drop("m", "salt"), "placed")
 
 
 def _pairs_left(placed: DataFrame) -> float:
@@ -316,10 +326,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     placed = entries.join(lists, "key").filter(_reaches("pos", "n", F.greatest("low", _ceil(F.col("n") * num, den)), sim))
     placed = settle(placed.select("key", "pos", "doc_id", "n", F.col("doc_id").alias("root"), F.lit(False).alias("used")), "lists")
     links = tested = None
-    entries_in_lists = placed.count()
+    entries_in_lists, before = placed.count(), math.inf
     for k_round in range(MOST_ROUNDS):
-        if k_round >= PIVOT_ROUNDS and _pairs_left(placed) <= PAIRS_AN_ENTRY * entries_in_lists:
-            break
+        if k_round >= PIVOT_ROUNDS:
+            left = _pairs_left(placed)
+            if left <= PAIRS_AN_ENTRY * entries_in_lists or left > GAIN * before:
+                break
+            before = left
         # the unused member for which the key is the rarest is the least edited one: it hardly has
         # shingles of its own, so the others are likeliest to be similar to it
         free = F.when(~F.col("used"), F.struct("pos", "doc_id", "n", "root"))
@@ -329,12 +342,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
         x = settle(x.withColumn("used", F.col("used") | F.coalesce(itself, F.lit(False))), "pivots")
         fit = _reaches("pos", "n", F.col("p.n"), sim) & _reaches("p.pos", "p.n", F.col("n"), sim)
         pairs = x.filter("p IS NOT NULL AND root <> p.root").filter(near("n", "p.n", sim) & fit)
-        pairs = pairs.select(F.least("p.doc_id", "doc_id").alias("a"), F.greatest("p.doc_id", "doc_id").alias("b")).distinct()
+        pairs = pairs.select(F.least("p.doc_id", "doc_id").alias("a"), F.greatest("p.doc_id", "doc_id").alias("b"), F.least("p.root", "root").alias("ra"), F.greatest("p.root", "root").alias("rb")).distinct()
         pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = settle(verified(pairs, docs, k, sim), "verified")
+        found = settle(verified(pairs.select("a", "b"), docs, k, sim), "verified")
         links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        placed = _rooted(x.drop("p", "root"), components(links, "a", "b"))
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        placed = _contracted(x.drop("p"), pairs.join(found, ["a", "b"], "left_semi"))
 
     open_ = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z")).filter("r < z").select("key")
     rest = placed.join(open_, "key").filter("NOT used")
