@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,19 @@ def discard(spark: SparkSession, first: int) -> None:
     del _SETTLED[first:-1]
 
 
+#: Share of the driver's heap in use by the system from which garbage is collected between jobs.
+HEAP_SHARE = 0.6
+
+
+def free_driver(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage, and give the room back, if its heap has grown: plans, task
+    results and broadcasts of many small jobs otherwise fill it up to its limit."""
+    memory = spark._jvm.java.lang.Runtime.getRuntime()
+    if memory.totalMemory() > HEAP_SHARE * memory.maxMemory():
+        gc.collect()  # objects that only Python still refers to
+        spark._jvm.java.lang.System.gc()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 
@@ -57,6 +71,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     free_worker()  # the driver's Python, too, shares its memory with a JVM
+    free_driver(df.sparkSession)
     df.write.parquet(path)
     _SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.bpe import slices
-from marketframe.llm.common import bounded_batches, free_worker, map_arrow, settle
+from marketframe.llm.common import bounded_batches, free_driver, free_worker, map_arrow, settle
 
 SAMPLE_ROWS = 20_000
 STARTS = (3, 4, 5, 6)
@@ -263,12 +263,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
     held = present(sample, names).toArrow()  # about SAMPLE_ROWS short rows
     q = posteriors(held, voters, len(names))
     free_worker()  # the votes were the driver's
+    free_driver(spark)
     features = pa.chunked_array([held.column("found").combine_chunks().cast(pa.list_(pa.string()))])
     sides = [pa.table({"found": features, "y": pa.array(np.full(len(q), y)), "p": pa.array(p)}) for y, p in ((1.0, q), (0.0, 1 - q))]
     vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(names))], inputCol="found", outputCol="features", minTF=1.0)
     examples = vectors.transform(spark.createDataFrame(pa.concat_tables(sides)).filter("p > 1e-6").repartition(6)).cache()
     fitted = LogisticRegression(weightCol="p", labelCol="y", regParam=REGULAR, maxIter=100, standardization=False).fit(examples)
     examples.unpersist()
+    free_driver(spark)
     weights = {f: float(w) for f, w in zip(names, fitted.coefficients.toArray()) if w}
     return Classifier(weights, float(fitted.intercept))
 
