@@ -77,11 +77,14 @@ def newest(df: DataFrame, n: int, order: str = "ts") -> DataFrame:
     return df.withColumn("__k", F.row_number().over(by_symbol(F.desc(order)))).filter(F.col("__k") <= n).drop("__k")
 
 
-def grid(bars: DataFrame, seconds: int, columns: list[str]) -> DataFrame:
-    """Every bucket from a symbol's first to its last; per column the last value in it, or null."""
+def grid(bars: DataFrame, seconds: int, columns: list[str], most: int = 20_000_000) -> DataFrame:
+    """Every bucket from a symbol's first to its last; per column the last value in it, or null. A symbol of
+    over `most` buckets (38 years of minutes) is an error: one odd time would make as many rows."""
     found = bars.groupBy("symbol", bucket(F.col("ts"), seconds).alias("ts_")).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in columns)).withColumnRenamed("ts_", "ts")
     ends = found.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
-    steps = F.sequence(F.unix_timestamp(F.col("a").cast("timestamp")), F.unix_timestamp(F.col("z").cast("timestamp")), F.lit(seconds).cast("bigint"))
+    first, last = (F.unix_timestamp(F.col(x).cast("timestamp")) for x in "az")
+    far = F.raise_error(F.concat(F.lit("too many buckets from the first to the last time of symbol "), "symbol")).cast("array<bigint>")
+    steps = F.when((last - first) / seconds >= most, far).otherwise(F.sequence(first, last, F.lit(seconds).cast("bigint")))
     slots = ends.select("symbol", F.explode(steps).alias("s")).select("symbol", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
     return slots.join(found, ["symbol", "ts"], "left")
 

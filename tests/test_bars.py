@@ -207,6 +207,13 @@ def test_minutes_equal_a_count_of_minutes(spark):
     assert years.count() < 8000 and calendar.trading_minutes(far, years, "a", "z").first()["minutes"] > 10**9  # no table of hours
 
 
+def test_one_odd_time_makes_no_endless_grid(spark):
+    df = spark.createDataFrame([("A", at(0), 1.0), ("A", at(120), 2.0)], "symbol string, ts timestamp_ntz, close double")
+    assert bars.grid(df, 60, ["close"], most=3).count() == 3
+    with pytest.raises(Exception, match="too many buckets"):
+        bars.grid(df, 60, ["close"], most=2).collect()
+
+
 def test_boosted_and_importance(spark):
     rows = spark.range(400).selectExpr("'A' AS symbol", "id AS ts", "double(id % 7) AS x", "double(hash(id) % 11) AS noise", "int(id % 7 > 3) AS label", "CASE WHEN id < 280 THEN 'train' WHEN id < 340 THEN 'val' ELSE 'test' END AS split")
     for incremental in (False, True):
