@@ -337,11 +337,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
         # shingles of its own, so the others are likeliest to be similar to it
         free = F.when(~F.col("used"), F.struct("pos", "doc_id", "n", "root"))
         pivots = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.min(free).alias("p")).filter("r < z AND p IS NOT NULL").select("key", "p")
-        x = placed.join(pivots, "key", "left")
+        x = placed.join(pivots, "key")  # a list of one component, or whose members all were pivots, is done
         itself = F.col("p") == F.struct("pos", "doc_id", "n", "root")  # an entry, as rows may share doc_id
         x = settle(x.withColumn("used", F.col("used") | F.coalesce(itself, F.lit(False))), "pivots")
         fit = _reaches("pos", "n", F.col("p.n"), sim) & _reaches("p.pos", "p.n", F.col("n"), sim)
-        pairs = x.filter("p IS NOT NULL AND root <> p.root").filter(near("n", "p.n", sim) & fit)
+        pairs = x.filter("root <> p.root").filter(near("n", "p.n", sim) & fit)
         pairs = pairs.select(F.least("p.doc_id", "doc_id").alias("a"), F.greatest("p.doc_id", "doc_id").alias("b"), F.least("p.root", "root").alias("ra"), F.greatest("p.root", "root").alias("rb")).distinct()
         pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = settle(verified(pairs.select("a", "b"), docs, k, sim), "verified")
