@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -146,12 +147,13 @@ def stacked_out_of_fold(rows: DataFrame, learners: dict[str, Learner], blocks: i
 
 
 def importance(model: PipelineModel | Ensemble, columns: list[str], top: int | None = None) -> DataFrame:
-    """rank, feature and weight of a tree model's features, the largest first; all of them unless `top`."""
+    """rank, feature and weight of a tree model's features, the largest first, NaN before all numbers and ties by
+    name; all of them unless `top`."""
     if isinstance(model, Ensemble):
         weights = model.importance()
     else:
         weights = model.stages[-1].featureImportances.toArray()
-    ranked = sorted(zip(columns, map(float, weights)), key=lambda x: (-x[1], x[0]))[:top]
+    ranked = sorted(zip(columns, map(float, weights)), key=lambda x: (-math.inf if math.isnan(x[1]) else -x[1], x[0]))[:top]
     return SparkSession.active().createDataFrame([(i + 1, *x) for i, x in enumerate(ranked)], "rank int, feature string, weight double")
 
 

@@ -247,6 +247,19 @@ def test_compiled_ensembles_score_as_the_models_do(spark):
         assert {r.feature: round(r.weight, 6) for r in models.importance(plain, x).collect()} == {f: round(w, 6) for f, w in own.items()}
 
 
+def test_splits_that_gain_nothing_have_no_shares(spark):
+    from marketframe.operators.ensembles import Ensemble
+
+    leaf = lambda v: (-1, None, -1, -1, v, None, None)
+    trees = {0: [(0, 1.0, 1, 2, None, None, None), leaf(0.1), leaf(0.9)], 1: [(1, 9.0, 1, 2, None, None, None), leaf(0.4), leaf(0.6)], 2: [leaf(0.5)]}
+    rows = spark.createDataFrame([(float(i), float(i % 2), int(i > 1)) for i in range(4)], "b double, a double, label int")
+    one_gains_nothing = Ensemble(["b", "a"], False, trees).measured(rows)
+    got = models.importance(one_gains_nothing, ["b", "a"]).collect()
+    assert [(r["rank"], r.feature) for r in got] == [(1, "a"), (2, "b")] and all(math.isnan(r.weight) for r in got)
+    assert Ensemble(["b", "a"], True, trees).measured(rows).importance() == [1.0, 0.0]
+    assert Ensemble(["b", "a"], False, {0: trees[0], 2: trees[2]}).measured(rows).importance() == [1.0, 0.0]
+
+
 def test_best_round_equals_a_search_over_fits(spark):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
