@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ c = F.col
 # Outcomes by side, words for sides.
 DIRECTIONS = {"UP": "call", "CALL": "call", "0": "call", "DOWN": "put", "PUT": "put", "1": "put"}
 KILLS = ("kill_switch", "fatal_error", "engine_crash", "webhook_failed", "journal_failed")
+PART_ROWS = 500_000  # rows of both sides of a lookup in a task
 
 
 def decide(p: Column, threshold: float | Column) -> tuple[Column, Column]:
@@ -204,8 +206,15 @@ def match(signals: DataFrame, trades: DataFrame, tolerance: float = 30.0) -> Dat
 
 
 def lookup(tickets: DataFrame, operations: DataFrame) -> DataFrame:
-    """status of each ticket: win, loss, or that it was not found."""
+    """status of each ticket: win, loss, or that it was not found.
+
+    Both sides are counted and dealt by ticket into parts of about PART_ROWS rows, so that the sort of a task,
+    and what is grouped by ticket behind it, don't grow with the tables."""
     found = operations.select("ticket", "profit")
+    parts = math.ceil((tickets.count() + found.count()) / PART_ROWS)
+    if parts > 1:
+        parts = max(parts, tickets.sparkSession.sparkContext.defaultParallelism)
+        tickets, found = tickets.repartition(parts, "ticket"), found.repartition(parts, "ticket")
     return tickets.join(found, "ticket", "left").withColumn("status", F.when(c("profit").isNull(), "OperationID Not Found.").when(c("profit") > 0, "win").otherwise("loss"))
 
 

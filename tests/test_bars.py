@@ -130,6 +130,18 @@ def test_signals(spark):
     assert {r.signal_id: r.trade_id for r in signals.match(s, t).collect()} == {1: None, 2: 8}
 
 
+def test_lookup_deals_large_tables_into_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(signals, "PART_ROWS", 100, raising=False)
+    tickets = spark.sql("SELECT IF(id = 7, NULL, id) AS ticket, id % 3 AS line FROM range(1000)")
+    ops = spark.sql("SELECT id * 2 AS ticket, double(id % 5) - 2 AS profit FROM range(500) UNION ALL SELECT 4, 1D")
+    out = signals.lookup(tickets, ops)
+    parts = out.groupBy("ticket", "line", "status").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.spark_partition_id()).cache()
+    assert max(r["count"] for r in parts.groupBy("part").count().collect()) < 200
+    found = {r.status: r.s for r in parts.groupBy("status").agg(F.sum("n").alias("s")).collect()}
+    assert found == {"win": 201, "loss": 300, "OperationID Not Found.": 500}
+    assert parts.filter("ticket IS NULL").count() == 1
+
+
 def test_quality(spark):
     df = spark.createDataFrame([(1.0, 2.0, "live"), (0.0, -1.0, None), (math.nan, 1.0, "live")], "bid double, ask double, source string")
     good, bad = quality.split(df, quality.tick_rules(("historical", "live")))
