@@ -12,8 +12,8 @@ The boundary between small and large is the largest size whose subsets cost no m
 its list entries and the partners that those lists hold on average.
 
 Lists are not expanded into all pairs. In each round a list that holds different components pairs its
-members with its most central one that wasn't tried before; what verifies is linked, and linked
-documents are contracted. After PIVOT_ROUNDS rounds they go on, up to MOST_ROUNDS, while the members
+members with its most central one, which then has met them all and leaves the list; what verifies is
+linked, and linked documents are contracted. Lists of which one member is left are done. After PIVOT_ROUNDS rounds they go on, up to MOST_ROUNDS, while the members
 that are left would make more pairs than PAIRS_AN_ENTRY for each entry of a list, and a round still takes a
 good share of these away. What is left pairs
 the members of different components, long lists in blocks of BLOCK members, so that no list is one
@@ -298,8 +298,8 @@ def _contracted(entries: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _pairs_left(placed: DataFrame) -> float:
-    """Pairs of different components that members of lists without a turn as pivot yet would make."""
-    sides = placed.filter("NOT used").groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    """Pairs of different components that members left on lists would make."""
+    sides = placed.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
     lists = sides.groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
     return lists.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0.0))).first()[0]
 
@@ -324,7 +324,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     entries = reps.select("doc_id", "n", F.inline("keys"))
     lists = entries.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.min("n").alias("low")).filter("a < z").select("key", "low")
     placed = entries.join(lists, "key").filter(_reaches("pos", "n", F.greatest("low", _ceil(F.col("n") * num, den)), sim))
-    placed = settle(placed.select("key", "pos", "doc_id", "n", F.col("doc_id").alias("root"), F.lit(False).alias("used")), "lists")
+    placed = settle(placed.select("key", "pos", "doc_id", "n", F.col("doc_id").alias("root")), "lists")
     links = tested = None
     entries_in_lists, before = placed.count(), math.inf
     for k_round in range(MOST_ROUNDS):
@@ -333,13 +333,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
             if left <= PAIRS_AN_ENTRY * entries_in_lists or left > GAIN * before:
                 break
             before = left
-        # the unused member for which the key is the rarest is the least edited one: it hardly has
-        # shingles of its own, so the others are likeliest to be similar to it
-        free = F.when(~F.col("used"), F.struct("pos", "doc_id", "n", "root"))
-        pivots = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.min(free).alias("p")).filter("r < z AND p IS NOT NULL").select("key", "p")
-        x = placed.join(pivots, "key")  # a list of one component, or whose members all were pivots, is done
-        itself = F.col("p") == F.struct("pos", "doc_id", "n", "root")  # an entry, as rows may share doc_id
-        x = settle(x.withColumn("used", F.col("used") | F.coalesce(itself, F.lit(False))), "pivots")
+        # the member for which the key is the rarest is the least edited one: it hardly has shingles of
+        # its own, so the others are likeliest to be similar to it
+        entry = F.struct("pos", "doc_id", "n", "root")  # as rows may share doc_id
+        pivots = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.min(entry).alias("p"), F.count(F.lit(1)).alias("members"))
+        x = settle(placed.join(pivots.filter("r < z").select("key", "p", "members"), "key"), "pivots")  # a list of one component is done
         fit = _reaches("pos", "n", F.col("p.n"), sim) & _reaches("p.pos", "p.n", F.col("n"), sim)
         pairs = x.filter("root <> p.root").filter(near("n", "p.n", sim) & fit)
         pairs = pairs.select(F.least("p.doc_id", "doc_id").alias("a"), F.greatest("p.doc_id", "doc_id").alias("b"), F.least("p.root", "root").alias("ra"), F.greatest("p.root", "root").alias("rb")).distinct()
@@ -347,10 +345,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
         found = settle(verified(pairs.select("a", "b"), docs, k, sim), "verified")
         links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        placed = _contracted(x.drop("p"), pairs.join(found, ["a", "b"], "left_semi"))
+        # the pivot has met every member, so a list of two is done; only those that stay need their roots
+        stay = x.filter((F.col("members") > 2) & (F.col("p") != entry))
+        placed = _contracted(stay.drop("p", "members"), pairs.join(found, ["a", "b"], "left_semi"))
 
     open_ = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("z")).filter("r < z").select("key")
-    rest = placed.join(open_, "key").filter("NOT used")
+    rest = placed.join(open_, "key")
     # each member meets each block of its list once: it stands in its own row of blocks, and once in
     # every column
     size = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -278,6 +278,21 @@ def test_set_join(spark, monkeypatch, k, num, den, rounds, limit):
     assert setjoin.join(frame(spark, []), k, num, den).count() == 0
 
 
+def test_lists_that_are_done_are_not_contracted(spark, monkeypatch):
+    """Pivots leave their lists, and lists of two are done with their round, linked or not."""
+    entries, contracted = [], setjoin._contracted
+    monkeypatch.setattr(setjoin, "_contracted", lambda rows, edges: entries.append(rows.count()) or contracted(rows, edges))
+    near = lambda c, n: [" ".join([*(f"{c}{i}" for i in range(40)), *(f"{c}{i}x{j}" for j in range(3))]) for i in range(n)]
+    text = lambda c, *tail: " ".join([*(f"{c}{i}" for i in range(40)), *tail])
+    pairs = [text(c, x) for c in "abcdef" for x in "yz"] + [text("g", "y"), text("g", *map(str, range(30)))]  # the last two are not similar
+    for texts, many in ((pairs, False), (pairs + near("h", 5), True)):
+        entries.clear()
+        rows = list(enumerate(texts))
+        got = {r.doc_id: r.component_id for r in setjoin.join(frame(spark, rows), 2, 4, 5).collect()}
+        assert got == groups(rows, 2, 4, 5)
+        assert (entries[0] > 0) == many and entries == sorted(entries, reverse=True)
+
+
 def test_words_of_the_join():
     for x in odd_texts()[:60]:
         assert len(setjoin.shingles(x, 4)) == len(shingle_set(x, 4))
