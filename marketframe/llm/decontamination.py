@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import alnum_words, settle
+from marketframe.llm.common import ALNUM_GAP, alnum_pieces, alnum_words, settle
 
 WINDOW = 10
 #: Most windows that are sent to every executor (about 200 bytes each; items stay behind).
@@ -30,7 +30,6 @@ BROADCAST_WINDOWS = 200_000
 #: Most prefix words, or pairs of a window and an item (about 40 bytes each), that are sent to every executor.
 BROADCAST_TOKENS = 1_000_000
 SALTS = 16
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -47,24 +46,26 @@ def prefixes(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     """windows with their prefix: `token`, the rarest word, and `off`, its place in the window."""
     at = windows.select("win", F.posexplode("win").alias("off", "token"))
     vocabulary = at.select("token").distinct()
-    words = docs.select(F.explode(alnum_words(F.col("text"))).alias("token"))
+    words = docs.select(F.explode(alnum_pieces(F.col("text"))).alias("token"))
     counts = words.join(F.broadcast(vocabulary) if small else vocabulary, "token").groupBy("token").count()
     ranked = at.join(F.broadcast(counts) if small else counts, "token", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "off")).alias("p"))
     return windows.join(ranked.filter("p.n > 0"), "win").select("win", "wid", F.size("win").alias("wn"), "p.token", "p.off")
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, __h (hash of the text), start, wn and wid of every place of a window."""
+    """doc_id, __h (hash of the text), start (in alnum_pieces()), wn and wid of every place of a window."""
     small = windows.count() <= BROADCAST_WINDOWS
     prefix = settle(prefixes(docs, windows, small), "prefixes")
-    words = docs.select("doc_id", F.xxhash64("text").alias("__h"), alnum_words(F.col("text")).alias("__ws"))
+    words = docs.select("doc_id", F.xxhash64("text").alias("__h"), alnum_pieces(F.col("text")).alias("__ws"))
+    # for posexplode() Spark would infer a filter on the size of __ws, and part each text twice
+    at = F.posexplode_outer("__ws").alias("__pos", "token")
     if small:
-        each = words.select("doc_id", "__h", "__ws", F.posexplode("__ws").alias("__pos", "token"))
+        each = words.select("doc_id", "__h", "__ws", at)
         first, context, n = F.col("__pos") - F.col("off"), F.col("__ws"), F.size("__ws")
         shift = first
         prefix = F.broadcast(prefix)
     else:
-        each = words.select("doc_id", "__h", F.size("__ws").alias("__n"), "__ws", F.posexplode("__ws").alias("__pos", "token"))
+        each = words.select("doc_id", "__h", F.size("__ws").alias("__n"), "__ws", at)
         tokens = settle(prefix.select("token").distinct(), "prefix-words")
         if tokens.count() <= BROADCAST_TOKENS:
             each = each.join(F.broadcast(tokens), "token", "left_semi")
@@ -99,7 +100,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     per = per.select("doc_id", "__h", F.aggregate("spans", zero, add)["n"].alias("n_hit"))
     both = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__h") == F.col("b.__h"))
     per = per.alias("a").join(ids.alias("b"), both).select("a.doc_id", "a.__h", "n_hit", "item_ids")
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD))
+    pieces = F.split(F.coalesce("text", F.lit("")), ALNUM_GAP)
+    n_words = F.size(pieces) - (F.element_at(pieces, 1) == "").cast("int") - ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")
     every = docs.select("doc_id", F.xxhash64("text").alias("__h"), n_words.alias("n_words")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__h") == F.col("p.__h"))
     joined = every.join(per.alias("p"), same, "left")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketframe.llm import decontamination, language, licenses, setjoin, toxicity
+from marketframe.llm.common import alnum_pieces, alnum_words
 from test_pipeline import alnum, groups, shingle_set
 
 DIR = "/root/testdata/sf0.01"
@@ -71,6 +72,20 @@ def test_decontamination_empty(spark):
     assert decontamination.digest(frame(spark, [(1, "a b")]), items.limit(0)).first()["n_hit"] == 0
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_texts_are_parted_once(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", broadcast)
+    windows, _ = decontamination.item_windows(read(spark, "benchmark"))
+    plan = decontamination.occurrences(read(spark, "documents"), windows)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"split\(|regexp_extract_all\(", plan)) == 1
+
+
+def test_words_and_pieces(spark):
+    texts = [chr(c) * 2 + x + chr(c) for c in [*range(0x180), 0x3A3, 0x7FF, 0x800, 0x2160, 0x24B6, 0xFFFD, 0xFFFF, 0x10000, 0x10FFFF] for x in ("a", "Z9", "é", "")]
+    for r in frame(spark, list(enumerate(texts + odd_texts()))).select("text", alnum_words(F.col("text")).alias("w"), alnum_pieces(F.col("text")).alias("p")).collect():
+        assert r.w == alnum(r.text) == [x for x in r.p if x] and "" not in r.p[1:-1]
+
+
 # ---- licenses ---------------------------------------------------------------------------------
 
 def aligned(w, t, k):
