@@ -342,7 +342,8 @@ def scored(found: DataFrame) -> DataFrame:
     cuts = each.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")  # common first and last words stand in many phrases
     cuts = cuts.select("lang", "phrase", "k", "a", "cut", salt.alias("salt"), F.array_join(F.slice("ws", F.lit(1), F.col("cut")), " ").alias("p"), F.array_join(F.slice("ws", F.col("cut") + 1, F.col("k")), " ").alias("q"))
-    known = found.filter("k >= 1").select("lang", "phrase", "f", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    # merged: Spark takes a table for as large as before explode(), and would send SALTS copies of all n-grams to every executor
+    known = found.filter("k >= 1").select("lang", "phrase", "f", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")).hint("merge")
     left, right = (known.select("lang", "salt", F.col("phrase").alias(x), F.col("f").alias(y)) for x, y in (("p", "l"), ("q", "r")))
     both = cuts.join(left, ["lang", "salt", "p"]).join(right, ["lang", "salt", "q"]).join(total, "lang")
     score = F.expr("cast(1000 as decimal(4,0)) * cast(a as decimal(15,0)) * cast(n as decimal(19,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")

@@ -219,6 +219,12 @@ def test_collocations_of_the_tables(spark):
     assert collect(collocations.mine(docs, 12)) == brute_mine([(r.text, r.lang) for r in docs.collect()], 12, 5, 2000)
 
 
+def test_ngrams_are_not_broadcast(spark):
+    found = collocations.frequent(spark.read.parquet(f"{SMALL}/documents.parquet"), 12)
+    plan = collocations.scored(found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 2  # words of each lang
+
+
 def test_infilling_of_the_table(spark):
     name = "op12_infilling"
     assert compare(spark, DIR, registered.queries()[name], registered.oracle_sql()[name]) is None
